@@ -15,11 +15,10 @@ ENTITY = "struct<type:int,serial:bigint,identifier:string>"
 
 
 def _last(df: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """The last row of each key by the column ``order``; without one any row."""
-    if order is None:
-        return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each key by the column ``order``; without one, as rows of a table have no order, the largest values."""
+    rest = [c for c in df.columns if c not in keys]
+    by = F.struct(*([F.col(order)] if order else []), *(F.col(c) for c in rest if c != order))
+    return df.groupBy(*keys).agg(F.max(by).alias("_l")).select(*keys, *(F.col(f"_l.{c}") for c in rest))
 
 
 def entity_types(entities: DataFrame, order: str | None = None) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import feeds
+from termloom.plans import feeds, tagging, tagging_sql
 
-QUERIES = {**feeds.QUERIES}
-ORACLES = {**feeds.ORACLES}
+QUERIES = {**tagging.QUERIES, **feeds.QUERIES}
+ORACLES = {**tagging_sql.ORACLES, **feeds.ORACLES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p1_loaded"](spark, folder)
+    return tagging.mentions_longest(spark, folder)

@@ -1,14 +1,25 @@
-"""Queries that tag the document records with the dictionary of entity names."""
+"""Queries that tag the document records with the dictionary of entity names.
+
+The corpus is test_documents (title, TAB, text of the first row of each key), the dictionary names with test_entities.
+Where a query needs more, as a stop list, it takes a few fixed rows from ``fixtures``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.keys import canonical_key, skeleton
 from termloom.functions.latin import leading_integer
 from termloom.operators import dictionary as D
-from termloom.operators.matching import dictionary_hits, find_mentions, mention_rows, with_blocked
-from termloom.operators.windows import candidate_windows
+from termloom.operators import render
+from termloom.operators.markup import annotated, masked
+from termloom.operators.matching import blocked_by_pattern, dictionary_hits, find_mentions, mention_rows, with_blocked
+from termloom.operators.pairs import pair_levels, pair_scores, pair_sums, typed_pairs
+from termloom.operators.resolution import disambiguated, grouped
+from termloom.operators.segments import inside_segments, segments
+from termloom.operators.windows import candidate_windows, tokens
+from termloom.plans import fixtures as X
 from termloom.sources.tables import table
 
 MAX_TOKENS = 15
@@ -27,15 +38,235 @@ def name_rows(spark: SparkSession, folder: str) -> DataFrame:
     return D.names_with_entities(table(spark, folder, "names", "serial", "name"), table(spark, folder, "test_entities", "serial", "type", "identifier"))
 
 
-def hits(spark: SparkSession, folder: str) -> DataFrame:
-    words = D.dictionary(name_rows(spark, folder))
-    windows = candidate_windows(first_documents(spark, folder), words, MAX_TOKENS)
-    return with_blocked(dictionary_hits(windows, words))
+def types_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``serial, type``: of several types of a serial the largest."""
+    entities = table(spark, folder, "test_entities", "serial", "type").where("serial IS NOT NULL AND type IS NOT NULL")
+    return entities.groupBy("serial").agg(F.max("type").alias("type"))
+
+
+def requested(spark: SparkSession, folder: str) -> tuple[int, ...]:
+    """The requested types: a short list that a user gives."""
+    return tuple(r.type for r in table(spark, folder, "test_types").where("type IS NOT NULL").limit(10_000).collect())
+
+
+def stop_global(spark: SparkSession) -> DataFrame:
+    return D.stop_list(X.rows(spark, X.STOP_GLOBAL, "name string, flag string"))
+
+
+def stop_local(spark: SparkSession) -> DataFrame:
+    return D.stop_list(X.rows(spark, X.STOP_LOCAL, "name string, doc_id string, flag string"), local=True)
+
+
+def hits(spark: SparkSession, folder: str, documents: DataFrame | None = None, stops: bool = False) -> DataFrame:
+    rows = name_rows(spark, folder)
+    words = D.dictionary(rows, X.rows(spark, X.STOP_GLOBAL, "name string, flag string") if stops else None)
+    windows = candidate_windows(documents or first_documents(spark, folder), words, MAX_TOKENS)
+    return with_blocked(dictionary_hits(windows, words), stop_global(spark) if stops else None, stop_local(spark) if stops else None)
+
+
+def matches(spark: SparkSession, folder: str) -> DataFrame:
+    return find_mentions(hits(spark, folder), requested(spark, folder))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return mention_rows(found).select("doc_id", "start", "stop", "text", "type", "serial")
+
+
+def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens(first_documents(spark, folder)).select("doc_id", "i", "start", "stop", "token")
+
+
+def tokenize_characters(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "test_documents", "row_id", "journal").select(F.col("row_id").alias("doc_id"), F.col("journal").alias("text"))
+    return tokens(titles, characters=True).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("stop").alias("last"))
+
+
+def _hex(key: Column) -> Column:
+    """The bytes of a key."""
+    return F.hex(F.encode(key, "ISO-8859-1"))
+
+
+def canonical_keys(spark: SparkSession, folder: str) -> DataFrame:
+    given = X.rows(spark, tuple((s,) for s in X.STRINGS), "name string")
+    names = table(spark, folder, "names", "name").where("name IS NOT NULL").distinct()
+    return given.union(names).distinct().select("name", _hex(canonical_key(F.col("name"))).alias("key"), _hex(skeleton(F.col("name"))).alias("skeleton"))
+
+
+def stop_filter(spark: SparkSession, folder: str) -> DataFrame:
+    given = X.rows(spark, tuple((s,) for s in X.STRINGS), "name string")
+    names = table(spark, folder, "names", "name").where("name IS NOT NULL")
+    return given.union(names).distinct().select("name", blocked_by_pattern(F.col("name")).alias("blocked"))
+
+
+def dictionary_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities per key, of serials with one type."""
+    rows = name_rows(spark, folder)
+    return rows.groupBy(_hex(F.col("key")).alias("key")).agg(F.count("*").alias("n_entities"), F.min("serial").alias("least"), F.max("serial").alias("most"))
+
+
+def stub_names(spark: SparkSession, folder: str) -> DataFrame:
+    return D.stub_names(name_rows(spark, folder), X.rows(spark, X.STOP_GLOBAL, "name string, flag string")).select("name", "type")
 
 
 def mentions_longest(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: leftmost longest mentions of all types."""
-    return mention_rows(find_mentions(hits(spark, folder))).select("doc_id", "ord", "start", "stop", "text", "type", "serial")
+    return _flat(find_mentions(hits(spark, folder)))
+
+
+def mentions_typed(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(matches(spark, folder))
+
+
+def mentions_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(find_mentions(hits(spark, folder), allow_overlap=True))
+
+
+def mentions_stop_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(find_mentions(hits(spark, folder, stops=True)))
+
+
+def mentions_autodetect(spark: SparkSession, folder: str) -> DataFrame:
+    """Types found by organisms besides those requested; here entities of type -2 stand for organisms."""
+    found = hits(spark, folder)
+    organisms = types_of(spark, folder).where("type = -2").select("serial", F.lit(990601).alias("taxon"))
+    as_trigger = found.withColumn("entities", F.transform("entities", lambda e: F.when(e["type"] == -2, e.withField("type", F.lit(-3))).otherwise(e)))
+    return _flat(find_mentions(as_trigger, (-26,), auto_detect=True, organisms=organisms))
+
+
+def document_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return segments(first_documents(spark, folder)).select("doc_id", "paragraph", "sentence", "begin", "end")
+
+
+def _structured(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    return inside_segments(mention_rows(found), segments(first_documents(spark, folder)))
+
+
+def mentions_structured(spark: SparkSession, folder: str) -> DataFrame:
+    return _structured(spark, folder, disambiguated(matches(spark, folder))).select("doc_id", "paragraph", "sentence", "start", "stop", "text", "type", "serial")
+
+
+def mentions_disambiguated(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(disambiguated(find_mentions(hits(spark, folder))))
+
+
+def mentions_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(grouped(matches(spark, folder), X.rows(spark, X.GROUPS, "child bigint, parent bigint"), types_of(spark, folder)))
+
+
+def _given_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """The mentions table, with an order of the mentions of a document."""
+    rows = table(spark, folder, "mentions", "doc", "paragraph", "sentence", "start", "serial").where("doc IS NOT NULL AND serial IS NOT NULL").distinct()
+    return rows.select(F.col("doc").alias("doc_id"), "paragraph", "sentence", F.col("start").alias("ord"), "serial")
+
+
+def pair_level_counts(spark: SparkSession, folder: str) -> DataFrame:
+    levels = pair_levels(_given_mentions(spark, folder))
+    return levels.groupBy("level", "serial1", "serial2").agg(F.count("*").alias("documents"))
+
+
+def _scores(typed: DataFrame) -> DataFrame:
+    return pair_scores(typed).select("serial1", "serial2", *(F.round(c, 6).alias(c) for c in ("score", "ratio", "s", "s_i", "s_j", "s_ij")))
+
+
+def pair_scores_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(typed_pairs(pair_sums(pair_levels(_given_mentions(spark, folder))), types_of(spark, folder)))
+
+
+def pair_scores_selective(spark: SparkSession, folder: str) -> DataFrame:
+    allowed = X.rows(spark, X.TYPE_PAIRS, "type1 int, type2 int")
+    return _scores(typed_pairs(pair_sums(pair_levels(_given_mentions(spark, folder))), types_of(spark, folder), allowed))
+
+
+def corpus_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """From documents to scores: tagging, disambiguation, segments, levels, sums, scores."""
+    found = _structured(spark, folder, disambiguated(matches(spark, folder)))
+    return _scores(typed_pairs(pair_sums(pair_levels(found)), types_of(spark, folder)))
+
+
+def clean_dictionary_log(spark: SparkSession, folder: str) -> DataFrame:
+    return D.cleaning_log(name_rows(spark, folder)).select("reason", "type", "serial", "count", "masked_type", "masked_serial")
+
+
+def clean_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "names", "serial", "name").where("serial IS NOT NULL AND name IS NOT NULL")
+    return D.cleaned_names(names, D.cleaning_log(name_rows(spark, folder))).groupBy("serial").agg(F.count("*").alias("n_names"))
+
+
+def entities_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    return render.distinct_entities(mention_rows(matches(spark, folder)))
+
+
+def entity_lines_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return render.entity_lines(mention_rows(matches(spark, folder)), "csv")
+
+
+def entities_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    return render.grouped_entities(matches(spark, folder)).select("doc_id", "text", "count", F.size("entities").alias("n_entities"))
+
+
+def entities_xml(spark: SparkSession, folder: str) -> DataFrame:
+    return render.entities_xml(matches(spark, folder))
+
+
+def entities_jsonld(spark: SparkSession, folder: str) -> DataFrame:
+    return render.jsonld(first_documents(spark, folder), matches(spark, folder))
+
+
+def entities_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as pages, their markup masked, tagged and annotated."""
+    pages = first_documents(spark, folder).select("doc_id", F.concat(F.lit("<html><head><title>x</title></head><body><p class=\"a\">"), F.replace("text", F.lit("\t"), F.lit("</p><p>")), F.lit("</p></body></html>")).alias("text"))
+    hidden = masked(pages)
+    found = find_mentions(hits(spark, folder, hidden.select("doc_id", "text")), requested(spark, folder))
+    return annotated(pages, found, hidden)
+
+
+def entity_extract(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "names", "serial", "name").where("serial IS NOT NULL AND name IS NOT NULL").groupBy("serial").agg(F.min("name").alias("name"))
+    labels = X.rows(spark, ((-26, "disease"), (-25, "tissue"), (-27, "environment"), (-1, "chemical")), "type int, type_name string")
+    return render.extract_table(mention_rows(matches(spark, folder)), labels, names)
+
+
+def character_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """The mentions table with positions in code points."""
+    from termloom.functions.latin import to_character
+
+    rows = table(spark, folder, "mentions", "doc", "start", "stop").where("doc IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").distinct()
+    at = rows.join(first_documents(spark, folder).withColumnRenamed("doc_id", "doc"), "doc")
+    return at.select("doc", "start", "stop", to_character(F.col("text"), F.col("start")).alias("begin"), to_character(F.col("text"), F.col("stop") + 1).alias("end"))
+
+
+def resolve_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The identifiers' names of the mentions' surfaces: each distinct surface looked up in the dictionary."""
+    asked = table(spark, folder, "mentions", "text").distinct().withColumnRenamed("text", "name")
+    return D.resolve_names(asked, D.dictionary(name_rows(spark, folder))).select("name", "type", "serial")
+
+
+def entity_iris(spark: SparkSession, folder: str) -> DataFrame:
+    entities = table(spark, folder, "test_entities", "type", "identifier").where("type IS NOT NULL AND identifier IS NOT NULL").distinct()
+    rows = entities.union(X.rows(spark, X.IRIS, "type int, identifier string")).distinct()
+    return rows.select("type", "identifier", render.entity_iri(F.col("type"), F.col("identifier")).alias("iri"))
+
+
+def environment_ids(spark: SparkSession, folder: str) -> DataFrame:
+    serials = table(spark, folder, "test_entities", "serial").where("serial IS NOT NULL").distinct()
+    few = X.rows(spark, tuple((s,) for s in (9999, 10000, 10199, 10200)), "serial bigint")
+    return serials.union(few).select("serial", render.environment_id(F.col("serial")).alias("envo"))
+
+
+def block_promotion(spark: SparkSession, folder: str) -> DataFrame:
+    return D.promoted_blocks(X.rows(spark, X.BLOCKS, "name string, doc_id string"))
+
+
+def dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return first_documents(spark, folder).select("doc_id", F.octet_length("text").alias("bytes"))
 
 
-QUERIES = {"mentions_longest": mentions_longest}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        mentions_longest, mentions_typed, mentions_overlap, mentions_stop_lists, mentions_autodetect, mentions_structured, mentions_disambiguated, mentions_grouped,
+        tokenize_documents, tokenize_characters, canonical_keys, stop_filter, dictionary_load, stub_names, document_segments, pair_level_counts, pair_scores_all,
+        pair_scores_selective, corpus_pairs, clean_dictionary_log, clean_dictionary, entities_distinct, entity_lines_csv, entities_grouped, entities_xml, entities_jsonld,
+        entities_html, entity_extract, character_offsets, resolve_names, entity_iris, environment_ids, block_promotion, dedup_documents,
+    )
+}

@@ -1,0 +1,186 @@
+"""The tagging queries as SQL, from the rules and not from the operators' code."""
+
+from __future__ import annotations
+
+from termloom.plans import fixtures as X
+
+_S, _P = r"\t\n\r _\-", r"!\"''(),.:;?\[\]{}"
+_AZ, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def key_of(s: str) -> str:
+    c = f"regexp_replace({s}, '^[{_P}]+', '')"
+    rest = f"regexp_replace({c}, '^[{_S}]+', '')"
+    middle = f"regexp_replace(regexp_extract({rest}, '(?s)^(.*[^{_P}{_S}])', 1), '[{_S}]', '', 'g')"
+    tail = f"regexp_replace(regexp_extract({rest}, '([{_P}{_S}]*)\\z', 1), '[{_P}]+\\z', '')"
+    return f"(regexp_extract({c}, '^([{_S}]*)', 1) || chr(1) || translate({middle}, '{_AZ}', '{_UP}') || chr(1) || {tail})"
+
+
+_Z = r"[\n\r\f]*\z"
+_STOP = (
+    r"(?s)\A&|\A(.{0,2}|.[ \t\r\n-]+.|[^A-Za-z]*([ \t\r\n]|" + _Z + r")|[ACDEFGHIKLMNPQRSTVWY]-?[0-9]{1,4}|[Oo][Rr][ -]*[0-9]+|[CJnsXx][ -]*[0-9.-]+"
+    r"|[0-9]{1,4}[A-Za-z]|[0-9.-]+[ -]*[cGkMmnp]?[ABbdghLlMmSsVXx]\(?[0-9-]*\)?|[0-9] .{2,9})" + _Z
+    + r"|\A([DGNSTdgnst]o|[Aa][nst]?|[Aa]nd|[Aa]re|[Bb][ey]|[Bb]ut|[Cc]an|[Dd]id|[Ff]or|[Hh]a[ds]|[Hh]ave|[Ii][fnst]|[Ii]ts|[Oo][fnr]|s|[Tt]he|[Tt]his|[Ww]as|[Ww]ere)[ \t\r\n]"
+    r"|[ \t\r\n]([dgs]o|are|but|can|did|et|ha[ds]|have|i[fst]|its|this|was|were)[ \t\r\n]"
+    r"|[ \t\r\n]([dgnst]o|a[nst]?|and|are|b[ey]|but|can|did|et|for|ha[ds]|have|i[fnst]|its|o[fnr]|the|this|was|were)" + _Z
+)
+
+
+def blocked(s: str) -> str:
+    return f"regexp_matches({s}, '{_STOP}')"
+
+
+_DOCS = r"""
+docs AS (
+  SELECT doc_id, coalesce(f.title, '') || chr(9) || coalesce(f.text, '') AS text FROM (
+    SELECT doc_id, arg_min(struct_pack(title := title, text := text), row_id) AS f FROM (
+      SELECT row_id, title, text, coalesce(try_cast(regexp_extract(regexp_extract(identifier, '^[^:|\t]*:([^|\t]*)', 1), '^\s*([+-]?\d+)', 1) AS INTEGER), 0) AS doc_id FROM test_documents)
+    WHERE doc_id <> 0 GROUP BY doc_id)
+)"""
+_NAME_ROWS = f"""
+known AS (
+  SELECT serial, e.type AS type, e.identifier AS identifier FROM (
+    SELECT serial, max(struct_pack(type := type, identifier := identifier)) AS e FROM test_entities WHERE serial IS NOT NULL AND type IS NOT NULL GROUP BY serial)
+), name_rows AS (
+  SELECT k.key, min(k.name) AS name, known.type, k.serial, known.identifier
+  FROM (SELECT {key_of("name")} AS key, name, serial FROM names WHERE serial IS NOT NULL AND name IS NOT NULL AND name <> '') k JOIN known USING (serial)
+  GROUP BY ALL
+)"""
+_NAME_ROWS = _NAME_ROWS.replace("GROUP BY ALL\n", "GROUP BY k.key, k.serial, known.type, known.identifier\n")
+
+_PIECES = r"""
+pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS n FROM (
+    SELECT doc_id, regexp_extract_all(text, '([*\-]+|[\t\n\r !''()+,./:;?\[\]_{|}]+|[^*\-\t\n\r !''()+,./:;?\[\]_{|}]+)') AS p FROM docs)
+), placed AS (
+  SELECT doc_id, n, piece, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY n) - strlen(piece) AS start,
+    sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n) - length(piece) AS place FROM pieces
+), token AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS i, CAST(start AS INTEGER) AS start,
+    CAST(start + strlen(piece) - 1 AS INTEGER) AS stop, piece AS token, CAST(place AS INTEGER) AS place
+  FROM placed WHERE NOT regexp_matches(piece, '^[\t\n\r !''()+,./:;?\[\]_{|}]')
+)"""
+
+
+def _windows(extra: str = "") -> str:
+    """Hits (doc_id, i, j, start, stop, text, key), with quotation marks off the ends of the surface."""
+    return f"""
+{_DOCS}, {_NAME_ROWS}, {_PIECES},
+raw AS (
+  SELECT a.doc_id, a.i, b.i AS j, a.start, b.stop, substr(d.text, a.place + 1, b.place + length(b.token) - a.place) AS span
+  FROM token a JOIN token b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 14 JOIN docs d ON d.doc_id = a.doc_id
+), hit AS (
+  SELECT raw.*, strlen(span) - strlen(regexp_replace(span, '^[!"''),.:;?\\]}}]+', '')) AS cut_left,
+    strlen(span) - strlen(regexp_replace(span, '[!"''(,.:;?\\[{{]+\\z', '')) AS cut_right, key
+  FROM raw JOIN (SELECT DISTINCT key FROM name_rows) k ON k.key = {key_of("raw.span")}
+), trimmed AS (
+  SELECT doc_id, i, j, CAST(start + cut_left AS INTEGER) AS start, CAST(stop - cut_right AS INTEGER) AS stop, key,
+    substr(span, 1 + cut_left, length(span) - cut_left - cut_right) AS text
+  FROM hit
+), ends AS (
+  SELECT * FROM trimmed t WHERE NOT {blocked("text")} AND EXISTS (SELECT 1 FROM name_rows n WHERE n.key = t.key {extra})
+), longest AS (
+  SELECT doc_id, i, max(j) AS j, arg_max(start, j) AS start, arg_max(stop, j) AS stop, arg_max(text, j) AS text, arg_max(key, j) AS key FROM ends GROUP BY doc_id, i
+), linked AS (
+  SELECT l.*, (SELECT min(m.i) FROM longest m WHERE m.doc_id = l.doc_id AND m.i > l.j) AS following FROM longest l
+), chosen AS (
+  SELECT l.* FROM linked l WHERE NOT EXISTS (SELECT 1 FROM linked m WHERE m.doc_id = l.doc_id AND m.i < l.i)
+  UNION ALL
+  SELECT l.* FROM chosen c JOIN linked l ON l.doc_id = c.doc_id AND l.i = c.following
+), mention AS (
+  SELECT doc_id, start, stop, text, n.type, n.serial, n.identifier FROM chosen JOIN name_rows n USING (key) WHERE true {extra}
+)"""
+
+
+_ANY = "WITH RECURSIVE " + _windows()
+_TYPED = "WITH RECURSIVE " + _windows("AND n.type IN (SELECT type FROM test_types)")
+
+_PAIR_ITEMS = """
+m AS (SELECT DISTINCT doc, paragraph, sentence, start, serial FROM mentions WHERE doc IS NOT NULL AND serial IS NOT NULL
+), first AS (
+  SELECT 'document' AS level, doc, NULL AS paragraph, NULL AS sentence, serial, min(start) AS f FROM m GROUP BY doc, serial
+  UNION ALL SELECT 'paragraph', doc, paragraph, NULL, serial, min(start) FROM m GROUP BY doc, paragraph, serial
+  UNION ALL SELECT 'sentence', doc, paragraph, sentence, serial, min(start) FROM m GROUP BY doc, paragraph, sentence, serial
+), level_pairs AS (
+  SELECT DISTINCT a.doc, a.level, a.serial AS serial1, b.serial AS serial2 FROM first a JOIN first b
+  ON a.level = b.level AND a.doc = b.doc AND a.paragraph IS NOT DISTINCT FROM b.paragraph AND a.sentence IS NOT DISTINCT FROM b.sentence
+    AND a.serial < b.serial AND a.f <> b.f
+  WHERE a.level = 'document' OR (a.paragraph IS NOT NULL AND (a.level = 'paragraph' OR a.sentence IS NOT NULL))
+)"""
+_KINDS = """kinds AS (SELECT serial, max(type) AS type FROM test_entities WHERE serial IS NOT NULL AND type IS NOT NULL GROUP BY serial)"""
+
+
+def _scores(allowed: str) -> str:
+    return f"""
+WITH {_PAIR_ITEMS}, {_KINDS}, sums AS (
+  SELECT serial1, serial2, sum(CASE level WHEN 'document' THEN 1.0::DOUBLE WHEN 'paragraph' THEN 2.0::DOUBLE ELSE 0.2::FLOAT::DOUBLE END) AS s_ij
+  FROM level_pairs GROUP BY ALL
+), typed AS (
+  SELECT sums.*, coalesce(x.type, 0) AS type1, coalesce(y.type, 0) AS type2 FROM sums LEFT JOIN kinds x ON x.serial = serial1 LEFT JOIN kinds y ON y.serial = serial2
+), kept AS (SELECT * FROM typed WHERE {allowed}
+), ends AS (SELECT serial1 AS serial, type2 AS other, s_ij FROM kept UNION ALL SELECT serial2, type1, s_ij FROM kept
+), part AS (SELECT serial, other, sum(s_ij) AS v FROM ends GROUP BY ALL
+), total AS (SELECT least(type1, type2) AS lo, greatest(type1, type2) AS hi, sum(s_ij) AS s FROM kept GROUP BY ALL
+), full_rows AS (
+  SELECT k.serial1, k.serial2, s, i.v AS s_i, j.v AS s_j, s_ij, s_ij * s / (i.v * j.v) AS ratio FROM kept k
+  JOIN total ON lo = least(type1, type2) AND hi = greatest(type1, type2)
+  JOIN part i ON i.serial = serial1 AND i.other = type2 JOIN part j ON j.serial = serial2 AND j.other = type1
+)
+SELECT serial1, serial2, round(pow(s_ij, 0.6::FLOAT::DOUBLE) * pow(ratio, 1 - 0.6::FLOAT::DOUBLE), 6) AS score, round(ratio, 6) AS ratio,
+  round(s, 6) AS s, round(s_i, 6) AS s_i, round(s_j, 6) AS s_j, round(s_ij, 6) AS s_ij FROM full_rows"""
+
+
+_STRINGS = X.values(tuple((s,) for s in X.STRINGS), "name") + " UNION SELECT DISTINCT name FROM names WHERE name IS NOT NULL"
+_SKELETON = f"translate(regexp_replace(name, '[{_S}{_P}]', '', 'g'), '{_AZ}', '{_UP}')"
+_LOG = f"""
+WITH {_NAME_ROWS}, counted AS (
+  SELECT key, min(name) OVER (PARTITION BY key) AS name, type, serial, count(*) OVER (PARTITION BY key, type) AS count FROM name_rows
+), family AS (
+  SELECT *, max(CASE WHEN type >= 0 THEN count END) OVER (PARTITION BY key) AS largest FROM counted
+), log AS (
+  SELECT 'CONFLICT' AS reason, f.key, f.type, f.serial, f.count, m.type AS masked_type, m.serial AS masked_serial FROM family f JOIN name_rows m ON m.key = f.key
+  WHERE f.type NOT IN (-2, -3, -21, -22, -23, -25, -26, -27) AND (m.type >= 0 OR m.type IN (-2, -22, -25, -26, -27)) AND f.type <> m.type AND (f.type < 0 OR m.type < 0)
+  UNION ALL SELECT CASE WHEN largest >= 1000 THEN 'FAMILY-GLOBAL' ELSE 'FAMILY-LOCAL' END, key, type, serial, count, NULL, NULL FROM family WHERE largest >= 1000 OR count > 20
+  UNION ALL SELECT 'SHORT-NAME', key, type, serial, count, NULL, NULL FROM family WHERE strlen(name) < 2
+  UNION ALL SELECT 'SHORT-WIKI', key, type, serial, count, NULL, NULL FROM family WHERE type = -11 AND strlen(name) <= 3
+)"""
+
+ORACLES = {
+    "canonical_keys": f"SELECT name, hex({key_of('name')}) AS key, hex({_SKELETON}) AS skeleton FROM ({_STRINGS})",
+    "stop_filter": f"SELECT name, {blocked('name')} AS blocked FROM ({_STRINGS})",
+    "dictionary_load": f"WITH {_NAME_ROWS} SELECT hex(key) AS key, count(*) AS n_entities, min(serial) AS least, max(serial) AS most FROM name_rows GROUP BY key",
+    "stub_names": f"WITH {_NAME_ROWS} SELECT name, 0 AS type FROM {X.values(X.STOP_GLOBAL, 'name', 'flag')} s WHERE {key_of('s.name')} NOT IN (SELECT key FROM name_rows)",
+    "tokenize_documents": f"WITH {_DOCS}, {_PIECES} SELECT doc_id, i, start, stop, token FROM token",
+    "tokenize_characters": "SELECT row_id AS doc_id, CAST(strlen(journal) AS BIGINT) AS n_tokens, CAST(strlen(journal) - 1 AS INTEGER) AS last FROM test_documents WHERE journal <> ''",
+    "mentions_longest": _ANY + " SELECT doc_id, start, stop, text, type, serial FROM mention",
+    "mentions_typed": _TYPED + " SELECT doc_id, start, stop, text, type, serial FROM mention",
+    "mentions_overlap": _ANY + " SELECT doc_id, start, stop, text, n.type, n.serial FROM ends JOIN name_rows n USING (key)",
+    "entities_distinct": _TYPED + " SELECT DISTINCT doc_id, text, type, coalesce(identifier, CAST(serial AS VARCHAR)) AS identifier FROM mention",
+    "entities_grouped": _TYPED
+    + """, spans AS (SELECT doc_id, text, start, count(*) AS e FROM mention GROUP BY ALL)
+    SELECT doc_id, text, count(*) AS count, CAST(arg_min(e, start) AS INTEGER) AS n_entities FROM spans GROUP BY doc_id, text""",
+    "pair_level_counts": f"WITH {_PAIR_ITEMS} SELECT level, serial1, serial2, count(*) AS documents FROM level_pairs GROUP BY ALL",
+    "pair_scores_all": _scores("true"),
+    "pair_scores_selective": _scores(
+        "(type1, type2) IN (" + ", ".join(f"({a}, {b}), ({b}, {a})" for a, b in X.TYPE_PAIRS) + ")"
+    ),
+    "clean_dictionary_log": _LOG + " SELECT reason, type, serial, CAST(count AS INTEGER) AS count, masked_type, masked_serial FROM log",
+    "clean_dictionary": _LOG
+    + f" SELECT serial, count(*) AS n_names FROM names n WHERE serial IS NOT NULL AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM log WHERE log.serial = n.serial AND log.key = {key_of('n.name')}) GROUP BY serial",
+    "character_offsets": f"""WITH {_DOCS}, spans AS (SELECT DISTINCT doc, start, stop FROM mentions WHERE doc IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL)
+    , letters AS (
+      SELECT doc_id, n - 1 AS place, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY n) - strlen(c) AS byte
+      FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS n FROM docs)
+    )
+    SELECT doc, start, stop, CAST(a.place AS INTEGER) AS begin, CAST(z.place + 1 AS INTEGER) AS "end" FROM spans
+    JOIN letters a ON a.doc_id = doc AND a.byte = start ASOF JOIN letters z ON z.doc_id = doc AND z.byte <= stop""",
+    "resolve_names": f"""WITH {_NAME_ROWS}, asked AS (SELECT DISTINCT text AS name FROM mentions WHERE text IS NOT NULL)
+    SELECT DISTINCT asked.name, type, serial FROM asked JOIN name_rows ON name_rows.key = {key_of('asked.name')}""",
+    "entity_iris": f"""SELECT type, identifier, CASE WHEN type >= 0 THEN 'stringdb:' || type || '.' || identifier WHEN type = -1 THEN 'stitchdb:' || identifier
+      WHEN type = -2 THEN 'taxonomy:' || identifier WHEN contains(identifier, ':') THEN identifier ELSE '_:' || identifier END AS iri
+    FROM (SELECT DISTINCT type, identifier FROM test_entities WHERE type IS NOT NULL AND identifier IS NOT NULL UNION SELECT * FROM {X.values(X.IRIS, 'type', 'identifier')})""",
+    "environment_ids": f"""SELECT serial, 'ENVO:' || lpad(CAST(serial AS VARCHAR), CASE WHEN serial >= 10000 AND serial < 10200 THEN 7 ELSE 8 END, '0') AS envo
+    FROM (SELECT DISTINCT serial FROM test_entities WHERE serial IS NOT NULL UNION ALL SELECT * FROM {X.values(((9999,), (10000,), (10199,), (10200,)), 'serial')})""",
+    "block_promotion": f"SELECT name, true AS blocked FROM {X.values(X.BLOCKS, 'name', 'doc_id')} GROUP BY name HAVING count(DISTINCT doc_id) >= 5",
+    "dedup_documents": f"WITH {_DOCS} SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes FROM docs",
+}
