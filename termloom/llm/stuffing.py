@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.sentences import sentence_spans
+from termloom.sources.staging import checkpointed
 
 #: A word on this share of a language's pages is one of its prose words. A page of w different words can hold at most w
 #: of them, so there are at most w / PROSE_SHARE for a language, w being the mean over its pages.
@@ -35,7 +36,8 @@ SLOPE_GAP, RESIDUAL_RATIO, PROSE_RATIO, VARIETY_RATIO = 0.35, 1.8, 0.82, 0.5
 #: Shares of the exact check: spans are stuffed below PROSE_LEAST of prose words, above HEAVY_MOST of heavy words, above LINK_MOST of links.
 PROSE_LEAST, HEAVY_MOST, LINK_MOST, STUFFED_SHARE = 0.25, 0.25, 0.4, 0.58
 
-_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"  # scripts without spaces: pairs of characters stand for words
+#: Scripts without spaces, in which pairs of characters stand for words: Thai, Han, Hiragana and Katakana, as ranges.
+_DENSE = "ก-ฺเ-๛⺀-⿕々〇〡-〩〸-〻ぁ-ゟァ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎ｦ-ﾝ𠀀-𲎯"
 _LINK = r"(?:https?://|www\.)[^\s<>\"')\]]*"
 
 
@@ -44,7 +46,7 @@ def page_words(text: Column) -> Column:
     plain = F.lower(F.regexp_replace(text, _LINK, " link "))
     words = F.regexp_extract_all(plain, F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_DENSE}]]+"), F.lit(0))
     pairs = F.regexp_extract_all(plain, F.lit(rf"(?=([{_DENSE}]{{2}}))"), F.lit(1))
-    return F.concat(words, pairs)
+    return F.when(plain.rlike(f"[{_DENSE}]"), F.concat(words, pairs)).otherwise(words)
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
@@ -53,26 +55,23 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 
 def prose_words(counts: DataFrame, languages: DataFrame) -> DataFrame:
-    """``lang, word, share``: the prose words of each language with their share of all its words."""
-    words = counts.where(~F.col("word").rlike(r"^\p{N}+$")).groupBy("lang", "word").agg(F.count("*").alias("pages"), F.sum("k").alias("k"))
-    return (
-        words.join(languages, "lang")
-        .where(F.col("pages") >= F.greatest(F.lit(3), F.col("lang_pages") * PROSE_SHARE))
-        .select("lang", "word", (F.col("k") / F.col("lang_words")).alias("share"))
-    )
+    """``lang, word, share``: the prose words of each language with their share of all its prose words."""
+    words = counts.groupBy("lang", "word").agg(F.count("*").alias("pages"), F.sum("k").alias("k"))
+    common = words.join(languages, "lang").where((F.col("pages") >= F.greatest(F.lit(3), F.col("lang_pages") * PROSE_SHARE)) & ~F.col("word").rlike(r"^\p{N}+$"))
+    return common.select("lang", "word", (F.col("k") / F.sum("k").over(Window.partitionBy("lang"))).alias("share"))
 
 
-def language_sizes(counts: DataFrame) -> DataFrame:
-    """``lang, lang_pages, lang_words`` of the languages that are large enough."""
-    sizes = counts.groupBy("lang", "doc_id").agg(F.sum("k").alias("words")).groupBy("lang").agg(F.count("*").alias("lang_pages"), F.sum("words").alias("lang_words"))
+def language_sizes(pages: DataFrame) -> DataFrame:
+    """``lang, lang_pages`` of the languages that are large enough."""
     total = F.sum("lang_pages").over(Window.partitionBy(F.lit(1)))  # as many rows as languages
-    return sizes.withColumn("total", total).where((F.col("lang_pages") >= F.col("total") * LEAST_LANGUAGE) & (F.col("lang_pages") >= LEAST_PAGES)).drop("total")
+    sizes = pages.groupBy("lang").agg(F.count("*").alias("lang_pages")).withColumn("total", total)
+    return sizes.where((F.col("lang_pages") >= F.col("total") * LEAST_LANGUAGE) & (F.col("lang_pages") >= LEAST_PAGES)).drop("total")
 
 
 def curves(counts: DataFrame, prose: DataFrame) -> DataFrame:
     """``doc_id, lang, bin, slope, residual, prose``: the rank-frequency line of each page, and how much of it is prose.
 
-    ``prose`` is the share of words that are prose words, each taken at most three times its share in the language:
+    ``prose`` is the share of words that are prose words, each taken at most three times its share in the prose of the language:
     the part of the page that its language explains.
     """
     by_page = Window.partitionBy("doc_id", "lang")
@@ -131,7 +130,7 @@ class _Letters(dict):
 
 
 _LETTERS = _Letters()
-_DENSE_RUN = re.compile("[ก-ฺเ-๛⺀-⿕々〇〡-〩〸-〻ぁ-ゟァ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎ｦ-ﾝ𠀀-𲎯]+")
+_DENSE_RUN = re.compile(f"[{_DENSE}]+")
 
 
 def _words(text: str) -> list[str]:
@@ -204,7 +203,7 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
         .repartition("doc_id")
     )
     counts = word_counts(pages)
-    prose = prose_words(counts, language_sizes(counts))
+    prose = prose_words(counts, language_sizes(pages))
     # A table of bounded size, see PROSE_SHARE and LEAST_LANGUAGE, whatever the number of pages.
     rows = prose.collect()
     session = documents.sparkSession
@@ -213,7 +212,8 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
         known[r.word] = max(r.share, known.get(r.word, 0.0))
     table = session.createDataFrame([tuple(r) for r in rows], "lang string, word string, share double")
     shared = session.sparkContext.broadcast(known)
-    suspects = suspected(curves(counts, F.broadcast(table))).select("doc_id")
+    # One row a page, used three times: kept, so that the words are counted once for it.
+    suspects = suspected(checkpointed(curves(counts, F.broadcast(table)))).select("doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
