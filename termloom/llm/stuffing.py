@@ -18,9 +18,12 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.sentences import sentence_spans
@@ -41,22 +44,98 @@ _DENSE = "ก-ฺเ-๛⺀-⿕々〇〡-〩〸-〻ぁ-ゟァ-ヿㇰ-ㇿ㐀-䶿
 _LINK = r"(?:https?://|www\.)[^\s<>\"')\]]*"
 
 
-def page_words(text: Column) -> Column:
-    """The words of a text in lower case: runs of letters, marks and digits; in scripts without spaces all pairs of neighbours."""
-    plain = F.lower(F.regexp_replace(text, _LINK, " link "))
-    words = F.regexp_extract_all(plain, F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_DENSE}]]+"), F.lit(0))
-    pairs = F.regexp_extract_all(plain, F.lit(rf"(?=([{_DENSE}]{{2}}))"), F.lit(1))
-    return F.when(plain.rlike(f"[{_DENSE}]"), F.concat(words, pairs)).otherwise(words)
+_WORD, _PAIRED = 1, 2
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """``doc_id, lang, word, k``: how often each word is on each page. ``pages`` is partitioned by ``doc_id``: no shuffle."""
-    return pages.select("doc_id", "lang", F.explode(page_words(F.col("text"))).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count("*").alias("k"))
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The class of each code point: of a word, of a script taken by pairs, or neither."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        if unicodedata.category(chr(i))[0] in "LMN":
+            out[i] = _WORD
+    for m in re.finditer(r"(.)-(.)|.", _DENSE):
+        a, b = (m[1], m[2]) if m[1] else (m[0], m[0])
+        span = out[ord(a) : ord(b) + 1]
+        span[span > 0] = _PAIRED
+    return out
+
+
+def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of a batch of lower-case texts, found by masks over its code points.
+
+    Distinct words, and for each occurrence its number and the row it is in. Words are runs of letters, marks and
+    digits; in scripts without spaces all pairs of neighbours.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    total = int(offsets[-1] - offsets[0])
+    if not total:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = texts.buffers()[2].slice(int(offsets[0]), total)
+    offsets = offsets - offsets[0]
+    b = np.frombuffer(data, np.uint8)
+    kind = _classes()[np.frombuffer(data.to_pybytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    place = np.flatnonzero((b & 0xC0) != 0x80)
+    row = np.searchsorted(offsets, place, "right") - 1
+    place = np.append(place, total)
+    new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])])
+    first = np.flatnonzero(new)
+    after = np.append(first[1:], len(kind))
+    words = kind[first] == _WORD
+    pairs = np.flatnonzero((kind[:-1] == _PAIRED) & ~new[1:])
+    begin = np.concatenate([place[first[words]], place[pairs]])
+    end = np.concatenate([place[after[words]], place[pairs + 2]])
+    rows = np.concatenate([row[first[words]], row[pairs]])
+    size = end - begin
+    ends = np.cumsum(size)
+    if not len(ends):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values = b[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)]
+    strings = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(values)).dictionary_encode()
+    return strings.dictionary, strings.indices.to_numpy().astype(np.int64), rows
+
+
+def _plain(pages: DataFrame) -> DataFrame:
+    return pages.select("doc_id", "lang", F.lower(F.regexp_replace("text", _LINK, " link ")).alias("text"))
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """``doc_id, lang, words``: the different words of each page (``doc_id, lang, text``), with how often they are there."""
+    kind = pages.select("doc_id").schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, which, rows = words_of_batch(batch.column(2))
+            both, k = np.unique(rows << 32 | which, return_counts=True)
+            at = np.concatenate([[0], np.cumsum(np.bincount(both >> 32, minlength=batch.num_rows))]).astype(np.int32)
+            entry = pa.StructArray.from_arrays([words.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string()), pa.array(k, pa.int64())], names=["word", "k"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "lang", "words"])
+
+    return _plain(pages).mapInArrow(run, f"doc_id {kind}, lang string, words array<struct<word:string,k:bigint>>")
+
+
+def language_words(pages: DataFrame) -> DataFrame:
+    """``lang, word, pages, k``: on how many pages of a language a word is, and how often; added up in each batch first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, which, rows = words_of_batch(batch.column(2))
+            langs = batch.column(1).dictionary_encode()
+            both, k = np.unique(rows << 32 | which, return_counts=True)
+            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[both >> 32]
+            key, at, pages_ = np.unique(lang << 32 | (both & 0xFFFFFFFF), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(key >> 32)), words.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string()), pa.array(pages_, pa.int64()), pa.array(np.bincount(at, k, len(key)).astype(np.int64))],
+                names=["lang", "word", "pages", "k"],
+            )
+
+    parts = _plain(pages).mapInArrow(run, "lang string, word string, pages bigint, k bigint")
+    return parts.groupBy("lang", "word").agg(F.sum("pages").alias("pages"), F.sum("k").alias("k"))
 
 
-def prose_words(counts: DataFrame, languages: DataFrame) -> DataFrame:
+def prose_words(words: DataFrame, languages: DataFrame) -> DataFrame:
     """``lang, word, share``: the prose words of each language with their share of all its prose words."""
-    words = counts.groupBy("lang", "word").agg(F.count("*").alias("pages"), F.sum("k").alias("k"))
     common = words.join(languages, "lang").where((F.col("pages") >= F.greatest(F.lit(3), F.col("lang_pages") * PROSE_SHARE)) & ~F.col("word").rlike(r"^\p{N}+$"))
     return common.select("lang", "word", (F.col("k") / F.sum("k").over(Window.partitionBy("lang"))).alias("share"))
 
@@ -68,13 +147,15 @@ def language_sizes(pages: DataFrame) -> DataFrame:
     return sizes.where((F.col("lang_pages") >= F.col("total") * LEAST_LANGUAGE) & (F.col("lang_pages") >= LEAST_PAGES)).drop("total")
 
 
-def curves(counts: DataFrame, prose: DataFrame) -> DataFrame:
-    """``doc_id, lang, bin, slope, residual, prose``: the rank-frequency line of each page, and how much of it is prose.
+def curves(words: DataFrame, prose: DataFrame) -> DataFrame:
+    """From ``page_words``: ``doc_id, lang, bin, slope, residual, prose``: the rank-frequency line of each page, and how much of it is prose.
 
     ``prose`` is the share of words that are prose words, each taken at most three times its share in the prose of the language:
     the part of the page that its language explains.
     """
     by_page = Window.partitionBy("doc_id", "lang")
+    # Pages are moved whole and taken apart behind the shuffle: the windows need no other.
+    counts = words.repartition("doc_id").select("doc_id", "lang", F.inline("words"))
     known = counts.join(prose, ["lang", "word"], "left")
     ranked = (
         known.withColumn("rank", F.row_number().over(by_page.orderBy(F.desc("k"), "word")))
@@ -134,7 +215,7 @@ _DENSE_RUN = re.compile(f"[{_DENSE}]+")
 
 
 def _words(text: str) -> list[str]:
-    """The same words as ``page_words``."""
+    """The words of a single text, the same as those of ``words_of_batch``."""
     out: list[str] = []
     for w in text.lower().translate(_LETTERS).split():
         if w.isascii() or not _DENSE_RUN.search(w):
@@ -200,10 +281,8 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     pages = (
         documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), "text")
-        .repartition("doc_id")
     )
-    counts = word_counts(pages)
-    prose = prose_words(counts, language_sizes(pages))
+    prose = prose_words(language_words(pages), language_sizes(pages))
     # A table of bounded size, see PROSE_SHARE and LEAST_LANGUAGE, whatever the number of pages.
     rows = prose.collect()
     session = documents.sparkSession
@@ -213,7 +292,7 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     table = session.createDataFrame([tuple(r) for r in rows], "lang string, word string, share double")
     shared = session.sparkContext.broadcast(known)
     # One row a page, used three times: kept, so that the words are counted once for it.
-    suspects = suspected(checkpointed(curves(counts, F.broadcast(table)))).select("doc_id")
+    suspects = suspected(checkpointed(curves(page_words(pages), F.broadcast(table)))).select("doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
