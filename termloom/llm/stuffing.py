@@ -100,19 +100,46 @@ def _plain(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "lang", F.lower(F.regexp_replace("text", _LINK, " link ")).alias("text"))
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """``doc_id, lang, words``: the different words of each page (``doc_id, lang, text``), with how often they are there."""
+def page_entries(pages: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
+    """``doc_id, lang, entries``: how often the words of each page (``doc_id, lang, text``) are there, without the words.
+
+    An entry is (k, share, n): n words that are there k times; a prose word is an entry of its own with its share in
+    the language, all other words of a frequency are one entry with a null share.
+    """
     kind = pages.select("doc_id").schema[0].dataType.simpleString()
+    shared = pages.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = list(shared.value)
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for x in shared.value.values() for w in x))}
+        table = np.full((len(langs) + 1, len(place) + 1), np.nan)
+        for i, lang in enumerate(langs):
+            for w, share in shared.value[lang].items():
+                table[i, place[w]] = share
+        number = {lang: i for i, lang in enumerate(langs)}
         for batch in batches:
             words, which, rows = words_of_batch(batch.column(2))
+            column = np.fromiter((place.get(w, len(place)) for w in words.to_pylist()), np.int64, len(words))
+            lang = np.fromiter((number.get(x, len(langs)) for x in batch.column(1).to_pylist()), np.int64, batch.num_rows)
             both, k = np.unique(rows << 32 | which, return_counts=True)
-            at = np.concatenate([[0], np.cumsum(np.bincount(both >> 32, minlength=batch.num_rows))]).astype(np.int32)
-            entry = pa.StructArray.from_arrays([words.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string()), pa.array(k, pa.int64())], names=["word", "k"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "lang", "words"])
+            row = both >> 32
+            share = table[lang[row], column[both & 0xFFFFFFFF]]
+            plain = np.isnan(share)
+            rest, n = np.unique(row[plain] << 32 | k[plain], return_counts=True)
+            row = np.concatenate([row[~plain], rest >> 32])
+            order = np.argsort(row, kind="stable")
+            entry = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.concatenate([k[~plain], rest & 0xFFFFFFFF])[order].astype(np.int64)),
+                    pa.array(np.concatenate([share[~plain], np.full(len(rest), np.nan)])[order], from_pandas=True),
+                    pa.array(np.concatenate([np.ones(int((~plain).sum()), np.int64), n])[order].astype(np.int32)),
+                ],
+                names=["k", "share", "n"],
+            )
+            at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "lang", "entries"])
 
-    return _plain(pages).mapInArrow(run, f"doc_id {kind}, lang string, words array<struct<word:string,k:bigint>>")
+    return _plain(pages).mapInArrow(run, f"doc_id {kind}, lang string, entries array<struct<k:bigint,share:double,n:int>>")
 
 
 def language_words(pages: DataFrame) -> DataFrame:
@@ -147,18 +174,18 @@ def language_sizes(pages: DataFrame) -> DataFrame:
     return sizes.where((F.col("lang_pages") >= F.col("total") * LEAST_LANGUAGE) & (F.col("lang_pages") >= LEAST_PAGES)).drop("total")
 
 
-def curves(words: DataFrame, prose: DataFrame) -> DataFrame:
-    """From ``page_words``: ``doc_id, lang, bin, slope, residual, prose``: the rank-frequency line of each page, and how much of it is prose.
+def curves(entries: DataFrame) -> DataFrame:
+    """From ``page_entries``: ``doc_id, lang, bin, slope, residual, prose``: the rank-frequency line of each page, and how much of it is prose.
 
     ``prose`` is the share of words that are prose words, each taken at most three times its share in the prose of the language:
     the part of the page that its language explains.
     """
     by_page = Window.partitionBy("doc_id", "lang")
     # Pages are moved whole and taken apart behind the shuffle: the windows need no other.
-    counts = words.repartition("doc_id").select("doc_id", "lang", F.inline("words"))
-    known = counts.join(prose, ["lang", "word"], "left")
+    known = entries.repartition("doc_id").select("doc_id", "lang", F.inline("entries"))
+    known = known.select("doc_id", "lang", "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     ranked = (
-        known.withColumn("rank", F.row_number().over(by_page.orderBy(F.desc("k"), "word")))
+        known.withColumn("rank", F.row_number().over(by_page.orderBy(F.desc("k"), "share")))
         .withColumn("total", F.sum("k").over(by_page))
         .withColumn("explained", F.when(F.col("share").isNotNull(), F.least(F.col("k").cast("double"), 1 + 3 * F.col("share") * F.col("total"))).otherwise(0.0))
     )
@@ -284,15 +311,14 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     )
     prose = prose_words(language_words(pages), language_sizes(pages))
     # A table of bounded size, see PROSE_SHARE and LEAST_LANGUAGE, whatever the number of pages.
-    rows = prose.collect()
-    session = documents.sparkSession
+    shares: dict[str, dict[str, float]] = {}
     known: dict[str, float] = {}
-    for r in rows:
+    for r in prose.collect():
+        shares.setdefault(r.lang, {})[r.word] = r.share
         known[r.word] = max(r.share, known.get(r.word, 0.0))
-    table = session.createDataFrame([tuple(r) for r in rows], "lang string, word string, share double")
-    shared = session.sparkContext.broadcast(known)
+    shared = documents.sparkSession.sparkContext.broadcast(known)
     # One row a page, used three times: kept, so that the words are counted once for it.
-    suspects = suspected(checkpointed(curves(page_words(pages), F.broadcast(table)))).select("doc_id")
+    suspects = suspected(checkpointed(curves(page_entries(pages, shares)))).select("doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
