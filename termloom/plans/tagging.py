@@ -46,7 +46,7 @@ def types_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def requested(spark: SparkSession, folder: str) -> tuple[int, ...]:
     """The requested types: a short list that a user gives."""
-    return tuple(r.type for r in table(spark, folder, "test_types").where("type IS NOT NULL").limit(10_000).collect())
+    return tuple(r.type for r in table(spark, folder, "test_types").where("type IS NOT NULL").distinct().collect())
 
 
 def stop_global(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Where that setting is absent, as on one machine in tests, a temporary folder of that machine is used.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    session = df.sparkSession
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
