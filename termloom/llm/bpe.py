@@ -270,8 +270,10 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text (its last column), at least a row each."""
+    if not batch.num_rows:
+        return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // most
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
@@ -288,7 +290,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch):
                 if part.num_rows:
                     lists = enc.encode(part.column(part.num_columns - 1)).cast(pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*keep, ids])
@@ -305,7 +307,7 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch):
                 if part.num_rows:
                     sizes = pc.list_value_length(enc.encode(part.column(part.num_columns - 1)))
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], sizes], names=[*keep, count])

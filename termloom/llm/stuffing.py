@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.llm.bpe import text_slices
 from termloom.llm.sentences import sentence_spans
 from termloom.sources.staging import checkpointed
 
@@ -45,6 +46,8 @@ _LINK = r"(?:https?://|www\.)[^\s<>\"')\]]*"
 
 
 _WORD, _PAIRED = 1, 2
+#: Bytes of text whose words are found at once; the masks take some tens of times as much memory.
+SLICE = 1 << 21
 
 
 @lru_cache(1)
@@ -117,7 +120,7 @@ def page_entries(pages: DataFrame, shares: dict[str, dict[str, float]]) -> DataF
             for w, share in shared.value[lang].items():
                 table[i, place[w]] = share
         number = {lang: i for i, lang in enumerate(langs)}
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
             words, which, rows = words_of_batch(batch.column(2))
             column = np.fromiter((place.get(w, len(place)) for w in words.to_pylist()), np.int64, len(words))
             lang = np.fromiter((number.get(x, len(langs)) for x in batch.column(1).to_pylist()), np.int64, batch.num_rows)
@@ -146,7 +149,7 @@ def language_words(pages: DataFrame) -> DataFrame:
     """``lang, word, pages, k``: on how many pages of a language a word is, and how often; added up in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
             words, which, rows = words_of_batch(batch.column(2))
             langs = batch.column(1).dictionary_encode()
             both, k = np.unique(rows << 32 | which, return_counts=True)
