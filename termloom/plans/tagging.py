@@ -20,6 +20,7 @@ from termloom.operators.resolution import disambiguated, grouped
 from termloom.operators.segments import inside_segments, segments
 from termloom.operators.windows import candidate_windows, tokens
 from termloom.plans import fixtures as X
+from termloom.sources.staging import checkpointed
 from termloom.sources.tables import table
 
 MAX_TOKENS = 15
@@ -168,19 +169,25 @@ def _scores(typed: DataFrame) -> DataFrame:
     return pair_scores(typed).select("serial1", "serial2", *(F.round(c, 6).alias(c) for c in ("score", "ratio", "s", "s_i", "s_j", "s_ij")))
 
 
+def _sums(mentions: DataFrame) -> DataFrame:
+    """Pair sums, kept: marginals, totals and the pairs themselves are read from them."""
+    return checkpointed(pair_sums(pair_levels(mentions)))
+
+
 def pair_scores_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(typed_pairs(pair_sums(pair_levels(_given_mentions(spark, folder))), types_of(spark, folder)))
+    return _scores(typed_pairs(_sums(_given_mentions(spark, folder)), types_of(spark, folder)))
 
 
 def pair_scores_selective(spark: SparkSession, folder: str) -> DataFrame:
     allowed = X.rows(spark, X.TYPE_PAIRS, "type1 int, type2 int")
-    return _scores(typed_pairs(pair_sums(pair_levels(_given_mentions(spark, folder))), types_of(spark, folder), allowed))
+    return _scores(typed_pairs(_sums(_given_mentions(spark, folder)), types_of(spark, folder), allowed))
 
 
 def corpus_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """From documents to scores: tagging, disambiguation, segments, levels, sums, scores."""
-    found = _structured(spark, folder, disambiguated(matches(spark, folder)))
-    return _scores(typed_pairs(pair_sums(pair_levels(found)), types_of(spark, folder)))
+    # Six sides of joins read the mentions: they are found once.
+    found = checkpointed(_structured(spark, folder, disambiguated(matches(spark, folder))))
+    return _scores(typed_pairs(_sums(found), types_of(spark, folder)))
 
 
 def clean_dictionary_log(spark: SparkSession, folder: str) -> DataFrame:
