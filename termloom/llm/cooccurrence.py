@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.sources.staging import checkpointed
+
 BLOCK = 256
 #: An item in more records than this has its stripe split into parts.
 RECORDS_PER_PART = 20_000
@@ -151,7 +153,8 @@ def stripes(items: DataFrame, record: str, item: str, least_records: int = 1, le
     """
     pairs = items.select(F.col(record).alias("record"), F.col(item).cast("bigint").alias("item")).where("record IS NOT NULL AND item IS NOT NULL").distinct()
     known = pairs.groupBy("item").agg(F.count("*").alias("n1")).where(F.col("n1") >= least_records)
-    kept = pairs.join(known, "item")
+    # Used five times below: kept, so that it is computed once.
+    kept = checkpointed(pairs.join(known, "item"))
     large = kept.groupBy("record").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     entry = F.collect_list(F.struct("item", "n1")).alias("list")
     none = F.lit(None).cast("array<bigint>")
