@@ -18,17 +18,25 @@ TAG = re.compile(
     r"|</?[a-z0-9_]+(([ \t\r\n]+[a-z0-9_:-]+([ \t\r\n]*=[ \t\r\n]*(\".*?\"|'.*?'|[^\"'> \t\r\n]+))?)+[ \t\r\n]*|[ \t\r\n]*)/?>",
     re.IGNORECASE | re.DOTALL,
 )
-EARLIER = re.compile(r"(<span [^>]*?startReflectPopupTimer.*?>(.*?)</span>|<div [^>]*?reflect_.*?>.*?</div>\n?|</body>|</html>)", re.IGNORECASE | re.DOTALL)
+_DIV = r"|<div [^>]*?{}_.*?>.*?</div>\n?|</body>|</html>)"
 
 
-def masked_of(text: str) -> tuple[str, list[tuple[int, int]]]:
+def earlier_marks(product: str = "") -> re.Pattern:
+    """The marks of an earlier annotation: spans with a popup timer, blocks named after ``product``, and the ends of the page."""
+    return re.compile(r"(<span [^>]*?start\w*PopupTimer.*?>(.*?)</span>" + _DIV.format(re.escape(product.lower() or "annotation")), re.IGNORECASE | re.DOTALL)
+
+
+EARLIER = earlier_marks()
+
+
+def masked_of(text: str, earlier: re.Pattern = EARLIER) -> tuple[str, list[tuple[int, int]]]:
     """A string with NUL in place of markup, and the spans of earlier annotations to remove (last byte inclusive)."""
     keep: list[str] = []
     removals: list[tuple[int, int]] = []
     at = 0
     while (tag := TAG.search(text, at)) is not None:
         keep.append(text[at : tag.start()])
-        if (old := EARLIER.match(text, tag.start())) is None:
+        if (old := earlier.match(text, tag.start())) is None:
             keep.append("\0" * (tag.end() - tag.start()))
             at = tag.end()
             continue
@@ -43,16 +51,17 @@ def masked_of(text: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(keep), removals
 
 
-def masked(documents: DataFrame) -> DataFrame:
+def masked(documents: DataFrame, product: str = "") -> DataFrame:
     """``doc_id, text, removals``: documents with NUL bytes in place of markup, all positions kept, and the spans to remove."""
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
+    earlier = earlier_marks(product)
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = [], []
             for text in batch.column(1).to_pylist():
-                out, removals = masked_of((text or "").encode().decode("latin-1"))
+                out, removals = masked_of((text or "").encode().decode("latin-1"), earlier)
                 texts.append(None if text is None else out.encode("latin-1").decode("utf-8", "replace"))
                 spans.append([{"start": a, "stop": b} for a, b in removals])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, span)], names=["doc_id", "text", "removals"])
@@ -61,13 +70,13 @@ def masked(documents: DataFrame) -> DataFrame:
 
 
 def annotated(
-    documents: DataFrame, matches: DataFrame, removals: DataFrame | None = None, basename: str = "tagger", styles: tuple[tuple[Column, str], ...] = (),
-    add_events: bool = False, extra_classes: bool = False, force_important: bool = False, footer: str = "",
+    documents: DataFrame, matches: DataFrame, removals: DataFrame | None = None, basename: str = "entity", styles: tuple[tuple[Column, str], ...] = (),
+    add_events: bool = False, extra_classes: bool = False, force_important: bool = False, footer: str = "", product: str = "",
 ) -> DataFrame:
     """``doc_id, html``: documents with their mentions in spans, and the lists of entities and types at the end.
 
     ``styles`` are (condition on the column ``type``, style) in order of priority; the first that any entity of a
-    mention meets is its style. ``removals`` has ``doc_id, removals`` as ``masked`` gives them.
+    mention meets is its style. ``product`` is the name in the handlers and blocks that a page's script looks for. ``removals`` has ``doc_id, removals`` as ``masked`` gives them.
     """
     code = lambda e: F.concat(e["type"].cast("string"), F.lit("."), F.coalesce(e["identifier"], e["serial"].cast("string")))
     rank = F.coalesce(*(F.when(F.exists("entities", lambda e, c=c: c(e["type"]) if callable(c) else F.lit(True)), F.lit(s)) for c, s in styles), F.lit("")) if styles else F.lit("")
@@ -75,7 +84,7 @@ def annotated(
     marked = matches.withColumn("list", F.array_join(F.transform("entities", code), ";")).withColumn("md5", F.md5("list"))
     classes = F.concat(F.lit(f"{basename}_match"), F.concat_ws("", F.transform("entities", lambda e: F.concat(F.lit(" "), F.coalesce(e["identifier"], e["serial"].cast("string"))))) if extra_classes else F.lit(""))
     quoted = F.concat(F.lit("('"), F.col("md5"), F.lit("','"), F.col("text"), F.lit("')"))
-    events = F.concat(F.lit('onMouseOver="startReflectPopupTimer'), quoted, F.lit('" onMouseOut="stopReflectPopupTimer()" onclick="showReflectPopup'), quoted, F.lit('"')) if add_events else F.lit("")
+    events = F.concat(F.lit('onMouseOver="start' + product + "PopupTimer"), quoted, F.lit('" onMouseOut="stop' + product + 'PopupTimer()" onclick="show' + product + "Popup"), quoted, F.lit('"')) if add_events else F.lit("")
     opening = F.concat(F.lit('<span class="'), classes, F.lit('" style="'), style, F.lit('" '), events, F.lit(">"))
     pieces = marked.select("doc_id", F.struct("start", "stop", latin(F.concat(opening, F.col("text"), F.lit("</span>"))).alias("new"), "list", "md5", F.col("entities.type").alias("types")).alias("p"))
     if removals is not None:
@@ -99,7 +108,7 @@ def annotated(
         F.concat(
             from_latin(body), div(f'class="{basename}_entities" style="display: none;"'), F.lit("\n"), F.array_join(lists, ""), F.lit("</div>\n"),
             div(f'style="display: none;" class="{basename}_entity_types"'), F.lit("\n"), F.array_join(types, ""), F.lit("</div>\n"),
-            div(f'style="display: none;" id="{basename}_div_doi"'), F.col("doc_id").cast("string"), F.lit('</div>\n<div name="reflect_v2" style="display: none;"></div>\n'),
+            div(f'style="display: none;" id="{basename}_div_doi"'), F.col("doc_id").cast("string"), F.lit(f'</div>\n<div name="{product.lower() or "annotation"}_v2" style="display: none;"></div>\n'),
             F.lit(footer), F.lit("</body>\n</html>\n"),
         ).alias("html"),
     )

@@ -184,7 +184,7 @@ def test_markup(spark):
     found = find_mentions(with_blocked(dictionary_hits(candidate_windows(hidden.select("doc_id", "text"), known), known)))
     assert [text[a : b + 1] for a, b, _ in spans(found)] == ["abcd", "abcd"]
     html = annotated(documents, found, hidden).collect()[0].html
-    assert html.count('<span class="tagger_match"') == 2 and html.count("</html>") == 1 and "<b>ab</b>cd" in html
+    assert html.count('<span class="entity_match"') == 2 and html.count("</html>") == 1 and "<b>ab</b>cd" in html
 
 
 def test_forms(spark):
