@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.sources.staging import checkpointed
+
 LEVELS = ("source", "lang", "site")
 #: Exponent of the tokens as weight, by level below the top.
 POWERS = {"lang": 0.7, "site": 1.0}
@@ -82,6 +84,8 @@ def budgets(documents: DataFrame, targets: DataFrame, total: float | None = None
         .join(goals, "source")
         .withColumn("capacity", F.col("tokens") * F.col("max_repeats"))
     )
+    # A row for each leaf, read at every level of the tree: kept, so that the documents are summed once.
+    leaves = checkpointed(leaves)
     nodes = leaves.groupBy("source").agg(F.sum("capacity").alias("capacity"), F.first("target_share").alias("weight"))
     everything = Window.partitionBy(F.lit(1))  # as many rows as targets
     nodes = nodes.withColumn("weight", F.col("weight") / F.sum("weight").over(everything))
@@ -97,7 +101,8 @@ def budgets(documents: DataFrame, targets: DataFrame, total: float | None = None
             .join(nodes, list(parent))
         )
         nodes = _share(own, parent).select(*keys, F.col("budget").alias("parent_budget"))
-    return leaves.join(nodes.withColumnRenamed("parent_budget", "budget"), list(LEVELS)).select(*LEVELS, "tokens", "max_repeats", "capacity", "budget")
+    full = leaves.join(nodes.withColumnRenamed("parent_budget", "budget"), list(LEVELS))
+    return checkpointed(full.select(*LEVELS, "tokens", "max_repeats", "capacity", "budget"))
 
 
 def _fill(borders: DataFrame) -> DataFrame:
