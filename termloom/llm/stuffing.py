@@ -7,6 +7,7 @@ language and of comparable length; a page that is extreme in any of them is susp
 
 Suspected pages, and no others, get an exact check of their whole text: the share of characters in spans that are
 links, hold hardly a prose word, or consist of words that the page repeats far more often than its language does.
+Languages of a few pages have no prose words; their pages are all checked, by links and repetition only.
 
 Defined results: null, empty and blank texts, and texts without words, are no cases; a null id can't be reported and is
 left out; a null language counts as ``und``; repeated ids are judged by row and reported once.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,12 +34,17 @@ from termloom.sources.staging import checkpointed
 #: A word on this share of a language's pages is one of its prose words. A page of w different words can hold at most w
 #: of them, so there are at most w / PROSE_SHARE for a language, w being the mean over its pages.
 PROSE_SHARE = 0.15
-#: Languages with fewer pages than this share of all have no prose words of their own: at most 1 / LEAST_LANGUAGE tables.
-LEAST_LANGUAGE, LEAST_PAGES = 0.0005, 10
+#: The prose words of languages from this share of all pages are a table in memory (at most 1 / LEAST_LANGUAGE of them), those of
+#: all others are joined. This is a matter of plan only: the results are the same.
+LEAST_LANGUAGE = 0.0005
+#: Fewer pages say nothing on the prose of a language: its pages are all checked, by repetition and links only.
+LEAST_PAGES = 10
 #: A page is suspected if it departs this far from the middle of its language and length.
 SLOPE_GAP, RESIDUAL_RATIO, PROSE_RATIO, VARIETY_RATIO = 0.35, 1.8, 0.82, 0.5
 #: Shares of the exact check: spans are stuffed below PROSE_LEAST of prose words, above HEAVY_MOST of heavy words, above LINK_MOST of links.
 PROSE_LEAST, HEAVY_MOST, LINK_MOST, STUFFED_SHARE = 0.25, 0.25, 0.4, 0.58
+#: Where the prose of a language isn't known, a word is heavy from this share of a page; no word of real prose has as much.
+HEAVY_ALONE = 0.1
 
 #: Scripts without spaces, in which pairs of characters stand for words: Thai, Han, Hiragana and Katakana, as ranges.
 _DENSE = "ก-ฺเ-๛⺀-⿕々〇〡-〩〸-〻ぁ-ゟァ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎ｦ-ﾝ𠀀-𲎯"
@@ -99,12 +105,14 @@ def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings.dictionary, strings.indices.to_numpy().astype(np.int64), rows
 
 
-def _plain(pages: DataFrame) -> DataFrame:
-    return pages.select("doc_id", "lang", F.lower(F.regexp_replace("text", _LINK, " link ")).alias("text"))
+def _plain(pages: DataFrame, *more: str) -> DataFrame:
+    return pages.select(*more, "doc_id", "lang", F.lower(F.regexp_replace("text", _LINK, " link ")).alias("text"))
 
 
 def page_entries(pages: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
-    """``doc_id, lang, entries``: how often the words of each page (``doc_id, lang, text``) are there, without the words.
+    """``doc_id, lang, judged, entries``: how often the words of each page (``doc_id, lang, text``) are there, without the words.
+
+    ``judged`` if the language is one of ``shares``.
 
     An entry is (k, share, n): n words that are there k times; a prose word is an entry of its own with its share in
     the language, all other words of a frequency are one entry with a null share.
@@ -140,9 +148,37 @@ def page_entries(pages: DataFrame, shares: dict[str, dict[str, float]]) -> DataF
                 names=["k", "share", "n"],
             )
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "lang", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang < len(langs)), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "lang", "judged", "entries"])
+
+    return _plain(pages).mapInArrow(run, f"doc_id {kind}, lang string, judged boolean, entries array<struct<k:bigint,share:double,n:int>>")
 
-    return _plain(pages).mapInArrow(run, f"doc_id {kind}, lang string, entries array<struct<k:bigint,share:double,n:int>>")
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """``row, doc_id, lang, word, k``: how often each word is on each page (``row, doc_id, lang, text``)."""
+    kind = pages.select("doc_id").schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
+            words, which, rows = words_of_batch(batch.column(3))
+            both, k = np.unique(rows << 32 | which, return_counts=True)
+            row = pa.array(both >> 32)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(row) for i in range(3)), words.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string()), pa.array(k.astype(np.int64))],
+                names=["row", "doc_id", "lang", "word", "k"],
+            )
+
+    return _plain(pages, "row").mapInArrow(run, f"row bigint, doc_id {kind}, lang string, word string, k bigint")
+
+
+def joined_entries(pages: DataFrame, prose: DataFrame) -> DataFrame:
+    """The same as ``page_entries``, by a join of the words of pages with the prose words of any number of languages."""
+    words = page_words(pages.withColumn("row", F.monotonically_increasing_id())).join(prose, ["lang", "word"], "left")
+    entries = words.groupBy("row", "doc_id", "lang").agg(F.collect_list(F.struct("k", "share", F.lit(1).alias("n"))).alias("entries"))
+    return entries.join(_languages(prose), "lang", "left").select("doc_id", "lang", F.col("judged").isNotNull().alias("judged"), "entries")
+
+
+def _languages(prose: DataFrame) -> DataFrame:
+    return prose.select("lang").distinct().withColumn("judged", F.lit(True))
 
 
 def language_words(pages: DataFrame) -> DataFrame:
@@ -165,28 +201,28 @@ def language_words(pages: DataFrame) -> DataFrame:
 
 
 def prose_words(words: DataFrame, languages: DataFrame) -> DataFrame:
-    """``lang, word, share``: the prose words of each language with their share of all its prose words."""
+    """``lang, large, word, share``: the prose words of each language with their share of all its prose words."""
     common = words.join(languages, "lang").where((F.col("pages") >= F.greatest(F.lit(3), F.col("lang_pages") * PROSE_SHARE)) & ~F.col("word").rlike(r"^\p{N}+$"))
-    return common.select("lang", "word", (F.col("k") / F.sum("k").over(Window.partitionBy("lang"))).alias("share"))
+    return common.select("lang", "large", "word", (F.col("k") / F.sum("k").over(Window.partitionBy("lang"))).alias("share"))
 
 
 def language_sizes(pages: DataFrame) -> DataFrame:
-    """``lang, lang_pages`` of the languages that are large enough."""
+    """``lang, lang_pages, large`` of the languages that have prose words."""
     total = F.sum("lang_pages").over(Window.partitionBy(F.lit(1)))  # as many rows as languages
-    sizes = pages.groupBy("lang").agg(F.count("*").alias("lang_pages")).withColumn("total", total)
-    return sizes.where((F.col("lang_pages") >= F.col("total") * LEAST_LANGUAGE) & (F.col("lang_pages") >= LEAST_PAGES)).drop("total")
+    sizes = pages.groupBy("lang").agg(F.count("*").alias("lang_pages")).withColumn("large", F.col("lang_pages") >= total * LEAST_LANGUAGE)
+    return sizes.where(F.col("lang_pages") >= LEAST_PAGES)
 
 
 def curves(entries: DataFrame) -> DataFrame:
-    """From ``page_entries``: ``doc_id, lang, bin, slope, residual, prose``: the rank-frequency line of each page, and how much of it is prose.
+    """From ``page_entries``: ``doc_id, lang, judged, bin, slope, residual, prose, variety``: the rank-frequency line of each page, and how much of it is prose.
 
     ``prose`` is the share of words that are prose words, each taken at most three times its share in the prose of the language:
-    the part of the page that its language explains.
+    the part of the page that its language explains. It is null if the language has none.
     """
     by_page = Window.partitionBy("doc_id", "lang")
     # Pages are moved whole and taken apart behind the shuffle: the windows need no other.
-    known = entries.repartition("doc_id").select("doc_id", "lang", F.inline("entries"))
-    known = known.select("doc_id", "lang", "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    known = entries.repartition("doc_id").select("doc_id", "lang", "judged", F.inline("entries"))
+    known = known.select("doc_id", "lang", "judged", "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     ranked = (
         known.withColumn("rank", F.row_number().over(by_page.orderBy(F.desc("k"), "share")))
         .withColumn("total", F.sum("k").over(by_page))
@@ -195,21 +231,21 @@ def curves(entries: DataFrame) -> DataFrame:
     x, y = F.log(F.col("rank").cast("double")), F.log(F.col("k").cast("double"))
     # Ranks that share a frequency count by their words: the line is fitted to the head, where words repeat.
     w = F.sqrt("k")
-    sums = ranked.groupBy("doc_id", "lang").agg(
+    sums = ranked.groupBy("doc_id", "lang", "judged").agg(
         F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"),
-        F.sum("k").alias("words"), (F.sum("explained") / F.sum("k")).alias("prose"), (F.count("*") / F.sum("k")).alias("variety"),
+        F.sum("k").alias("words"), F.when(F.col("judged"), F.sum("explained") / F.sum("k")).alias("prose"), (F.count("*") / F.sum("k")).alias("variety"),
     )
     sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) / F.col("w") for a, b, c in (("wxx", "wx", "wx"), ("wxy", "wx", "wy"), ("wyy", "wy", "wy")))
     slope = F.when(sxx > 1e-9, -sxy / sxx).otherwise(0.0)
     residual = F.sqrt(F.greatest(F.lit(0.0), (syy - F.when(sxx > 1e-9, sxy * sxy / sxx).otherwise(0.0)) / F.col("w")))
-    return sums.select("doc_id", "lang", F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("bin"), slope.alias("slope"), residual.alias("residual"), "prose", "variety")
+    return sums.select("doc_id", "lang", "judged", F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("bin"), slope.alias("slope"), residual.alias("residual"), "prose", "variety")
 
 
 def suspected(lines: DataFrame) -> DataFrame:
     """``doc_id`` of the pages whose curve or prose departs from the middle of their language and length.
 
     The middle of a (language, length) cell is blended with that of all pages of the length, so that a cell of a few
-    pages, or one that stuffing fills, can't hide it.
+    pages, or one that stuffing fills, can't hide it. Pages of languages without prose words are all suspected.
     """
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     upper = lambda c: F.percentile_approx(c, 0.7, 1000)
@@ -221,7 +257,8 @@ def suspected(lines: DataFrame) -> DataFrame:
           for c, name in (("s", "slope0"), ("r", "residual0"), ("p", "prose0"), ("v", "variety0"))),
     )
     return lines.join(norms, ["lang", "bin"]).where(
-        (F.abs(F.col("slope") - F.col("slope0")) > SLOPE_GAP)
+        ~F.col("judged")
+        | (F.abs(F.col("slope") - F.col("slope0")) > SLOPE_GAP)
         | (F.col("residual") > F.col("residual0") * RESIDUAL_RATIO)
         | (F.col("prose") < F.col("prose0") * PROSE_RATIO)
         | (F.col("variety") < F.col("variety0") * VARIETY_RATIO)
@@ -283,14 +320,19 @@ def _spans(text: str) -> list[str]:
     return [*out, held] if held else out
 
 
-def stuffed_share(text: str, prose: dict[str, float]) -> float:
-    """The share of a page's characters in spans of keywords, links or tags. ``prose``: prose words with their largest share in a language."""
+def stuffed_share(text: str, prose: dict[str, float], judged: bool = True) -> float:
+    """The share of a page's characters in spans of keywords, links or tags. ``prose``: prose words with their largest share in a language.
+
+    Unless ``judged``, the page's language has no prose words: that a word is not in ``prose`` then says nothing.
+    """
     counts = Counter(_words(_CHECK_LINK.sub(" ", text)))
     total = sum(counts.values())
 
     def heavy(word: str, k: int) -> bool:
         if k < 3 or k < 0.02 * total or word.isdigit():
             return False
+        if not judged and word not in prose:
+            return k >= HEAVY_ALONE * total
         return word not in prose or k >= 8 and k / total >= 8 * prose[word]
 
     often = {w for w, k in counts.items() if heavy(w, k)}
@@ -300,7 +342,7 @@ def stuffed_share(text: str, prose: dict[str, float]) -> float:
         words = [w for w in _words(_CHECK_LINK.sub(" ", span)) if not w.isdigit()]
         k, size = len(words), len(span.strip())
         plain = sum(w in prose and w not in often for w in words)
-        bad = links > LINK_MOST * size or k and (plain < PROSE_LEAST * k and size < 30 * (k + links // 5) or sum(w in often for w in words) > HEAVY_MOST * k)
+        bad = links > LINK_MOST * size or k and (judged and plain < PROSE_LEAST * k and size < 30 * (k + links // 5) or sum(w in often for w in words) > HEAVY_MOST * k)
         whole += size
         stuffed += size if bad else 0
     return stuffed / whole if whole else 0.0
@@ -312,23 +354,45 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
         documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), "text")
     )
-    prose = prose_words(language_words(pages), language_sizes(pages))
+    sizes = language_sizes(pages)
+    joined = bool(sizes.where("NOT large").take(1))
+    prose = prose_words(language_words(pages), sizes)
+    if joined:
+        prose = checkpointed(prose)
     # A table of bounded size, see PROSE_SHARE and LEAST_LANGUAGE, whatever the number of pages.
     shares: dict[str, dict[str, float]] = {}
     known: dict[str, float] = {}
-    for r in prose.collect():
+    for r in prose.where("large").collect():
         shares.setdefault(r.lang, {})[r.word] = r.share
         known[r.word] = max(r.share, known.get(r.word, 0.0))
     shared = documents.sparkSession.sparkContext.broadcast(known)
+    large, rest = F.col("lang").isin(list(shares)), prose.where("NOT large").drop("large")
+    if joined:
+        entries = page_entries(pages.where(large), shares).unionByName(joined_entries(pages.where(~large), rest))
+    else:
+        entries = page_entries(pages, shares)
     # One row a page, used three times: kept, so that the words are counted once for it.
-    suspects = suspected(checkpointed(curves(page_entries(pages, shares)))).select("doc_id")
+    suspects = suspected(checkpointed(curves(entries))).select("doc_id")
+    checked = pages.join(suspects, "doc_id", "left_semi")
+    if joined:
+        # The words of small languages that a page holds come with it. Equal texts of an id share a row, as they share their words.
+        checked = checkpointed(checked.withColumn("row", F.xxhash64("text")))
+        found = page_words(checked).join(rest.groupBy("word").agg(F.max("share").alias("share")), "word")
+        found = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("word", "share")).alias("more"))
+        checked = checked.join(found, ["doc_id", "row"], "left").join(_languages(rest), "lang", "left")
+        checked = checked.select("doc_id", "text", (large | F.col("judged").isNotNull()).alias("judged"), "more.word", "more.share")
+    else:
+        checked = checked.select("doc_id", "text", large.alias("judged"), F.lit(None).cast("array<string>").alias("word"), F.lit(None).cast("array<double>").alias("share"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        known = shared.value
         for batch in batches:
-            shares = [stuffed_share(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["doc_id", "share"])
+            out = []
+            for _, text, judged, words, shares in zip(*(c.to_pylist() for c in batch.columns)):
+                more = {w: max(x, known.get(w, 0.0)) for w, x in zip(words or (), shares or ())}
+                out.append(stuffed_share(text, ChainMap(more, known) if more else known, judged))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "share"])
 
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    checked = pages.join(suspects, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(check, f"doc_id {kind}, share double")
+    checked = checked.mapInArrow(check, f"doc_id {kind}, share double")
     return checked.groupBy("doc_id").agg(F.max("share").alias("share")).where(F.col("share") >= STUFFED_SHARE)

@@ -191,6 +191,27 @@ def test_stuffed_pages(spark):
     assert sorted(got) == sorted(STUFFED)
 
 
+def small_language(lang, first, n, start):
+    """Pages whose words are in no other language: word k is in every page's sentences."""
+    rng = random.Random(first)
+    common = [f"{lang}{w}" for w in "ta lo mi ren sul vok dap ke nu ori bas tem".split()]
+    rare = [f"{lang}{a}{b}" for a in "bcdfgklm" for b in "aeiou"]
+    sentence = lambda: " ".join(rng.sample(common, 5) + rng.sample(rare, 5)).capitalize() + "."
+    return [(start + k, lang, " ".join(sentence() for _ in range(9))) for k in range(n)]
+
+
+@pytest.mark.parametrize("least", [0.0005, 0.3, 2.0])
+def test_small_languages_are_judged_by_their_own_prose(spark, monkeypatch, least):
+    # 0.3: the middle language is joined; 2.0: all languages are joined. The rows are the same.
+    monkeypatch.setattr(stuffing, "LEAST_LANGUAGE", least)
+    rows = [*pages(), *((k, "en", t) for k, t in STUFFED.items())]
+    rows += small_language("xa", 1, 14, 3000) + small_language("xb", 2, 4, 4000)
+    rows += [(3100, "xa", STUFFED[1004]), (4100, "xb", STUFFED[1001]), (4101, "xb", STUFFED[1000])]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = [r.doc_id for r in stuffing.stuffed_pages(df).collect()]
+    assert sorted(got) == sorted([*STUFFED, 3100, 4100, 4101])
+
+
 def test_words_by_masks_and_by_scan():
     random.seed(7)
     texts = ["".join(random.choices(["a", "B", "é", "中", "文", "ไ", "ท", " ", "-", "1", "́", "の", ".", "में"], k=20)).lower() for _ in range(300)] + ["", None]
