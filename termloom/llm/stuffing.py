@@ -2,7 +2,7 @@
 
 The words of each page are counted, ranked by SQL windows, and a line is fitted to the logarithms of rank and
 frequency. Per language, the words of a large share of its pages are its prose words, and a page's divergence from its
-language is measured over them. Slope, residual and divergence are held against the middle of the pages of the same
+language is measured over them. Pages of repeated words have no say in it, and a site has a small one however many pages it has. Slope, residual and divergence are held against the middle of the pages of the same
 language and of comparable length; a page that is extreme in any of them is suspected.
 
 Suspected pages, and no others, get an exact check of their whole text: the share of characters in spans that are
@@ -39,6 +39,11 @@ PROSE_SHARE = 0.15
 LEAST_LANGUAGE = 0.0005
 #: Fewer pages say nothing on the prose of a language: its pages are all checked, by repetition and links only.
 LEAST_PAGES = 10
+#: What counts as prose is voted on by the pages of a language. A word that is this share of a page (three times at least) gets no
+#: vote of it; a page that consists of such words by EXTREME_MOST, or has under LEAST_VARIETY x sqrt(words) different words, doesn't vote.
+EXTREME, EXTREME_MOST, LEAST_VARIETY = 0.12, 0.25, 1.5
+#: All pages of a site together have this share of the votes of a language at most (a page's vote at least), in units of VOTE a page.
+SITE_MOST, VOTE = 0.01, 1000
 #: A page is suspected if it departs this far from the middle of its language and length.
 SLOPE_GAP, RESIDUAL_RATIO, PROSE_RATIO, VARIETY_RATIO = 0.35, 1.8, 0.82, 0.5
 #: Shares of the exact check: spans are stuffed below PROSE_LEAST of prose words, above HEAVY_MOST of heavy words, above LINK_MOST of links.
@@ -181,28 +186,58 @@ def _languages(prose: DataFrame) -> DataFrame:
     return prose.select("lang").distinct().withColumn("judged", F.lit(True))
 
 
+def voters(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``vote``, the weight of a page's words: less for the pages of a site with a large share of a language, if there is a ``site``."""
+    if "site" not in pages.columns:
+        return pages.withColumn("vote", F.lit(VOTE))
+    sizes = pages.groupBy("lang").agg(F.count("*").alias("lang_pages"))
+    sites = pages.where("site IS NOT NULL").groupBy("lang", "site").agg(F.count("*").alias("n")).join(sizes, "lang")
+    most = F.greatest(F.lit(1.0), F.col("lang_pages") * SITE_MOST)
+    # At most 1 / SITE_MOST sites of a language.
+    hot = sites.where(F.col("n") > most).select("lang", "site", F.greatest(F.lit(1), F.round(most / F.col("n") * VOTE).cast("int")).alias("vote"))
+    return pages.join(hot, ["lang", "site"], "left").withColumn("vote", F.coalesce("vote", F.lit(VOTE)))
+
+
 def language_words(pages: DataFrame) -> DataFrame:
-    """``lang, word, pages, k``: on how many pages of a language a word is, and how often; added up in each batch first."""
+    """``lang, word, raw, pages, k``: on how many voting pages of a language a word is, with their votes, and how often it is there by votes.
+
+    ``pages`` has ``vote, doc_id, lang, text``. The null word is on each voting page. Added up in each batch first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
-            words, which, rows = words_of_batch(batch.column(2))
-            langs = batch.column(1).dictionary_encode()
+            words, which, rows = words_of_batch(batch.column(3))
+            langs = batch.column(2).dictionary_encode()
+            of_row = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            vote = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             both, k = np.unique(rows << 32 | which, return_counts=True)
-            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[both >> 32]
-            key, at, pages_ = np.unique(lang << 32 | (both & 0xFFFFFFFF), return_inverse=True, return_counts=True)
+            row, word = both >> 32, both & 0xFFFFFFFF
+            total = np.bincount(rows, minlength=batch.num_rows)
+            extreme = (k >= 3) & (k >= EXTREME * total[row])
+            votes = (np.bincount(row[extreme], k[extreme], batch.num_rows) <= EXTREME_MOST * total) & (np.bincount(row, minlength=batch.num_rows) >= LEAST_VARIETY * np.sqrt(total)) & (total > 0)
+            counted = votes[row] & ~extreme
+            voting = np.flatnonzero(votes)
+            # The null word is the one behind all words.
+            row = np.concatenate([row[counted], voting])
+            word = np.concatenate([word[counted], np.full(len(voting), len(words))])
+            k = np.concatenate([k[counted], np.zeros(len(voting), np.int64)])
+            key, at, raw = np.unique(of_row[row] << 32 | word, return_inverse=True, return_counts=True)
+            total_of = lambda x: pa.array(np.bincount(at, x, len(key)).astype(np.int64))
+            strings = pa.concat_arrays([words.cast(pa.string()), pa.nulls(1, pa.string())])
             yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(key >> 32)), words.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string()), pa.array(pages_, pa.int64()), pa.array(np.bincount(at, k, len(key)).astype(np.int64))],
-                names=["lang", "word", "pages", "k"],
+                [langs.dictionary.take(pa.array(key >> 32)), strings.take(pa.array(key & 0xFFFFFFFF)), pa.array(raw.astype(np.int64)), total_of(vote[row]), total_of(k * vote[row])],
+                names=["lang", "word", "raw", "pages", "k"],
             )
 
-    parts = _plain(pages).mapInArrow(run, "lang string, word string, pages bigint, k bigint")
-    return parts.groupBy("lang", "word").agg(F.sum("pages").alias("pages"), F.sum("k").alias("k"))
+    parts = _plain(pages, "vote").mapInArrow(run, "lang string, word string, raw bigint, pages bigint, k bigint")
+    return parts.groupBy("lang", "word").agg(*(F.sum(c).alias(c) for c in ("raw", "pages", "k")))
 
 
 def prose_words(words: DataFrame, languages: DataFrame) -> DataFrame:
     """``lang, large, word, share``: the prose words of each language with their share of all its prose words."""
-    common = words.join(languages, "lang").where((F.col("pages") >= F.greatest(F.lit(3), F.col("lang_pages") * PROSE_SHARE)) & ~F.col("word").rlike(r"^\p{N}+$"))
+    words = checkpointed(words.where("raw >= 3"))  # used twice
+    votes = words.where(F.col("word").isNull() & (F.col("raw") >= LEAST_PAGES)).select("lang", F.col("pages").alias("votes"))
+    common = words.join(languages, "lang").join(votes, "lang").where((F.col("pages") >= F.col("votes") * PROSE_SHARE) & ~F.col("word").rlike(r"^\p{N}+$"))
     return common.select("lang", "large", "word", (F.col("k") / F.sum("k").over(Window.partitionBy("lang"))).alias("share"))
 
 
@@ -349,14 +384,15 @@ def stuffed_share(text: str, prose: dict[str, float], judged: bool = True) -> fl
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """``doc_id, share`` of the pages that are keyword or link spam. ``documents`` has ``doc_id, lang, text``."""
+    """``doc_id, share`` of the pages that are keyword or link spam. ``documents`` has ``doc_id, lang, text``, and ``site`` if known."""
+    site = [c for c in ("site",) if c in documents.columns]
     pages = (
         documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), "text")
+        .select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), "text", *site)
     )
     sizes = language_sizes(pages)
     joined = bool(sizes.where("NOT large").take(1))
-    prose = prose_words(language_words(pages), sizes)
+    prose = prose_words(language_words(voters(pages)), sizes)
     if joined:
         prose = checkpointed(prose)
     # A table of bounded size, see PROSE_SHARE and LEAST_LANGUAGE, whatever the number of pages.

@@ -212,6 +212,24 @@ def test_small_languages_are_judged_by_their_own_prose(spark, monkeypatch, least
     assert sorted(got) == sorted([*STUFFED, 3100, 4100, 4101])
 
 
+def test_a_spam_template_on_a_third_of_pages_is_no_prose(spark):
+    rng = random.Random(8)
+    rows = [(k, "en", " ".join(PROSE(*rng.sample(NOUNS, 3), k) for _ in range(rng.randint(6, 8)))) for k in range(100)]
+    spam = "zorb kit cheap deal blik".split() * 40
+    rows += [(1000 + k, "en", " ".join(rng.sample(spam, 200))) for k in range(50)]
+    got = [r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()]
+    assert sorted(got) == list(range(1000, 1050))
+
+
+def test_a_site_with_a_third_of_pages_does_not_make_its_tags_prose(spark):
+    rng = random.Random(9)
+    rows = [(k, "en", " ".join(PROSE(*rng.sample(NOUNS, 3), k) for _ in range(rng.randint(6, 8))), f"s{k}") for k in range(100)]
+    tags = [a + b for a in "zor bli kra tum fex".split() for b in "bo na ti lu re mi sa do".split()]
+    rows += [(1000 + k, "en", "\n".join("Tags: " + ", ".join(rng.sample(tags, 7)) for _ in range(20)), "hot") for k in range(50)]
+    got = [r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, lang string, text string, site string")).collect()]
+    assert sorted(got) == list(range(1000, 1050))
+
+
 def test_words_by_masks_and_by_scan():
     random.seed(7)
     texts = ["".join(random.choices(["a", "B", "é", "中", "文", "ไ", "ท", " ", "-", "1", "́", "の", ".", "में"], k=20)).lower() for _ in range(300)] + ["", None]
