@@ -193,9 +193,9 @@ def voters(pages: DataFrame) -> DataFrame:
     sizes = pages.groupBy("lang").agg(F.count("*").alias("lang_pages"))
     sites = pages.where("site IS NOT NULL").groupBy("lang", "site").agg(F.count("*").alias("n")).join(sizes, "lang")
     most = F.greatest(F.lit(1.0), F.col("lang_pages") * SITE_MOST)
-    # At most 1 / SITE_MOST sites of a language.
+    # At most 1 / SITE_MOST sites of a language, however many pages: broadcast, so that texts needn't move.
     hot = sites.where(F.col("n") > most).select("lang", "site", F.greatest(F.lit(1), F.round(most / F.col("n") * VOTE).cast("int")).alias("vote"))
-    return pages.join(hot, ["lang", "site"], "left").withColumn("vote", F.coalesce("vote", F.lit(VOTE)))
+    return pages.join(F.broadcast(hot), ["lang", "site"], "left").withColumn("vote", F.coalesce("vote", F.lit(VOTE)))
 
 
 def language_words(pages: DataFrame) -> DataFrame:
@@ -279,29 +279,39 @@ def curves(entries: DataFrame) -> DataFrame:
 def suspected(lines: DataFrame) -> DataFrame:
     """``doc_id`` of the pages whose curve or prose departs from the middle of their language and length.
 
-    The middle of a (language, length) cell is blended with that of all pages of the length, so that a cell of a few
-    pages, or one that stuffing fills, can't hide it. Pages of languages without prose words are all suspected.
+    A page is held against the middle of its (language, length) cell, of all pages of its length, and of its language,
+    and suspected if it departs from any of them: whatever its size, a cell or a length that stuffing fills can't lower
+    the bar by its own middle. Prose hardly depends on the length, so its middle is that of all pages of the language; the rest
+    does, so there it is the middle one of the cells of this length and the two next to it, each counted once.
+    Pages of languages without prose words are all suspected.
     """
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     upper = lambda c: F.percentile_approx(c, 0.7, 1000)
-    cells = lines.groupBy("lang", "bin").agg(F.count("*").alias("n"), middle("slope").alias("cs"), middle("residual").alias("cr"), upper("prose").alias("cp"), middle("variety").alias("cv"))
-    whole = lines.groupBy("bin").agg(middle("slope").alias("ws"), middle("residual").alias("wr"), upper("prose").alias("wp"), middle("variety").alias("wv"))
-    norms = cells.join(whole, "bin").select(
-        "lang", "bin",
-        *(F.when(F.col("n") >= 30, F.col("c" + c)).otherwise((F.col("c" + c) * F.col("n") + F.col("w" + c) * (30 - F.col("n"))) / 30).alias(name)
-          for c, name in (("s", "slope0"), ("r", "residual0"), ("p", "prose0"), ("v", "variety0"))),
-    )
-    return lines.join(norms, ["lang", "bin"]).where(
-        ~F.col("judged")
-        | (F.abs(F.col("slope") - F.col("slope0")) > SLOPE_GAP)
-        | (F.col("residual") > F.col("residual0") * RESIDUAL_RATIO)
-        | (F.col("prose") < F.col("prose0") * PROSE_RATIO)
-        | (F.col("variety") < F.col("variety0") * VARIETY_RATIO)
-    )
+    norms = lambda *keys: lines.groupBy(*keys).agg(middle("slope").alias("slope"), middle("residual").alias("residual"), upper("prose").alias("prose"), middle("variety").alias("variety"))
+    cells = checkpointed(norms("lang", "bin"))
+    near = cells.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    near = near.groupBy("lang", "bin").agg(*(F.median(c).alias(c) for c in ("slope", "residual", "variety")))
+    near = near.join(norms("lang").select("lang", "prose"), "lang")
+    # Per language and length, one row with the three norms.
+    whole = cells.select("lang", "bin", F.struct("slope", "residual", "prose", "variety").alias("cell"))
+    whole = whole.join(norms("bin").select("bin", F.struct("slope", "residual", "prose", "variety").alias("length")), "bin")
+    whole = whole.join(near.select("lang", "bin", F.struct("slope", "residual", "prose", "variety").alias("language")), ["lang", "bin"])
+    departs = ~F.col("judged")
+    for norm in ("cell", "length", "language"):
+        departs = (
+            departs
+            | (F.abs(F.col("slope") - F.col(norm)["slope"]) > SLOPE_GAP)
+            | (F.col("residual") > F.col(norm)["residual"] * RESIDUAL_RATIO)
+            | (F.col("prose") < F.col(norm)["prose"] * PROSE_RATIO)
+            | (F.col("variety") < F.col(norm)["variety"] * VARIETY_RATIO)
+        )
+    return lines.join(whole, ["lang", "bin"]).where(departs)
 
 
 _CHECK_LINK = re.compile(rf"{_LINK}|(?<!\w)\w+ ?(?:\[\.\]|\(dot\)| dot )\s?\w+|<a\s[^>]*>|</a>|#\w[\w-]*")
 _DOT = re.compile(r"\[\.\]|\(dot\)")
+#: A text without any of these holds no link, so that the search for links is left out.
+_LINK_MARKS = ("http", "www.", "[.]", "(dot)", " dot ", "<a", "</a>", "#")
 
 
 class _Letters(dict):
@@ -318,8 +328,11 @@ _DENSE_RUN = re.compile(f"[{_DENSE}]+")
 
 def _words(text: str) -> list[str]:
     """The words of a single text, the same as those of ``words_of_batch``."""
+    words = text.lower().translate(_LETTERS).split()
+    if text.isascii() or not _DENSE_RUN.search(text):
+        return words
     out: list[str] = []
-    for w in text.lower().translate(_LETTERS).split():
+    for w in words:
         if w.isascii() or not _DENSE_RUN.search(w):
             out.append(w)
             continue
@@ -334,7 +347,7 @@ def _words(text: str) -> list[str]:
     return out
 
 
-def _spans(text: str) -> list[str]:
+def _spans(text: str, linked: bool = True) -> list[str]:
     """The sentences of a page; lists are taken by line, and pieces of a few words are put together."""
     out: list[str] = []
     held = ""
@@ -344,7 +357,7 @@ def _spans(text: str) -> list[str]:
         for s in part.split("\n") if part.count("\n") > 3 else [part]:
             if not s.strip():
                 continue
-            k = len(_words(_CHECK_LINK.sub(" L ", s))) if len(s) <= 120 else 5
+            k = len(_words(_CHECK_LINK.sub(" L ", s) if linked else s)) if len(s) <= 120 else 5
             if k < 5 and len(s) <= 30 * max(1, k):
                 held = f"{held}\n{s}" if held else s
                 continue
@@ -360,7 +373,8 @@ def stuffed_share(text: str, prose: dict[str, float], judged: bool = True) -> fl
 
     Unless ``judged``, the page's language has no prose words: that a word is not in ``prose`` then says nothing.
     """
-    counts = Counter(_words(_CHECK_LINK.sub(" ", text)))
+    linked = any(mark in text for mark in _LINK_MARKS)
+    counts = Counter(_words(_CHECK_LINK.sub(" ", text) if linked else text))
     total = sum(counts.values())
 
     def heavy(word: str, k: int) -> bool:
@@ -372,9 +386,9 @@ def stuffed_share(text: str, prose: dict[str, float], judged: bool = True) -> fl
 
     often = {w for w, k in counts.items() if heavy(w, k)}
     stuffed = whole = 0
-    for span in _spans(text):
-        links = sum(map(len, _CHECK_LINK.findall(span)))
-        words = [w for w in _words(_CHECK_LINK.sub(" ", span)) if not w.isdigit()]
+    for span in _spans(text, linked):
+        links = sum(map(len, _CHECK_LINK.findall(span))) if linked else 0
+        words = [w for w in _words(_CHECK_LINK.sub(" ", span) if linked else span) if not w.isdigit()]
         k, size = len(words), len(span.strip())
         plain = sum(w in prose and w not in often for w in words)
         bad = links > LINK_MOST * size or k and (judged and plain < PROSE_LEAST * k and size < 30 * (k + links // 5) or sum(w in often for w in words) > HEAVY_MOST * k)

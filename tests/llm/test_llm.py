@@ -230,6 +230,15 @@ def test_a_site_with_a_third_of_pages_does_not_make_its_tags_prose(spark):
     assert sorted(got) == list(range(1000, 1050))
 
 
+def test_stuffing_that_fills_a_cell_does_not_hide_in_it(spark):
+    rng = random.Random(10)
+    rows = [(k, "en", " ".join(PROSE(*rng.sample(NOUNS, 3), k) for _ in range(11 if k % 40 == 0 else rng.randint(5, 8)))) for k in range(120)]
+    spam = "zorb kit cheap deal blik".split() * 60
+    rows += [(1000 + k, "en", " ".join(rng.sample(spam, 290))) for k in range(40)]  # all but three of their length
+    got = [r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()]
+    assert sorted(got) == list(range(1000, 1040))
+
+
 def test_words_by_masks_and_by_scan():
     random.seed(7)
     texts = ["".join(random.choices(["a", "B", "é", "中", "文", "ไ", "ท", " ", "-", "1", "́", "の", ".", "में"], k=20)).lower() for _ in range(300)] + ["", None]
