@@ -1,6 +1,6 @@
 """Occurrences and records of every n-gram, from suffix arrays with common-prefix intervals.
 
-A record's text is a list of words; its suffixes, each cut at ``longest`` words, are sorted. N-grams are the intervals
+A record's text is a list of words; its suffixes, cut at ``longest`` words if that is given, are sorted. N-grams are the intervals
 of the sorted suffixes whose neighbours have a common prefix of n words: the length of an interval is the number of
 occurrences, and an interval's length less its duplicate adjacencies (the places at which the record, in the order of
 records inside of the interval, is the record before) is the number of records.
@@ -40,13 +40,14 @@ def words_of(text: Column) -> Column:
     return F.filter(trimmed, lambda w: w != "")
 
 
-def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int) -> pa.RecordBatch | None:
+def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int | None) -> pa.RecordBatch | None:
     record, suffix, count = (pa.concat_arrays([p[i] for p in parts]) for i in range(3))
     record = record.dictionary_encode().indices.to_numpy().astype(np.int64)
     count = count.to_numpy()
     lists = [s.split(GLUE) for s in suffix.to_pylist()]
     flat = pa.array([w for s in lists for w in s], pa.string()).dictionary_encode()
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    longest = longest or int(sizes.max())
     ids = np.full((len(lists), longest), -1, np.int64)
     ids[np.arange(longest)[None, :] < sizes[:, None]] = flat.indices.to_numpy()
     order = np.lexsort(tuple(ids[:, k] for k in range(longest - 1, -1, -1)))  # the suffix array
@@ -78,7 +79,7 @@ def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int) -> pa.RecordB
     )
 
 
-def _count_parts(longest: int):
+def _count_parts(longest: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (first word, record, suffix, count), sorted by the first two."""
         held: list[tuple[pa.Array, ...]] = []
@@ -109,15 +110,15 @@ def _count_parts(longest: int):
     return run
 
 
-def ngram_counts(df: DataFrame, record: str, words: Column, longest: int = 3) -> DataFrame:
-    """``ngram, n, occurrences, records`` of all n-grams up to ``longest`` words; the words of an n-gram are joined by a space."""
+def ngram_counts(df: DataFrame, record: str, words: Column, longest: int | None = None) -> DataFrame:
+    """``ngram, n, occurrences, records`` of all n-grams, up to ``longest`` words if given; the words of an n-gram are joined by a space."""
     kind = df.select(record).schema[0].dataType.simpleString()
     suffixes = (
         df.where(F.col(record).isNotNull())
         .select(F.col(record).alias("record"), words.alias("words"))
         .select("record", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))).alias("at"))
         .where(F.size("words") > 0)
-        .select(F.element_at("words", F.col("at")).alias("first"), "record", F.array_join(F.slice("words", F.col("at"), longest), GLUE).alias("suffix"))
+        .select(F.element_at("words", F.col("at")).alias("first"), "record", F.array_join(F.slice("words", F.col("at"), longest or F.size("words")), GLUE).alias("suffix"))
         .groupBy("first", "record", "suffix")
         .agg(F.count("*").alias("count"))
     )

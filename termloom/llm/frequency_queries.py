@@ -10,26 +10,26 @@ from pyspark.sql import functions as F
 from termloom.llm.frequency import marked, ngram_counts, words_of
 from termloom.sources.tables import table
 
-#: The longest n-gram of names that is counted.
+#: The longest n-gram of names that the query counts: its SQL counts n from 1 to 3.
 LONGEST = 3
 
 
-def _fields(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, int]]:
+def _fields(spark: SparkSession, folder: str, longest: int | None) -> dict[str, tuple[DataFrame, int | None]]:
     """Per field, rows (serial, words) and the longest n-gram."""
     names = table(spark, folder, "names", "serial", "name").select("serial", words_of(F.col("name")).alias("words"))
     types = table(spark, folder, "test_entities", "serial", "type").where("type IS NOT NULL")
-    return {"name": (names, LONGEST), "type": (types.select("serial", F.array(F.col("type").cast("string")).alias("words")), 1)}
+    return {"name": (names, longest), "type": (types.select("serial", F.array(F.col("type").cast("string")).alias("words")), 1)}
 
 
-def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """``field, term, n, occurrences, records, mark`` of every n-gram."""
+def p5_terms(spark: SparkSession, folder: str, longest: int | None = LONGEST) -> DataFrame:
+    """``field, term, n, occurrences, records, mark`` of every n-gram up to ``longest`` words; None: of every length."""
 
-    def counted(field: str, rows: DataFrame, longest: int) -> DataFrame:
+    def counted(field: str, rows: DataFrame, longest: int | None) -> DataFrame:
         total = rows.where(F.size("words") > 0).select(F.countDistinct("serial")).scalar()
         counts = ngram_counts(rows, "serial", F.col("words"), longest)
         return marked(counts, total).select(F.lit(field).alias("field"), F.col("ngram").alias("term"), "n", "occurrences", "records", "mark")
 
-    return reduce(DataFrame.unionByName, (counted(k, *v) for k, v in _fields(spark, folder).items()))
+    return reduce(DataFrame.unionByName, (counted(k, *v) for k, v in _fields(spark, folder, longest).items()))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,6 +83,28 @@ def test_ngrams_equal_brute_force(spark, monkeypatch):
     assert frequency.ngram_counts(df.limit(0), "serial", frequency.words_of(F.col("name"))).count() == 0
 
 
+def test_ngrams_of_every_length(spark):
+    names = [(1, "a b c d e f"), (2, "x b c d e"), (2, "b c d e")]
+    df = spark.createDataFrame(names, "serial bigint, name string")
+    got = {r.ngram: (r.n, r.occurrences, r.records) for r in frequency.ngram_counts(df, "serial", frequency.words_of(F.col("name"))).collect()}
+    want = defaultdict(list)
+    for serial, name in names:
+        w = name.split()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                want[" ".join(w[i:j])].append(serial)
+    assert got == {g: (g.count(" ") + 1, len(s), len(set(s))) for g, s in want.items()}
+
+
+def test_terms_of_every_length_of_the_names(spark, monkeypatch):
+    from termloom.llm import frequency_queries
+
+    tables = {"names": spark.createDataFrame([(1, "a b c d e")], "serial bigint, name string"), "test_entities": spark.createDataFrame([(1, 9)], "serial bigint, type int")}
+    monkeypatch.setattr(frequency_queries, "table", lambda s, f, name, *columns: tables[name].select(*columns))
+    got = [r.term for r in frequency_queries.p5_terms(spark, "", longest=None).where("field = 'name'").collect()]
+    assert sorted(got) == sorted(" ".join("abcde"[i:j]) for i in range(5) for j in range(i + 1, 6))
+
+
 SENTENCES = [
     ("See Fig. 5 and e.g. Dr. Smith et al. here. The U.S. cohort grew.", ["See Fig. 5 and e.g. Dr. Smith et al. here.", "The U.S. cohort grew."]),
     ("It rose from 1.5 to 9.7. No loss was seen [2]. alpha-x fell.[1,2] Was it?", ["It rose from 1.5 to 9.7.", "No loss was seen [2].", "alpha-x fell.[1,2]", "Was it?"]),
