@@ -254,10 +254,12 @@ def curves(entries: DataFrame) -> DataFrame:
     ``prose`` is the share of words that are prose words, each taken at most three times its share in the prose of the language:
     the part of the page that its language explains. It is null if the language has none.
     """
-    by_page = Window.partitionBy("doc_id", "lang")
+    by_page = Window.partitionBy("doc_id", "row")
     # Pages are moved whole and taken apart behind the shuffle: the windows need no other.
-    known = entries.repartition("doc_id").select("doc_id", "lang", "judged", F.inline("entries"))
-    known = known.select("doc_id", "lang", "judged", "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    # The row is told apart here, as ids may be repeated; it is used in this stage only.
+    known = entries.repartition("doc_id").withColumn("row", F.monotonically_increasing_id())
+    known = known.select("doc_id", "row", "lang", "judged", F.inline("entries"))
+    known = known.select("doc_id", "row", "lang", "judged", "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     ranked = (
         known.withColumn("rank", F.row_number().over(by_page.orderBy(F.desc("k"), "share")))
         .withColumn("total", F.sum("k").over(by_page))
@@ -266,7 +268,7 @@ def curves(entries: DataFrame) -> DataFrame:
     x, y = F.log(F.col("rank").cast("double")), F.log(F.col("k").cast("double"))
     # Ranks that share a frequency count by their words: the line is fitted to the head, where words repeat.
     w = F.sqrt("k")
-    sums = ranked.groupBy("doc_id", "lang", "judged").agg(
+    sums = ranked.groupBy("doc_id", "row", "lang", "judged").agg(
         F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"),
         F.sum("k").alias("words"), F.when(F.col("judged"), F.sum("explained") / F.sum("k")).alias("prose"), (F.count("*") / F.sum("k")).alias("variety"),
     )

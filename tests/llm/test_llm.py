@@ -261,6 +261,15 @@ def test_stuffing_that_fills_a_cell_does_not_hide_in_it(spark):
     assert sorted(got) == list(range(1000, 1040))
 
 
+def test_rows_of_one_id_have_their_own_curves(spark):
+    prose = " ".join(PROSE(*NOUNS[:3], k) for k in range(9))
+    rows = [(1, "en", prose), (1, "en", STUFFED[1000]), (2, "en", prose)]
+    entries = stuffing.page_entries(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), {"en": {"the": 0.5}})
+    got = sorted((r.doc_id, round(r.variety, 6)) for r in stuffing.curves(entries).collect())
+    variety = [round(len(set(w)) / len(w), 6) for w in (stuffing._words(t) for _, _, t in rows)]
+    assert got == sorted(zip((1, 1, 2), variety))
+
+
 def test_words_by_masks_and_by_scan():
     random.seed(7)
     texts = ["".join(random.choices(["a", "B", "é", "中", "文", "ไ", "ท", " ", "-", "1", "́", "の", ".", "में"], k=20)).lower() for _ in range(300)] + ["", None]
