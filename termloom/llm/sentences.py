@@ -211,14 +211,20 @@ def _best(places: list[int], starts: list[int], gains: list[float], depths: list
     return out[::-1]
 
 
-def _is_greek(text: str, begin: int, end: int) -> bool:
-    letters = sum("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in text[begin:end])
-    return letters >= 3
+#: A sentence is Greek from this share of its letters.
+GREEK_SHARE = 0.3
+
+
+def _greek_letters(text: str, begin: int, end: int) -> tuple[int, int]:
+    """How many Greek letters and how many letters at all."""
+    letters = [c for c in text[begin:end] if c.isalpha()]
+    return sum("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in letters), len(letters)
 
 
 def _block(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
     places, starts, gains = [begin], [begin], [0.0]
     pairs = _pairs(text, begin, end)
+    greek_letters, letters, counted = 0, 0, begin  # since the last border, up to the last semicolon
     for m in _PLACE.finditer(text, begin, end):
         if m[1] is None:
             places.append(m.start())
@@ -226,7 +232,14 @@ def _block(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
             gains.append(WORD_GAIN + 1)
             continue
         marks, at = m[1], m.end()
-        greek = marks[0] in ";;" and _is_greek(text, max(places[-1], m.start() - 60), m.start())
+        greek = False
+        if marks[0] in ";;":
+            # Symbols such as alpha don't make a sentence Greek, nor does a Latin name in it make it another.
+            if counted < places[-1]:
+                greek_letters, letters, counted = 0, 0, places[-1]
+            more = _greek_letters(text, counted, m.start())
+            greek_letters, letters, counted = greek_letters + more[0], letters + more[1], m.start()
+            greek = greek_letters >= 3 and greek_letters >= GREEK_SHARE * letters
         if (g := _gain(text, begin, m.start(1), m.end(1), at, end, greek, pairs)) is not None:
             places.append(at)
             start = at

@@ -128,6 +128,13 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.sentence_spans(text)] == want
 
 
+def test_semicolons_end_greek_questions_only():
+    symbols = "Levels of TNF-α, IL-1β and IFN-γ; These rose."
+    assert [symbols[a:b] for a, b in sentences.sentence_spans(symbols)] == [symbols]
+    asked = "Γιατί χάνεται σταδιακά η δομή της πρωτεΐνης mitogen activated protein kinase kinase kinase interacting partner; Η δομή χάθηκε."
+    assert [asked[a:b] for a, b in sentences.sentence_spans(asked)] == [asked[: asked.index(";") + 1], "Η δομή χάθηκε."]
+
+
 def test_long_blocks_and_rows(spark):
     long = "This is one sentence, i.e. a short one. " * 500
     assert len(sentences.sentence_spans(long)) == 500
