@@ -1,59 +1,72 @@
-"""Pages made of repeated keywords, lists of links or product tags instead of sentences.
+"""Pages made of repeated keywords, lists of links or product tags instead of sentences, by their rank-frequency curves.
 
 The words of each page are counted, ranked by SQL windows, and a line is fitted to the logarithms of rank and
-frequency. Per language, the words of a large share of its pages are its prose words, and a page's divergence from its
-language is measured over them. Pages of repeated words have no say in it, and a site has a small one however many pages it has. Slope, residual and divergence are held against the middle of the pages of the same
-language and of comparable length; a page that is extreme in any of them is suspected.
-
-Suspected pages, and no others, get an exact check of their whole text: the share of characters in spans that are
-links, hold hardly a prose word, or consist of words that the page repeats far more often than its language does.
-Languages of a few pages have no prose words; their pages are all checked, by links and repetition only.
-
-Defined results: null, empty and blank texts, and texts without words, are no cases; a null id can't be reported and is
-left out; a null language counts as ``und``; repeated ids are judged by row and reported once.
+frequency. The words on a large share of a language's pages are its prose words; pages of repeated words have no say in
+that, and a site has a small one however many pages it has. A page's divergence is what the prose words of a language
+leave unexplained of it, in words, and what links take of its characters. Slope, residual, variety and divergence are
+held against pages of the same language and of comparable length.
+
+A page is a case if its divergence alone is extreme, or if it is high and the curve is extreme too. Nothing else
+decides. A page is held against the language that explains most of it, as labels may be wrong: any language with
+``LEAST_LANGUAGE`` of all pages, or the language of its own label. Where the label names a language of too few pages to
+know its prose, missing prose words say nothing: such a page is a case by an extreme curve or by its links only.
+
+Defined results: null, empty and blank texts are no cases, nor are texts of under ``LEAST_WORDS`` words that aren't
+mostly links; a null id can't be reported and is left out; a null language counts as ``und`` and is held against
+all known languages; repeated ids are judged by row and reported once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.bpe import text_slices
-from termloom.llm.sentences import sentence_spans
 from termloom.sources.staging import checkpointed
 
 #: A word on this share of a language's pages is one of its prose words. A page of w different words can hold at most w
 #: of them, so there are at most w / PROSE_SHARE for a language, w being the mean over its pages.
 PROSE_SHARE = 0.15
-#: The prose words of languages from this share of all pages are a table in memory (at most 1 / LEAST_LANGUAGE of them), those of
-#: all others are joined. This is a matter of plan only: the results are the same.
+#: The prose words of languages from this share of all pages are a table in memory (at most 1 / LEAST_LANGUAGE of them), which any
+#: page is held against. Those of all others are joined with the words of the pages that bear their label.
 LEAST_LANGUAGE = 0.0005
-#: Fewer pages say nothing on the prose of a language: its pages are all checked, by repetition and links only.
+#: Fewer pages say nothing on the prose of a language.
 LEAST_PAGES = 10
+#: The label of pages without one. It names no language, so it has no prose words.
+UNKNOWN = "und"
 #: What counts as prose is voted on by the pages of a language. A word that is this share of a page (three times at least) gets no
 #: vote of it; a page that consists of such words by EXTREME_MOST, or has under LEAST_VARIETY x sqrt(words) different words, doesn't vote.
 EXTREME, EXTREME_MOST, LEAST_VARIETY = 0.12, 0.25, 1.5
 #: All pages of a site together have this share of the votes of a language at most (a page's vote at least), in units of VOTE a page.
 SITE_MOST, VOTE = 0.01, 1000
-#: A page is suspected if it departs this far from the middle of its language and length.
-SLOPE_GAP, RESIDUAL_RATIO, PROSE_RATIO, VARIETY_RATIO = 0.35, 1.8, 0.82, 0.5
-#: Shares of the exact check: spans are stuffed below PROSE_LEAST of prose words, above HEAVY_MOST of heavy words, above LINK_MOST of links.
-PROSE_LEAST, HEAVY_MOST, LINK_MOST, STUFFED_SHARE = 0.25, 0.25, 0.4, 0.58
-#: Where the prose of a language isn't known, a word is heavy from this share of a page; no word of real prose has as much.
-HEAVY_ALONE = 0.1
+#: A word of a page is explained by prose up to once and this many times its share in the prose of the language.
+EXPLAINED = 3.0
+#: Distances from the norm at which a curve is extreme: of the slope, of the logarithms of residual and variety.
+SLOPE_GAP, RESIDUAL_GAP, VARIETY_GAP = 0.35, 0.6, 0.7
+#: A page is a case if less than this of it is explained, as a share of what is of usual prose; with an extreme curve, or with none known.
+EXPLAINED_LEAST, EXPLAINED_EXTREME = 0.36, 0.52
+#: Without a known language: how many times the gaps a curve must be away, or the share of characters in links.
+FAR, LINKED = 1.5, 0.4
+#: Fewer words can't be said over and over, and fewer than CURVE_WORDS make no curve that an extreme can be told of.
+LEAST_WORDS, CURVE_WORDS = 8, 24
 
 #: Scripts without spaces, in which pairs of characters stand for words: Thai, Han, Hiragana and Katakana, as ranges.
 _DENSE = "ก-ฺเ-๛⺀-⿕々〇〡-〩〸-〻ぁ-ゟァ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎ｦ-ﾝ𠀀-𲎯"
-_LINK = r"(?:https?://|www\.)[^\s<>\"')\]]*"
+#: Addresses, also such as hide their dots, link tags and hash tags.
+_LINK = (
+    r"(?:https?://|www\.)[^\s<>\"')\]]*|(?<![\p{L}\p{N}_])[\p{L}\p{N}_]+ ?(?:\[\.\]|\(dot\)| dot )\s?[\p{L}\p{N}_]+"
+    r"|<a\s[^>]*>|</a>|#[\p{L}\p{N}_][\p{L}\p{M}\p{N}_-]*"
+)
+#: A text without any of these holds no link, so that the search for links is left out.
+_LINK_MARKS = ("http", "www.", "[.]", "(dot)", " dot ", "<a", "</a>", "#")
 
 
 _WORD, _PAIRED = 1, 2
@@ -111,79 +124,121 @@ def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _plain(pages: DataFrame, *more: str) -> DataFrame:
-    return pages.select(*more, "doc_id", "lang", F.lower(F.regexp_replace("text", _LINK, " link ")).alias("text"))
+    """``lang``, the text in lower case without links, and the share of its characters in links."""
+    text, marked = F.col("text"), F.lit(False)
+    for mark in _LINK_MARKS:
+        marked = marked | F.contains(text, F.lit(mark))
+    bare = F.when(marked, F.regexp_replace(text, _LINK, " ")).otherwise(text)
+    links = (F.length("text") - F.length("bare")) / F.greatest(F.length("text"), F.lit(1))
+    known = pages.select(*more, "lang", "text", bare.alias("bare"))
+    return known.select(*more, "lang", links.alias("links"), F.lower("bare").alias("text"))
+
+
+class _Prose:
+    """The prose words of many languages: for each word the languages that have it, with their shares."""
+
+    def __init__(self, shares: dict[str, dict[str, float]]) -> None:
+        self.langs = list(shares)
+        self.number = {lang: i for i, lang in enumerate(self.langs)}
+        known: dict[str, list[tuple[int, float]]] = {}
+        for i, lang in enumerate(self.langs):
+            for word, share in shares[lang].items():
+                known.setdefault(word, []).append((i, share))
+        self.place = {word: i for i, word in enumerate(known)}
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in known.values()])]).astype(np.int64)
+        self.lang = np.array([i for x in known.values() for i, _ in x], np.int64)
+        self.share = np.array([s for x in known.values() for _, s in x], np.float64)
+
+    def best(self, row: np.ndarray, word: np.ndarray, k: np.ndarray, total: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the language that explains most of it (the label's, if equal; -1 for none), and the share of each
+        of the entries (row, word, k) in that language, not a number where it isn't one of its words."""
+        share = np.full(len(row), np.nan)
+        best = np.full(len(total), -1, np.int64)
+        known = np.flatnonzero(word >= 0)
+        sizes = self.first[word[known] + 1] - self.first[word[known]]
+        entry = np.repeat(known, sizes)
+        if not len(entry):
+            return best, share
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[word[known]], sizes)
+        lang, s = self.lang[at], self.share[at]
+        explained = np.minimum(k[entry], 1 + EXPLAINED * s * total[row[entry]])
+        key, inverse = np.unique(row[entry] * len(self.langs) + lang, return_inverse=True)
+        sums = np.bincount(inverse, explained)
+        of_row, of_lang = key // len(self.langs), key % len(self.langs)
+        order = np.lexsort((of_lang == label[of_row], sums, of_row))
+        last = np.flatnonzero(np.diff(of_row[order], append=-1) != 0)
+        best[of_row[order][last]] = of_lang[order][last]
+        own = lang == best[row[entry]]
+        share[entry[own]] = s[own]
+        return best, share
+
+
+ENTRIES = "doc_id {id}, row bigint, label string, lang string, links double, entries array<struct<k:bigint,share:double,n:int>>"
 
 
 def page_entries(pages: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
-    """``doc_id, lang, judged, entries``: how often the words of each page (``doc_id, lang, text``) are there, without the words.
-
-    ``judged`` if the language is one of ``shares``.
+    """``doc_id, row, label, lang, links, entries``: how often the words of each page (``doc_id, row, lang, text``) are there, without the words.
 
-    An entry is (k, share, n): n words that are there k times; a prose word is an entry of its own with its share in
-    the language, all other words of a frequency are one entry with a null share.
+    ``lang`` is the language of ``shares`` that explains most of the page, null if none explains any of it. An entry is
+    (k, share, n): n words that are there k times; a prose word is an entry of its own with its share in the language, all
+    other words of a frequency are one entry with a null share. A page of links only has one entry of one word.
     """
     kind = pages.select("doc_id").schema[0].dataType.simpleString()
     shared = pages.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = list(shared.value)
-        place = {w: i for i, w in enumerate(dict.fromkeys(w for x in shared.value.values() for w in x))}
-        table = np.full((len(langs) + 1, len(place) + 1), np.nan)
-        for i, lang in enumerate(langs):
-            for w, share in shared.value[lang].items():
-                table[i, place[w]] = share
-        number = {lang: i for i, lang in enumerate(langs)}
+        prose = _Prose(shared.value)
+        names = pa.array(prose.langs, pa.string())
         for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
-            words, which, rows = words_of_batch(batch.column(2))
-            column = np.fromiter((place.get(w, len(place)) for w in words.to_pylist()), np.int64, len(words))
-            lang = np.fromiter((number.get(x, len(langs)) for x in batch.column(1).to_pylist()), np.int64, batch.num_rows)
+            words, which, rows = words_of_batch(batch.column(4))
+            place = np.fromiter((prose.place.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
+            label = np.fromiter((prose.number.get(x, -1) for x in batch.column(2).to_pylist()), np.int64, batch.num_rows)
             both, k = np.unique(rows << 32 | which, return_counts=True)
             row = both >> 32
-            share = table[lang[row], column[both & 0xFFFFFFFF]]
+            total = np.bincount(rows, minlength=batch.num_rows)
+            best, share = prose.best(row, place[both & 0xFFFFFFFF] if len(place) else np.zeros(0, np.int64), k, total, label)
             plain = np.isnan(share)
+            bare = np.flatnonzero((total == 0) & (batch.column(3).to_numpy() > 0))
             rest, n = np.unique(row[plain] << 32 | k[plain], return_counts=True)
-            row = np.concatenate([row[~plain], rest >> 32])
+            row = np.concatenate([row[~plain], rest >> 32, bare])
             order = np.argsort(row, kind="stable")
-            entry = pa.StructArray.from_arrays(
-                [
-                    pa.array(np.concatenate([k[~plain], rest & 0xFFFFFFFF])[order].astype(np.int64)),
-                    pa.array(np.concatenate([share[~plain], np.full(len(rest), np.nan)])[order], from_pandas=True),
-                    pa.array(np.concatenate([np.ones(int((~plain).sum()), np.int64), n])[order].astype(np.int32)),
-                ],
-                names=["k", "share", "n"],
+            columns = (
+                np.concatenate([k[~plain], rest & 0xFFFFFFFF, np.ones(len(bare), np.int64)]).astype(np.int64),
+                np.concatenate([share[~plain], np.full(len(rest) + len(bare), np.nan)]),
+                np.concatenate([np.ones(int((~plain).sum()), np.int64), n, np.ones(len(bare), np.int64)]).astype(np.int32),
             )
+            entry = pa.StructArray.from_arrays([pa.array(c[order], from_pandas=True) for c in columns], names=["k", "share", "n"])
             at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang < len(langs)), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "lang", "judged", "entries"])
+            found = names.take(pa.array(np.where(best < 0, 0, best), mask=best < 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), found, batch.column(3), pa.ListArray.from_arrays(pa.array(at), entry)], names=["doc_id", "row", "label", "lang", "links", "entries"]
+            )
 
-    return _plain(pages).mapInArrow(run, f"doc_id {kind}, lang string, judged boolean, entries array<struct<k:bigint,share:double,n:int>>")
+    return _plain(pages, "doc_id", "row").mapInArrow(run, ENTRIES.format(id=kind))
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """``row, doc_id, lang, word, k``: how often each word is on each page (``row, doc_id, lang, text``)."""
+    """``row, doc_id, lang, word, k, links``: how often each word is on each page (``row, doc_id, lang, text``)."""
     kind = pages.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
-            words, which, rows = words_of_batch(batch.column(3))
+            words, which, rows = words_of_batch(batch.column(4))
             both, k = np.unique(rows << 32 | which, return_counts=True)
             row = pa.array(both >> 32)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(row) for i in range(3)), words.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string()), pa.array(k.astype(np.int64))],
-                names=["row", "doc_id", "lang", "word", "k"],
+                [*(batch.column(i).take(row) for i in range(3)), words.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string()), pa.array(k.astype(np.int64)), batch.column(3).take(row)],
+                names=["row", "doc_id", "lang", "word", "k", "links"],
             )
 
-    return _plain(pages, "row").mapInArrow(run, f"row bigint, doc_id {kind}, lang string, word string, k bigint")
+    return _plain(pages, "row", "doc_id").mapInArrow(run, f"row bigint, doc_id {kind}, lang string, word string, k bigint, links double")
 
 
 def joined_entries(pages: DataFrame, prose: DataFrame) -> DataFrame:
-    """The same as ``page_entries``, by a join of the words of pages with the prose words of any number of languages."""
-    words = page_words(pages.withColumn("row", F.monotonically_increasing_id())).join(prose, ["lang", "word"], "left")
-    entries = words.groupBy("row", "doc_id", "lang").agg(F.collect_list(F.struct("k", "share", F.lit(1).alias("n"))).alias("entries"))
-    return entries.join(_languages(prose), "lang", "left").select("doc_id", "lang", F.col("judged").isNotNull().alias("judged"), "entries")
-
-
-def _languages(prose: DataFrame) -> DataFrame:
-    return prose.select("lang").distinct().withColumn("judged", F.lit(True))
+    """As ``page_entries``, with the language of the label only, by a join of the words of pages with the prose words of any number of languages."""
+    words = page_words(pages.join(prose.select("lang").distinct(), "lang", "left_semi")).join(prose, ["lang", "word"], "left")
+    entries = words.groupBy("row", "doc_id", "lang").agg(F.first("links").alias("links"), F.collect_list(F.struct("k", "share", F.lit(1).alias("n"))).alias("entries"))
+    return entries.select("doc_id", "row", F.col("lang").alias("label"), "lang", "links", "entries")
 
 
 def voters(pages: DataFrame) -> DataFrame:
@@ -201,13 +256,13 @@ def voters(pages: DataFrame) -> DataFrame:
 def language_words(pages: DataFrame) -> DataFrame:
     """``lang, word, raw, pages, k``: on how many voting pages of a language a word is, with their votes, and how often it is there by votes.
 
-    ``pages`` has ``vote, doc_id, lang, text``. The null word is on each voting page. Added up in each batch first.
+    ``pages`` has ``vote, lang, text``. The null word is on each voting page. Added up in each batch first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, SLICE)):
             words, which, rows = words_of_batch(batch.column(3))
-            langs = batch.column(2).dictionary_encode()
+            langs = batch.column(1).dictionary_encode()
             of_row = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             vote = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             both, k = np.unique(rows << 32 | which, return_counts=True)
@@ -245,166 +300,80 @@ def language_sizes(pages: DataFrame) -> DataFrame:
     """``lang, lang_pages, large`` of the languages that have prose words."""
     total = F.sum("lang_pages").over(Window.partitionBy(F.lit(1)))  # as many rows as languages
     sizes = pages.groupBy("lang").agg(F.count("*").alias("lang_pages")).withColumn("large", F.col("lang_pages") >= total * LEAST_LANGUAGE)
-    return sizes.where(F.col("lang_pages") >= LEAST_PAGES)
+    return sizes.where((F.col("lang_pages") >= LEAST_PAGES) & (F.col("lang") != UNKNOWN))
 
 
 def curves(entries: DataFrame) -> DataFrame:
-    """From ``page_entries``: ``doc_id, lang, judged, bin, slope, residual, prose, variety``: the rank-frequency line of each page, and how much of it is prose.
-
-    ``prose`` is the share of words that are prose words, each taken at most three times its share in the prose of the language:
-    the part of the page that its language explains. It is null if the language has none.
+    """From ``page_entries``: ``doc_id, row, label, lang, links, words, bin, slope, residual, variety, prose``: the rank-frequency
+    line of each page, its logarithms of residual and variety, and ``prose``, the share of words that its language explains.
     """
-    by_page = Window.partitionBy("doc_id", "row")
+    by_page = Window.partitionBy("doc_id", "page")
     # Pages are moved whole and taken apart behind the shuffle: the windows need no other.
-    # The row is told apart here, as ids may be repeated; it is used in this stage only.
-    known = entries.repartition("doc_id").withColumn("row", F.monotonically_increasing_id())
-    known = known.select("doc_id", "row", "lang", "judged", F.inline("entries"))
-    known = known.select("doc_id", "row", "lang", "judged", "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    # Rows of one id are told apart here; the number is used in this stage only.
+    known = entries.repartition("doc_id").withColumn("page", F.monotonically_increasing_id())
+    keys = ("doc_id", "page", "row", "label", "lang", "links")
+    known = known.select(*keys, F.inline("entries"))
+    known = known.select(*keys, "k", "share", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     ranked = (
         known.withColumn("rank", F.row_number().over(by_page.orderBy(F.desc("k"), "share")))
         .withColumn("total", F.sum("k").over(by_page))
-        .withColumn("explained", F.when(F.col("share").isNotNull(), F.least(F.col("k").cast("double"), 1 + 3 * F.col("share") * F.col("total"))).otherwise(0.0))
+        .withColumn("explained", F.when(F.col("share").isNotNull(), F.least(F.col("k").cast("double"), 1 + EXPLAINED * F.col("share") * F.col("total"))).otherwise(0.0))
     )
     x, y = F.log(F.col("rank").cast("double")), F.log(F.col("k").cast("double"))
     # Ranks that share a frequency count by their words: the line is fitted to the head, where words repeat.
     w = F.sqrt("k")
-    sums = ranked.groupBy("doc_id", "row", "lang", "judged").agg(
+    sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"),
-        F.sum("k").alias("words"), F.when(F.col("judged"), F.sum("explained") / F.sum("k")).alias("prose"), (F.count("*") / F.sum("k")).alias("variety"),
+        F.sum("k").alias("words"), (F.sum("explained") / F.sum("k")).alias("prose"), F.log(F.count("*") / F.sum("k") + 0.02).alias("variety"),
     )
     sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) / F.col("w") for a, b, c in (("wxx", "wx", "wx"), ("wxy", "wx", "wy"), ("wyy", "wy", "wy")))
     slope = F.when(sxx > 1e-9, -sxy / sxx).otherwise(0.0)
     residual = F.sqrt(F.greatest(F.lit(0.0), (syy - F.when(sxx > 1e-9, sxy * sxy / sxx).otherwise(0.0)) / F.col("w")))
-    return sums.select("doc_id", "lang", "judged", F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("bin"), slope.alias("slope"), residual.alias("residual"), "prose", "variety")
+    size = F.floor(F.log2(F.col("words").cast("double"))).cast("int")
+    return sums.select("doc_id", "row", "label", "lang", "links", "words", size.alias("bin"), slope.alias("slope"), F.log(residual + 0.05).alias("residual"), "variety", "prose")
 
 
-def suspected(lines: DataFrame) -> DataFrame:
-    """``doc_id`` of the pages whose curve or prose departs from the middle of their language and length.
+def _away(norm: str) -> Column:
+    """How many times its gap a curve is away from a norm, in that of slope, residual and variety that is farthest. Many different words are not extreme."""
+    gap = lambda c: F.col(c) - F.col(norm)[c]
+    return F.greatest(F.abs(gap("slope")) / SLOPE_GAP, F.abs(gap("residual")) / RESIDUAL_GAP, -gap("variety") / VARIETY_GAP)
 
-    A page is held against the middle of its (language, length) cell, of all pages of its length, and of its language,
-    and suspected if it departs from any of them: whatever its size, a cell or a length that stuffing fills can't lower
-    the bar by its own middle. Prose hardly depends on the length, so its middle is that of all pages of the language; the rest
-    does, so there it is the middle one of the cells of this length and the two next to it, each counted once.
-    Pages of languages without prose words are all suspected.
-    """
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    upper = lambda c: F.percentile_approx(c, 0.7, 1000)
-    norms = lambda *keys: lines.groupBy(*keys).agg(middle("slope").alias("slope"), middle("residual").alias("residual"), upper("prose").alias("prose"), middle("variety").alias("variety"))
-    cells = checkpointed(norms("lang", "bin"))
-    near = cells.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    near = near.groupBy("lang", "bin").agg(*(F.median(c).alias(c) for c in ("slope", "residual", "variety")))
-    near = near.join(norms("lang").select("lang", "prose"), "lang")
-    # Per language and length, one row with the three norms.
-    whole = cells.select("lang", "bin", F.struct("slope", "residual", "prose", "variety").alias("cell"))
-    whole = whole.join(norms("bin").select("bin", F.struct("slope", "residual", "prose", "variety").alias("length")), "bin")
-    whole = whole.join(near.select("lang", "bin", F.struct("slope", "residual", "prose", "variety").alias("language")), ["lang", "bin"])
-    departs = ~F.col("judged")
-    for norm in ("cell", "length", "language"):
-        departs = (
-            departs
-            | (F.abs(F.col("slope") - F.col(norm)["slope"]) > SLOPE_GAP)
-            | (F.col("residual") > F.col(norm)["residual"] * RESIDUAL_RATIO)
-            | (F.col("prose") < F.col(norm)["prose"] * PROSE_RATIO)
-            | (F.col("variety") < F.col(norm)["variety"] * VARIETY_RATIO)
-        )
-    return lines.join(whole, ["lang", "bin"]).where(departs)
-
-
-_CHECK_LINK = re.compile(rf"{_LINK}|(?<!\w)\w+ ?(?:\[\.\]|\(dot\)| dot )\s?\w+|<a\s[^>]*>|</a>|#\w[\w-]*")
-_DOT = re.compile(r"\[\.\]|\(dot\)")
-#: A text without any of these holds no link, so that the search for links is left out.
-_LINK_MARKS = ("http", "www.", "[.]", "(dot)", " dot ", "<a", "</a>", "#")
-
-
-class _Letters(dict):
-    """Translation that keeps letters, marks and digits, and turns the rest into spaces."""
-
-    def __missing__(self, point: int) -> int:
-        self[point] = point if unicodedata.category(chr(point))[0] in "LMN" else 32
-        return self[point]
-
-
-_LETTERS = _Letters()
-_DENSE_RUN = re.compile(f"[{_DENSE}]+")
-
-
-def _words(text: str) -> list[str]:
-    """The words of a single text, the same as those of ``words_of_batch``."""
-    words = text.lower().translate(_LETTERS).split()
-    if text.isascii() or not _DENSE_RUN.search(text):
-        return words
-    out: list[str] = []
-    for w in words:
-        if w.isascii() or not _DENSE_RUN.search(w):
-            out.append(w)
-            continue
-        at = 0
-        for m in _DENSE_RUN.finditer(w):
-            if m.start() > at:
-                out.append(w[at : m.start()])
-            run, at = m[0], m.end()
-            out += [run[i : i + 2] for i in range(len(run) - 1)]
-        if at < len(w):
-            out.append(w[at:])
-    return out
 
+def departures(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``explained``, the share of a page that prose explains against what it explains of usual pages, and ``away``.
 
-def _spans(text: str, linked: bool = True) -> list[str]:
-    """The sentences of a page; lists are taken by line, and pieces of a few words are put together."""
-    out: list[str] = []
-    held = ""
-    text = _DOT.sub("(dot)", text)
-    for a, b in sentence_spans(text):
-        part = text[a:b]
-        for s in part.split("\n") if part.count("\n") > 3 else [part]:
-            if not s.strip():
-                continue
-            k = len(_words(_CHECK_LINK.sub(" L ", s) if linked else s)) if len(s) <= 120 else 5
-            if k < 5 and len(s) <= 30 * max(1, k):
-                held = f"{held}\n{s}" if held else s
-                continue
-            if held:
-                out.append(held)
-                held = ""
-            out.append(s)
-    return [*out, held] if held else out
-
-
-def stuffed_share(text: str, prose: dict[str, float], judged: bool = True) -> float:
-    """The share of a page's characters in spans of keywords, links or tags. ``prose``: prose words with their largest share in a language.
-
-    Unless ``judged``, the page's language has no prose words: that a word is not in ``prose`` then says nothing.
+    Prose hardly depends on the length, so its norm is an upper quantile over the pages of a language, which stays one
+    of prose until most of them are stuffed, and half that of all languages at least. A curve is held against the middle of
+    its (language, length) cell and against that of all pages of its length, and is as far away as from the farther
+    one: a cell that stuffing fills can't hide it. Norms are a few rows, made of all pages.
     """
-    linked = any(mark in text for mark in _LINK_MARKS)
-    counts = Counter(_words(_CHECK_LINK.sub(" ", text) if linked else text))
-    total = sum(counts.values())
-
-    def heavy(word: str, k: int) -> bool:
-        if k < 3 or k < 0.02 * total or word.isdigit():
-            return False
-        if not judged and word not in prose:
-            return k >= HEAVY_ALONE * total
-        return word not in prose or k >= 8 and k / total >= 8 * prose[word]
-
-    often = {w for w, k in counts.items() if heavy(w, k)}
-    stuffed = whole = 0
-    for span in _spans(text, linked):
-        links = sum(map(len, _CHECK_LINK.findall(span))) if linked else 0
-        words = [w for w in _words(_CHECK_LINK.sub(" ", span) if linked else span) if not w.isdigit()]
-        k, size = len(words), len(span.strip())
-        plain = sum(w in prose and w not in often for w in words)
-        bad = links > LINK_MOST * size or k and (judged and plain < PROSE_LEAST * k and size < 30 * (k + links // 5) or sum(w in often for w in words) > HEAVY_MOST * k)
-        whole += size
-        stuffed += size if bad else 0
-    return stuffed / whole if whole else 0.0
-
-
-def stuffed_pages(documents: DataFrame) -> DataFrame:
-    """``doc_id, share`` of the pages that are keyword or link spam. ``documents`` has ``doc_id, lang, text``, and ``site`` if known."""
+    upper, middle = (lambda c: F.percentile_approx(c, 0.7, 1000)), (lambda c: F.percentile_approx(c, 0.5, 1000))
+    curve = ("slope", "residual", "variety")
+    norms = lambda *keys: lines.where("lang IS NOT NULL").groupBy(*keys).agg(*(middle(c).alias(c) for c in curve))
+    cell = norms("lang", "bin").select("lang", "bin", F.struct(*curve).alias("cell"))
+    length = norms("bin").select("bin", F.struct(*curve).alias("length"))
+    usual = lines.where("lang IS NOT NULL").groupBy("lang").agg(upper("prose").alias("usual"))
+    everything = Window.partitionBy(F.lit(1))  # as many rows as languages
+    usual = usual.withColumn("usual", F.greatest("usual", F.percentile_approx("usual", 0.5, 1000).over(everything) / 2))
+    held = lines.join(length, "bin", "left").join(cell, ["lang", "bin"], "left").join(usual, "lang", "left")
+    explained = F.least(F.coalesce(F.col("prose") / F.col("usual"), F.lit(0.0)), F.lit(1.2)) * (1 - F.col("links"))
+    return held.withColumn("explained", explained).withColumn("away", F.greatest(_away("length"), F.coalesce(_away("cell"), F.lit(0.0)))).drop("cell", "length", "usual")
+
+
+def is_stuffed(known: Column) -> Column:
+    """The decision on a page of ``departures``. ``known``: whether its label names a language of known prose, or none."""
+    curved = (F.col("explained") < EXPLAINED_EXTREME) & (F.col("words") >= CURVE_WORDS)
+    divergent = (F.col("explained") < EXPLAINED_LEAST) | (curved & (F.col("away") > 1))
+    blind = (F.col("links") > LINKED) | (curved & (F.col("away") > FAR))
+    return ((F.col("words") >= LEAST_WORDS) | (F.col("links") > LINKED)) & F.when(known, divergent).otherwise(blind)
+
+
+def judged_pages(documents: DataFrame) -> DataFrame:
+    """``doc_id, label, lang, words, links, explained, away, stuffed`` of each page with words or links. ``documents`` has ``doc_id, lang, text``, and ``site`` if known."""
     site = [c for c in ("site",) if c in documents.columns]
     pages = (
         documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), "text", *site)
+        .select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.lower("lang"), F.lit(UNKNOWN)).alias("lang"), "text", *site)
     )
     sizes = language_sizes(pages)
     joined = bool(sizes.where("NOT large").take(1))
@@ -413,38 +382,24 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
         prose = checkpointed(prose)
     # A table of bounded size, see PROSE_SHARE and LEAST_LANGUAGE, whatever the number of pages.
     shares: dict[str, dict[str, float]] = {}
-    known: dict[str, float] = {}
     for r in prose.where("large").collect():
         shares.setdefault(r.lang, {})[r.word] = r.share
-        known[r.word] = max(r.share, known.get(r.word, 0.0))
-    shared = documents.sparkSession.sparkContext.broadcast(known)
-    large, rest = F.col("lang").isin(list(shares)), prose.where("NOT large").drop("large")
+    lines = curves(page_entries(pages, shares))
+    known = F.col("label").isin([*shares, UNKNOWN]) if shares else F.lit(False)
     if joined:
-        entries = page_entries(pages.where(large), shares).unionByName(joined_entries(pages.where(~large), rest))
-    else:
-        entries = page_entries(pages, shares)
-    # One row a page, used three times: kept, so that the words are counted once for it.
-    suspects = suspected(checkpointed(curves(entries))).select("doc_id")
-    checked = pages.join(suspects, "doc_id", "left_semi")
+        # Pages of a small language are held against it and against the large ones; what explains more of them counts.
+        small = prose.where("NOT large").drop("large")
+        rest = small.select(F.col("lang").alias("label"), F.lit(True).alias("small")).distinct()
+        both = lines.join(rest.drop("small"), "label", "left_semi").unionByName(curves(joined_entries(pages, small)))
+        best = both.groupBy("doc_id", "row").agg(F.max_by(F.struct(*(c for c in lines.columns if c not in ("doc_id", "row"))), F.col("prose")).alias("x")).select("doc_id", "row", "x.*")
+        lines = lines.join(rest.drop("small"), "label", "left_anti").unionByName(best.select(*lines.columns))
+    # One row a page, used four times: kept, so that the words are counted once for it.
+    found = departures(checkpointed(lines))
     if joined:
-        # The words of small languages that a page holds come with it. Equal texts of an id share a row, as they share their words.
-        checked = checkpointed(checked.withColumn("row", F.xxhash64("text")))
-        found = page_words(checked).join(rest.groupBy("word").agg(F.max("share").alias("share")), "word")
-        found = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("word", "share")).alias("more"))
-        checked = checked.join(found, ["doc_id", "row"], "left").join(_languages(rest), "lang", "left")
-        checked = checked.select("doc_id", "text", (large | F.col("judged").isNotNull()).alias("judged"), "more.word", "more.share")
-    else:
-        checked = checked.select("doc_id", "text", large.alias("judged"), F.lit(None).cast("array<string>").alias("word"), F.lit(None).cast("array<double>").alias("share"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            out = []
-            for _, text, judged, words, shares in zip(*(c.to_pylist() for c in batch.columns)):
-                more = {w: max(x, known.get(w, 0.0)) for w, x in zip(words or (), shares or ())}
-                out.append(stuffed_share(text, ChainMap(more, known) if more else known, judged))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "share"])
-
-    kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    checked = checked.mapInArrow(check, f"doc_id {kind}, share double")
-    return checked.groupBy("doc_id").agg(F.max("share").alias("share")).where(F.col("share") >= STUFFED_SHARE)
+        found, known = found.join(rest, "label", "left"), known | F.col("small").isNotNull()
+    return found.select("doc_id", "label", "lang", "words", "links", "explained", "away", is_stuffed(known).alias("stuffed"))
+
+
+def stuffed_pages(documents: DataFrame) -> DataFrame:
+    """``doc_id`` of the pages that are keyword, link or tag spam."""
+    return judged_pages(documents).where("stuffed").select("doc_id").distinct()

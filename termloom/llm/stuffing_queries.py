@@ -9,7 +9,7 @@ from termloom.sources.tables import table
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(table(spark, folder, "documents", "doc_id", "lang", "text", "site")).select("doc_id")
+    return stuffed_pages(table(spark, folder, "documents", "doc_id", "lang", "text", "site"))
 
 
 QUERIES = {"p8_found": p8_found}

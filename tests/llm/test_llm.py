@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables, with the odd rows that real tables have."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -268,13 +269,39 @@ def test_stuffing_that_fills_a_cell_does_not_hide_in_it(spark):
     assert sorted(got) == list(range(1000, 1040))
 
 
+def scanned_words(text):
+    """The words of a lower-case text, character by character."""
+    kinds = stuffing._classes()
+    out, word = [], ""
+    for c in text + " ":
+        kind = kinds[ord(c)]
+        if kind != stuffing._WORD and word:
+            out.append(word)
+            word = ""
+        word += c if kind == stuffing._WORD else ""
+    return out + [text[i : i + 2] for i in range(len(text) - 1) if kinds[ord(text[i])] == kinds[ord(text[i + 1])] == stuffing._PAIRED]
+
+
 def test_rows_of_one_id_have_their_own_curves(spark):
     prose = " ".join(PROSE(*NOUNS[:3], k) for k in range(9))
-    rows = [(1, "en", prose), (1, "en", STUFFED[1000]), (2, "en", prose)]
-    entries = stuffing.page_entries(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), {"en": {"the": 0.5}})
-    got = sorted((r.doc_id, round(r.variety, 6)) for r in stuffing.curves(entries).collect())
-    variety = [round(len(set(w)) / len(w), 6) for w in (stuffing._words(t) for _, _, t in rows)]
-    assert got == sorted(zip((1, 1, 2), variety))
+    rows = [(1, 1, "en", prose), (1, 2, "en", STUFFED[1000]), (2, 3, "en", prose)]
+    entries = stuffing.page_entries(spark.createDataFrame(rows, "doc_id bigint, row bigint, lang string, text string"), {"en": {"the": 0.5}})
+    got = sorted((r.row, round(r.variety, 6), r.words) for r in stuffing.curves(entries).collect())
+    words = [scanned_words(t.lower()) for _, _, _, t in rows]
+    assert got == [(k, round(math.log(len(set(w)) / len(w) + 0.02), 6), len(w)) for k, w in enumerate(words, 1)]
+
+
+def test_pages_are_held_against_the_language_that_explains_them(spark):
+    rows = [(1, 1, "xx", "aa bb cc"), (2, 2, "yy", "aa bb dd dd"), (3, 3, "xx", "zz"), (4, 4, None, ""), (5, 5, "yy", "http://a.example/b #tag")]
+    shares = {"xx": {"aa": 0.5, "bb": 0.5}, "yy": {"dd": 1.0}}
+    got = {r.doc_id: (r.lang, sorted((e.k, e.share, e.n) for e in r.entries if e.share)) for r in stuffing.page_entries(spark.createDataFrame(rows, "doc_id bigint, row bigint, lang string, text string"), shares).collect()}
+    assert got == {1: ("xx", [(1, 0.5, 1), (1, 0.5, 1)]), 2: ("yy", [(2, 1.0, 1)]), 3: (None, []), 4: (None, []), 5: (None, [])}
+
+
+def test_sound_pages_of_a_rare_language_are_no_cases(spark):
+    rows = [*pages(), *((k, "en", t) for k, t in STUFFED.items()), *small_language("fi", 3, 9, 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    assert sorted(r.doc_id for r in stuffing.stuffed_pages(df).collect()) == sorted(STUFFED)
 
 
 def test_words_by_masks_and_by_scan():
@@ -284,4 +311,4 @@ def test_words_by_masks_and_by_scan():
     got = [[] for _ in texts]
     for w, r in zip(which.tolist(), rows.tolist()):
         got[r].append(words[w].as_py())
-    assert [sorted(x) for x in got] == [sorted(stuffing._words(t or "")) for t in texts]
+    assert [sorted(x) for x in got] == [sorted(scanned_words(t or "")) for t in texts]
