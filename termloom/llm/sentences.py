@@ -3,8 +3,14 @@
 A TAB or a blank line always ends a sentence, so a text is cut into blocks there. Inside a block the places at which a
 sentence may end are found (end marks with the closing quotes, brackets and citation marks behind them; in Thai the
 white space between two Thai letters). Dynamic programming then picks the sequence of spans of the highest total
-score, over all pairs of places. A span is scored as a whole: by its length, by the word that closes it, by the word
-that opens the next one, and by the balance of the quotes and brackets inside of it.
+score, over all pairs of places. The score is one of a span as a whole, not a sum over its two borders:
+
+* its length, by the distance of its logarithm from that of usual sentences;
+* the word that opens it: one of the closed classes that begin sentences, or one in lower case;
+* the word and mark that close it, and what follows: cut-short words, initials, numbers and ellipses go on;
+* quotes and brackets: each pair of which it holds one end only is torn, a pair around all of it is not; and an end mark
+  inside of brackets ends the span that the brackets enclose, but no span that merely holds them;
+* its script: a semicolon ends a span of Greek letters only.
 
 Defined results: positions are in code points, the end is exclusive, and no span begins or ends with white space. Null,
 empty and blank texts give no spans. Texts are never cut or capped: blocks with many places are scored by arrays.
@@ -12,6 +18,7 @@ empty and blank texts give no spans. Texts are never cut or capped: blocks with
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,11 +33,12 @@ _CLOSERS = "\"'”’»›」』）)】〕］\\]》〉"
 _CITATION = r"(?:\[\d+(?:\s?[,;–-]\s?\d+)*\]|[⁰¹²³⁴-⁹]+)"
 #: An end mark (1), with what belongs to it: closers, a French closer behind a space, citation marks.
 _END = rf"([.!?{_WIDE}…;;]+)(?:[{_CLOSERS}]|“(?![^\W_])|[  ]»|{_CITATION})*"
-_ENDED = re.compile(rf"[.!?{_WIDE}…](?:[{_CLOSERS}]|{_CITATION})*\s*$")
 _THAI = r"(?<=[ก-๛])[^\S\t]+(?=[ก-๛])"
 _PLACE = re.compile(rf"{_END}|{_THAI}")
 _PAIRS = re.compile(r"[(\[{（［【「『《〈«‹“„”)\]}）］】」』》〉»›\"]")
-_WORD = re.compile(r"[^\s(\[{（「『“„«\"‘—–,;:：]*$")
+#: Up to the last character that a word begins behind.
+_BEFORE_WORD = re.compile(r"(?s).*[\s(\[{（「『“„«\"‘—–,;:：]")
+_GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _NEXT = re.compile(r"[\"'“„«‘(\[（「『《¿¡  ]*")
 
 OPENING = dict(zip("([{（［【「『《〈«‹", ")]}）］】」』》〉»›"))
@@ -52,20 +60,28 @@ ABBREVIATIONS = frozenset(
 )
 #: Of these, the words that can also be the last of a sentence.
 MAY_END = frozenset("etc a.m p.m u.s u.k e.u al cols coll ltd inc seq comm uu ff др m т.д т.п usw κ.λπ д п h г гг jr avg max min".split())
-#: Words that open a sentence more often than not.
+#: Words of closed classes (articles, pronouns, question words, prepositions, conjunctions) that, with a capital, open sentences.
 STARTERS = frozenset(
     """
-    the a an in we it this these those that they there here no not what why how when where is are does do did for at by on once
-    with without after before under since as if while moreover however surprisingly together binding loss knockdown such most
-    both each order our two three der die das ein eine wir es nach am im laut ohne mit was wie warum ist la el los las le les un
-    une sin en à il elle nous sans dans est cette ce ces sel quelle quel qué cuál по в на мы это без доза при что
-    η ο το οι τα στην στο κατά γιατί
+    the a an in we it this these those that they there here no not what why how when where who which is are was were does do did has have
+    for at by on once with without after before under since as if while although moreover however thus such most both each some all our
+    der die das den dem ein eine einer wir es er sie nach am im bei laut ohne mit für was wie warum wer ist sind hat
+    la el los las lo un una en por para con sin qué cuál cómo quién es son se le les une il elle ils nous vous dans pour avec sans est sont ce cet cette ces quel quelle
+    по в на мы он она это эти без при что как кто для и но
+    η ο το οι τα τη στην στο στη κατά για γιατί με
     """.split()
 )
-_ORDINAL = re.compile(r"(?<!\S)(?:[Aa]m|[Vv]om|[Zz]um|[Aa]b|[Bb]is|[Dd]e[rmn]|[Dd]ie|[Dd]as|[Ss]eit|[Ii]m|[Nn]ach)\s+\d{1,3}$")
+#: Words before a number with a full stop that then is an ordinal.
+ORDINAL_AFTER = frozenset("am vom zum ab bis der dem den die das seit im nach".split())
 _JA_GOES_ON = re.compile(r"(?:と|って|という|の|は|が|を|に|で|も)")
 
-WORD_GAIN, BALANCE, SHORT = 3.0, 3.0, 2.0
+#: Scores: of a plain end mark, of an opening word of a closed class or in lower case, of a torn pair.
+WORD_GAIN, OPENS, OPENS_LOW, TORN = 3.0, 4.5, -2.0, 12.0
+#: Middle and spread of the logarithm of the length of sentences, fitted to the 206,481 spans of the titles and texts of sf0.1 and
+#: check_s, and what a spread of distance costs.
+LENGTH_MIDDLE, LENGTH_SPREAD, LENGTH_COST = 4.05, 0.52, 0.25
+#: A span is Greek from this share of its letters, and from three.
+GREEK_SHARE = 0.3
 
 
 def _pairs(text: str, begin: int, end: int) -> dict[int, int]:
@@ -95,22 +111,28 @@ def _pairs(text: str, begin: int, end: int) -> dict[int, int]:
     return pairs
 
 
-def _depths(pairs: dict[int, int], places: list[int]) -> list[int]:
-    """At each place, how many pairs of quotes or brackets it would tear apart."""
+def _depths(pairs: dict[int, int], places: list[int]) -> tuple[list[int], list[int]]:
+    """How many pairs of quotes or brackets are open at each place, and at least between the place before and it."""
     if not pairs:
-        return [0] * len(places)
+        return [0] * len(places), [0] * len(places)
     changes = sorted([(a, 1) for a in pairs.values()] + [(b, -1) for b in pairs])
-    out, depth, k = [], 0, 0
+    out, least, depth, k = [], [], 0, 0
     for p in places:
+        low = depth
         while k < len(changes) and changes[k][0] < p:
             depth += changes[k][1]
+            low = min(low, depth)
             k += 1
         out.append(depth)
-    return out
+        least.append(low)
+    return out, least
 
 
-def _gain(text: str, begin: int, mark: int, behind: int, end: int, block_end: int, greek: bool, pairs: dict[int, int]) -> float | None:
-    """How well a sentence ends with the mark at ``mark:behind``, its place at ``end``; None: it can't."""
+def _close(text: str, mark: int, behind: int, end: int, block_end: int, word_at: int, from_: int) -> float | None:
+    """How well a sentence ends with the mark at ``mark:behind``, its place at ``end``; None: it can't.
+
+    ``word_at`` is where the word before the mark begins, ``from_`` a place at or before the begin of the word before that.
+    """
     marks = text[mark:behind]
     last = marks[-1]
     follow = end
@@ -123,15 +145,16 @@ def _gain(text: str, begin: int, mark: int, behind: int, end: int, block_end: in
     closed = any(c not in "0123456789[],;–- " and not c.isspace() for c in text[behind:end])
     m = _NEXT.match(text, follow, block_end)
     first = text[m.end()] if m.end() < block_end else text[follow]
+    lower = first.islower()
     if set(marks) <= {";", ";"}:
-        # A question mark in Greek only: the sentence before it must be Greek.
-        if not greek or not gap and not closed:
+        # Of a Greek span only, which is told by the span.
+        if not gap and not closed:
             return None
-        return WORD_GAIN + (1 if first.isupper() else -4 if first.islower() and closed else 0)
+        return WORD_GAIN + (1 if first.isupper() else -2 if lower and closed else 0)
     if "…" in marks or marks.endswith(".."):
         if set(marks) <= {"…"} and not gap:
             return None  # the dash-like ellipsis of East Asian texts
-        spaced = mark > begin and text[mark - 1].isspace()
+        spaced = mark > 0 and text[mark - 1].isspace()
         return -6.0 if text[follow].islower() or spaced and not first.isupper() else 0.5 if spaced else WORD_GAIN
     if text[follow] in ",;:.)]}、，；：،؛」』”»–—" and not (text[follow] in "–—" and wide):
         return -6.0
@@ -141,24 +164,19 @@ def _gain(text: str, begin: int, mark: int, behind: int, end: int, block_end: in
         if closed and gap and text[follow].islower() and text[end - 1] not in ")）]":
             return -5.0
         return WORD_GAIN + 1
+    word = text[word_at:mark]
     if not gap:
         # Without white space behind it, an ASCII mark ends nothing but before a letter of a script without spaces.
         if first >= "⺀":
             return 1.0 if last in "!?" or closed else -2.0
         if not first.isupper() or len(marks) > 1 or follow + 1 >= block_end or not (text[follow + 1].islower() or text[follow + 1].isspace()):
             return None
-        word = _WORD.search(text, max(begin, mark - 40), mark)[0]
         if last == "." and not closed and (len(word) < 2 or "." in word or word.lower() in ABBREVIATIONS or not word[-1].isalnum() and word[-1] not in "%)]"):
             return None
         return 2.0
-    lower = first.islower()
-    if closed and text[end - 1] in ")]）" and (a := pairs.get(end - 1)) is not None:
-        # A sentence that stands in brackets as a whole: its bracket opens where a sentence begins.
-        if a == begin or _ENDED.search(text, max(begin, a - 30), a):
-            return WORD_GAIN
     if last in "!?":
-        return (-5.0 if closed and text[end - 1] not in ")]" else 1.0) if lower else WORD_GAIN + 1
-    word = _WORD.search(text, max(begin, mark - 40), mark)[0].rstrip(".")
+        return -3.0 if lower and closed and text[end - 1] not in ")]" else WORD_GAIN + 1
+    word = word.rstrip(".")
     key = word.lower().lstrip("'’-")
     known = key in ABBREVIATIONS or key.rpartition("（")[2] in ABBREVIATIONS
     single = len(key) == 1 and key.isalpha()
@@ -168,42 +186,120 @@ def _gain(text: str, begin: int, mark: int, behind: int, end: int, block_end: in
         # Behind a closing quote or bracket the full stop inside is an end mark, unless the sentence plainly goes on.
         if text[end - 1] in ")]）" and (known or single or lower or text[follow] == "("):
             return -6.0
-        return -5.0 if text[follow].islower() and text[end - 1] not in "0123456789⁰¹²³⁴⁵⁶⁷⁸⁹]" else 1.0 if lower else WORD_GAIN
+        return -3.0 if text[follow].islower() and text[end - 1] not in "0123456789⁰¹²³⁴⁵⁶⁷⁸⁹]" else WORD_GAIN
     if known or single:
-        opener = re.match(r"[^\W\d_]+", text[m.end() : m.end() + 20])
-        starts = bool(opener) and opener[0].lower() in STARTERS and not lower
-        if key in MAY_END and not lower:
-            return 1.5 if starts else 0.6 if key == "etc" else -3.0
-        return -8.0
-    if key.isdigit() and _ORDINAL.search(text, max(begin, mark - 14), mark):
-        return -4.0
-    return 1.0 if lower else WORD_GAIN
-
-
-def _best(places: list[int], starts: list[int], gains: list[float], depths: list[int]) -> list[int]:
-    """The places at which the sentences of the best sequence end. Place 0 is the begin of the block."""
-    n = len(places)
+        return -8.0 if lower or key not in MAY_END else 0.6 if key == "etc" else -3.0
+    if key.isdigit() and len(key) <= 3:
+        before = text[from_:word_at].rstrip()
+        m = _BEFORE_WORD.match(before)
+        if before[m.end() if m else 0 :].lower() in ORDINAL_AFTER:
+            return -4.0
+    return WORD_GAIN
+
+
+class _Places:
+    """The places of a block at which a sentence may end, as columns. Place 0 is the begin of the block, the last its end.
+
+    ``ends`` and ``starts`` are where a span ends there and where the next begins, ``closes`` and ``opens`` their scores, ``whole``
+    the bracket that opens what closes there (-1: none), ``asks`` whether the span must be Greek.
+    """
+
+    def __init__(self, text: str, begin: int, end: int) -> None:
+        self.text, self.ends, self.starts, self.closes, self.opens = text, [begin], [begin], [0.0], [0.0]
+        self.whole, self.asks, self.marks = [-1], [False], [begin]
+        self.pairs = _pairs(text, begin, end)
+        word_at, from_, upto = begin, begin, begin
+        greek = _GREEK.search(text, begin, end) is not None
+        for m in _PLACE.finditer(text, begin, end):
+            if m[1] is None:
+                self._add(m.start(), m.end(), end, WORD_GAIN + 1)
+                continue
+            mark, at = m.start(1), m.end()
+            asks = text[mark] in ";;"
+            if asks and not greek:
+                continue
+            if x := _BEFORE_WORD.match(text, upto, mark):
+                word_at, from_ = x.end(), word_at
+            upto = mark
+            close = _close(text, mark, m.end(1), at, end, word_at, from_)
+            if close is None:
+                continue
+            start = at
+            while start < end and text[start].isspace():
+                start += 1
+            # Brackets around a whole sentence close it whatever stands before them.
+            inside = self.pairs.get(at - 1, -1) if not asks and start > at and text[at - 1] in ")]）" and m.end(1) < at else -1
+            self._add(at, start, end, close, inside, asks, mark)
+        if len(self.ends) > 1:
+            self._add(end, end, end, 0.0)
+
+    def _add(self, at: int, start: int, end: int, close: float, whole: int = -1, asks: bool = False, mark: int = -1) -> None:
+        self.ends.append(at)
+        self.starts.append(start)
+        self.closes.append(close)
+        m = _NEXT.match(self.text, start, end)
+        first = _FIRST_WORD.match(self.text, m.end(), end)
+        low = bool(first) and first[0][0].islower()
+        self.opens.append(OPENS_LOW if low else OPENS if first and first[0].lower() in STARTERS else 0.0)
+        self.whole.append(whole)
+        self.asks.append(asks)
+        self.marks.append(mark if asks else at)
+
+    def greek(self) -> tuple[list[int], list[int]]:
+        """Up to each place's mark and from each place's start, as one list each: Greek letters, letters."""
+        text, begin = self.text, self.ends[0]
+        flags = np.array([(c.isalpha(), "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿") for c in text[begin : self.ends[-1]]], np.int64).reshape(-1, 2)
+        sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(flags, 0)])
+        return sums[np.array(self.marks) - begin], sums[np.array(self.starts) - begin]
+
+
+_FIRST_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _length_cost(n: int) -> float:
+    return LENGTH_COST / LENGTH_SPREAD * abs(math.log(max(1, n)) - LENGTH_MIDDLE)
+
+
+_COSTS = [_length_cost(n) for n in range(4096)]
+
+
+def _best(p: _Places) -> list[int]:
+    """The places at which the spans of the best sequence end."""
+    n = len(p.ends)
+    depth, least = _depths(p.pairs, p.ends)
+    marks, starts_ = p.greek() if any(p.asks) else (None, None)
     best, come = [0.0] * n, [0] * n
     if n <= 65:
         for j in range(1, n):
-            top, arg, pj, dj, gj = -1e18, 0, places[j], depths[j], gains[j]
+            top, arg, end, dj, low, whole = -1e18, 0, p.ends[j], depth[j], least[j], p.whole[j]
             for i in range(j - 1, -1, -1):
-                length = pj - starts[i]
-                s = best[i] - BALANCE * (dj + depths[i])
-                if length < 4:
-                    s -= SHORT
-                elif length > 400:
-                    s -= (length - 400) * 0.002
+                start = p.starts[i]
+                s = best[i] + p.opens[i] + (WORD_GAIN if whole == start else p.closes[j])
+                if dj or depth[i]:
+                    s -= TORN * (dj + depth[i] - 2 * low)
+                size = end - start
+                s -= _COSTS[size] if size < 4096 else _length_cost(size)
+                if p.asks[j]:
+                    letters, greek = marks[j] - starts_[i]
+                    if greek < 3 or greek < GREEK_SHARE * letters:
+                        s = -1e17
                 if s > top:
                     top, arg = s, i
-            best[j], come[j] = top + gj, arg
+                if least[i] < low:
+                    low = least[i]
+            best[j], come[j] = top, arg
     else:
-        p, s, d, b = (np.array(x, float) for x in (places, starts, depths, best))
+        ends, starts, d, opens, b = (np.array(x, float) for x in (p.ends, p.starts, depth, p.opens, best))
+        low = np.array(least)
         for j in range(1, n):
-            length = p[j] - s[:j]
-            score = b[:j] - BALANCE * (d[j] + d[:j]) - SHORT * (length < 4) - 0.002 * np.maximum(0, length - 400)
-            i = j - 1 - int(np.argmax(score[::-1]))
-            b[j], come[j] = score[i] + gains[j], i
+            lowest = np.minimum.accumulate(low[j:0:-1])[::-1]  # between place i and place j
+            s = b[:j] + opens[:j] + np.where(starts[:j] == p.whole[j], WORD_GAIN, p.closes[j]) - TORN * (d[j] + d[:j] - 2 * lowest)
+            s -= LENGTH_COST / LENGTH_SPREAD * np.abs(np.log(np.maximum(1, ends[j] - starts[:j])) - LENGTH_MIDDLE)
+            if p.asks[j]:
+                known = marks[j] - starts_[:j]
+                s = np.where((known[:, 1] < 3) | (known[:, 1] < GREEK_SHARE * known[:, 0]), -1e17, s)
+            i = j - 1 - int(np.argmax(s[::-1]))
+            b[j], come[j] = s[i], i
     out, j = [], n - 1
     while j > 0:
         out.append(j)
@@ -211,53 +307,15 @@ def _best(places: list[int], starts: list[int], gains: list[float], depths: list
     return out[::-1]
 
 
-#: A sentence is Greek from this share of its letters.
-GREEK_SHARE = 0.3
-
-
-def _greek_letters(text: str, begin: int, end: int) -> tuple[int, int]:
-    """How many Greek letters and how many letters at all."""
-    letters = [c for c in text[begin:end] if c.isalpha()]
-    return sum("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in letters), len(letters)
-
-
 def _block(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    places, starts, gains = [begin], [begin], [0.0]
-    pairs = _pairs(text, begin, end)
-    greek_letters, letters, counted = 0, 0, begin  # since the last border, up to the last semicolon
-    for m in _PLACE.finditer(text, begin, end):
-        if m[1] is None:
-            places.append(m.start())
-            starts.append(m.end())
-            gains.append(WORD_GAIN + 1)
-            continue
-        marks, at = m[1], m.end()
-        greek = False
-        if marks[0] in ";;":
-            # Symbols such as alpha don't make a sentence Greek, nor does a Latin name in it make it another.
-            if counted < places[-1]:
-                greek_letters, letters, counted = 0, 0, places[-1]
-            more = _greek_letters(text, counted, m.start())
-            greek_letters, letters, counted = greek_letters + more[0], letters + more[1], m.start()
-            greek = greek_letters >= 3 and greek_letters >= GREEK_SHARE * letters
-        if (g := _gain(text, begin, m.start(1), m.end(1), at, end, greek, pairs)) is not None:
-            places.append(at)
-            start = at
-            while start < end and text[start].isspace():
-                start += 1
-            starts.append(start)
-            gains.append(g)
-    if len(places) == 1:
+    places = _Places(text, begin, end)
+    if len(places.ends) == 1:
         yield begin, end
         return
-    places.append(end)
-    starts.append(end)
-    gains.append(0.0)
-    ends = _best(places, starts, gains, _depths(pairs, places))
     at = begin
-    for j in ends:
-        yield at, places[j]
-        at = starts[j]
+    for j in _best(places):
+        yield at, places.ends[j]
+        at = places.starts[j]
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:

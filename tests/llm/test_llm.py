@@ -145,16 +145,65 @@ def test_long_blocks_and_rows(spark):
     assert sentences.split_sentences(df.limit(0), "row_id", ("title",)).count() == 0
 
 
-def test_small_and_large_blocks_choose_alike():
+def test_small_and_large_blocks_choose_alike(monkeypatch):
+    # Above 65 places the same scores are found by arrays.
     random.seed(4)
-    for _ in range(30):
-        n = 60
-        places = sorted(random.sample(range(1, 3000), n))
-        gains, depths = [random.uniform(-4, 4) for _ in places], [random.choice([0, 0, 1]) for _ in places]
-        small = sentences._best(places, places, gains, depths)
-        pad = [places[-1] + 1 + k for k in range(30)]
-        large = sentences._best(places + pad, places + pad, gains + [-99.0] * 29 + [0.0], depths + [0] * 30)
-        assert [j for j in small if j < n - 1] == [j for j in large if j < n - 1] or small[-1] == n - 1
+    pieces = ["The cell fell. ", "(All rose. None fell.) ", "Dr. Smith et al. left ", '"Is it? It is. ', 'So." ', "γιατί χάνεται η δομή; ", "No. 5 of it; ", "a.b. ", "ab cd… ", "W. X. Yz! "]
+    for n in (3, 30, 120):
+        for _ in range(20):
+            text = "".join(random.choices(pieces, k=n)).strip()
+            places = sentences._Places(text, 0, len(text))
+            if len(places.ends) < 2:
+                continue
+            padded = sentences._Places(text, 0, len(text))
+            k = max(0, 66 - len(places.ends))  # places that nothing ends at
+            for name, value in (("ends", len(text)), ("starts", len(text)), ("closes", -1e9), ("opens", 0.0), ("whole", -1), ("asks", False), ("marks", len(text))):
+                column = getattr(padded, name)
+                column[-1:-1] = [value] * k
+            assert [places.ends[j] for j in sentences._best(places)] == [padded.ends[j] for j in sentences._best(padded)]
+
+
+def brute_force(p):
+    """The best of all sequences of spans, each scored on its own."""
+    depth = lambda at: sum(a < at <= b for b, a in p.pairs.items())
+
+    def score(i, j):
+        start, end = p.starts[i], p.ends[j]
+        torn = sum((a >= p.ends[i]) != (b >= p.ends[i]) or (a >= end) != (b >= end) for b, a in p.pairs.items() if not (a < p.ends[i] and b >= end) and a < end and b >= p.ends[i])
+        text = p.text[start : p.marks[j]]
+        letters, greek = sum(c.isalpha() for c in text), sum("Ͱ" <= c <= "Ͽ" for c in text)
+        if p.asks[j] and (greek < 3 or greek < sentences.GREEK_SHARE * letters):
+            return -1e17
+        return p.opens[i] + (sentences.WORD_GAIN if p.whole[j] == start else p.closes[j]) - sentences.TORN * torn - sentences._length_cost(end - start)
+
+    n, best = len(p.ends), (-math.inf, [])
+    for mask in range(1 << (n - 2)):
+        chosen = [j for j in range(1, n - 1) if mask >> (j - 1) & 1] + [n - 1]
+        total = sum(score(i, j) for i, j in zip([0, *chosen], chosen))
+        best = max(best, (total, chosen))
+    assert depth(p.ends[0]) == 0
+    return best
+
+
+def test_spans_are_the_best_of_all_sequences():
+    random.seed(5)
+    pieces = ["The cell fell. ", "(All rose. None fell.) ", "Dr. Smith ", '"Is it? It is." ', "γιατί χάνεται; ", "No. 5; ", "(see X. Then ", "go.) "]
+    for _ in range(60):
+        text = "".join(random.choices(pieces, k=6)).strip()
+        p = sentences._Places(text, 0, len(text))
+        if 2 < len(p.ends) < 12:
+            total, chosen = brute_force(p)
+            assert [p.ends[j] for j in sentences._best(p)] == [p.ends[j] for j in chosen], text
+
+
+def test_brackets_of_a_span_are_judged_by_the_span():
+    whole = "It fell. (All rose. None fell.) So it was."
+    assert [whole[a:b] for a, b in sentences.sentence_spans(whole)] == ["It fell.", "(All rose. None fell.)", "So it was."]
+    inside = "It fell (see Fig. 2. None fell.) and rose."
+    assert [inside[a:b] for a, b in sentences.sentence_spans(inside)] == [inside]
+    # A quotation of very many sentences is torn at its ends once; its inner sentences aren't.
+    long = '"' + "This sentence stands inside of it. " * 30 + 'That ends it." So it was.'
+    assert len(sentences.sentence_spans(long)) == 32
 
 
 def mix(spark, rows, targets, **options):
