@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +60,10 @@ LEAST_WORDS, CURVE_WORDS = 8, 24
 
 #: Scripts without spaces, in which pairs of characters stand for words: Thai, Han, Hiragana and Katakana, as ranges.
 _DENSE = "ก-ฺเ-๛⺀-⿕々〇〡-〩〸-〻ぁ-ゟァ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎ｦ-ﾝ𠀀-𲎯"
-#: Addresses, also such as hide their dots, link tags and hash tags.
-_LINK = (
-    r"(?:https?://|www\.)[^\s<>\"')\]]*|(?<![\p{L}\p{N}_])[\p{L}\p{N}_]+ ?(?:\[\.\]|\(dot\)| dot )\s?[\p{L}\p{N}_]+"
-    r"|<a\s[^>]*>|</a>|#[\p{L}\p{N}_][\p{L}\p{M}\p{N}_-]*"
-)
-#: A text without any of these holds no link, so that the search for links is left out.
-_LINK_MARKS = ("http", "www.", "[.]", "(dot)", " dot ", "<a", "</a>", "#")
+#: Addresses, link tags and hash tags; and addresses that hide their dots. Each with marks without which it isn't in a text, so that
+#: most texts aren't searched.
+_LINK = r"(?:https?://|www\.)[^\s<>\"')\]]*|<a\s[^>]*>|</a>|#[\p{L}\p{N}_][\p{L}\p{M}\p{N}_-]*", ("http", "www.", "<a", "</a>", "#")
+_DOTTED = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]+ ?(?:\[\.\]|\(dot\)| dot )\s?[\p{L}\p{N}_]+", ("[.]", "(dot)", " dot ")
 
 
 _WORD, _PAIRED = 1, 2
@@ -123,15 +120,17 @@ def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings.dictionary, strings.indices.to_numpy().astype(np.int64), rows
 
 
+def _without(text: Column, pattern: str, marks: tuple[str, ...]) -> Column:
+    marked = reduce(Column.__or__, (F.contains(text, F.lit(mark)) for mark in marks))
+    return F.when(marked, F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+
 def _plain(pages: DataFrame, *more: str) -> DataFrame:
-    """``lang``, the text in lower case without links, and the share of its characters in links."""
-    text, marked = F.col("text"), F.lit(False)
-    for mark in _LINK_MARKS:
-        marked = marked | F.contains(text, F.lit(mark))
-    bare = F.when(marked, F.regexp_replace(text, _LINK, " ")).otherwise(text)
-    links = (F.length("text") - F.length("bare")) / F.greatest(F.length("text"), F.lit(1))
-    known = pages.select(*more, "lang", "text", bare.alias("bare"))
-    return known.select(*more, "lang", links.alias("links"), F.lower("bare").alias("text"))
+    """``lang``, the share of the text's characters in links, and the text in lower case without them."""
+    known = pages.select(*more, "lang", F.length("text").alias("size"), _without(F.col("text"), *_LINK).alias("text"))
+    known = known.select(*more, "lang", "size", _without(F.col("text"), *_DOTTED).alias("text"))
+    links = (F.col("size") - F.length("text")) / F.greatest("size", F.lit(1))
+    return known.select(*more, "lang", links.alias("links"), F.lower("text").alias("text"))
 
 
 class _Prose:
