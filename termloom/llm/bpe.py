@@ -16,6 +16,7 @@ text; nothing is cut, whatever the length.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -281,14 +283,28 @@ def text_slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.Recor
         yield batch.slice(int(a), int(b - a))
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> str:
+    """The name under which the workers find a vocabulary: the driver serves its file to all of them."""
+    if os.path.isfile(vocabulary):
+        spark.sparkContext.addFile(vocabulary)
+        return os.path.basename(vocabulary)
+    return vocabulary
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    own = SparkFiles.get(vocabulary)
+    return encoder(own if os.path.exists(own) else vocabulary)
+
+
 def encode_texts(
     df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """``<keep>, ids``: the token ids of each row's text. A map over the rows: no shuffle, other columns are ignored."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    served = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = _encoder(served)
         for batch in batches:
             for part in text_slices(batch):
                 if part.num_rows:
@@ -303,9 +319,10 @@ def token_counts(
 ) -> DataFrame:
     """``<keep>, n_tokens``: like ``encode_texts``, but only the number of ids leaves Python."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    served = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = _encoder(served)
         for batch in batches:
             for part in text_slices(batch):
                 if part.num_rows:

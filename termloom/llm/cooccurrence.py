@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 from termloom.sources.staging import checkpointed
 
 BLOCK = 256
-#: An item in more records than this has its stripe split into parts.
+#: An item in more records than this has its stripe split into parts, as many as it takes.
 RECORDS_PER_PART = 20_000
-MOST_PARTS = 256
+#: An item with more than this share of all rows is hot. There are at most 1 / HOT_SHARE of them, so they can be broadcast.
+HOT_SHARE = 0.0001
+#: The level of the log-likelihood ratio from which a pair is significant: 0.1 % of pairs without any relation reach it (chi-square, one degree of freedom).
+SIGNIFICANT = 10.828
 #: Pairs that are expanded at once, entries held before a task emits its stripes, and entries of one emitted row.
 PAIRS_AT_ONCE, HELD_ENTRIES, ROW_ENTRIES = 2_000_000, 3_000_000, 256
 
@@ -70,7 +73,7 @@ def _expand(items: list[np.ndarray], counts: list[np.ndarray], others: list[np.n
 
 
 def _part_of(n1: np.ndarray, neighbour: np.ndarray) -> np.ndarray:
-    parts = np.clip(-(-n1 // RECORDS_PER_PART), 1, MOST_PARTS)
+    parts = np.maximum(-(-n1 // RECORDS_PER_PART), 1)
     return ((neighbour.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
 
@@ -152,9 +155,14 @@ def stripes(items: DataFrame, record: str, item: str, least_records: int = 1, le
     ``n1`` and ``n2`` are the numbers of records of the item and of each neighbour.
     """
     pairs = items.select(F.col(record).alias("record"), F.col(item).cast("bigint").alias("item")).where("record IS NOT NULL AND item IS NOT NULL").distinct()
-    known = pairs.groupBy("item").agg(F.count("*").alias("n1")).where(F.col("n1") >= least_records)
+    known = pairs.groupBy("item").agg(F.count("*").alias("n1"))
+    most = known.select(F.sum("n1") * HOT_SHARE).scalar()
+    # The rows of hot items meet a broadcast table where they are; only those of the others are shuffled by item.
+    hot = F.broadcast(known.where((F.col("n1") > most) & (F.col("n1") >= least_records)))
+    few = known.where((F.col("n1") <= most) & (F.col("n1") >= least_records))
+    cold = pairs.join(F.broadcast(known.where(F.col("n1") > most).select("item")), "item", "left_anti")
     # Used five times below: kept, so that it is computed once.
-    kept = checkpointed(pairs.join(known, "item"))
+    kept = checkpointed(pairs.join(hot, "item").unionByName(cold.join(few, "item")))
     large = kept.groupBy("record").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     entry = F.collect_list(F.struct("item", "n1")).alias("list")
     none = F.lit(None).cast("array<bigint>")
@@ -181,11 +189,11 @@ def stripes(items: DataFrame, record: str, item: str, least_records: int = 1, le
     )
 
 
-def significant_pairs(items: DataFrame, record: str, item: str, least_together: int = 5) -> DataFrame:
-    """``item1, item2, n12, n1, n2, n, lift, llr`` of all pairs together in at least ``least_together`` records.
+def judged_pairs(items: DataFrame, record: str, item: str, least_together: int = 5) -> DataFrame:
+    """``item1, item2, n12, n1, n2, n, lift, llr, significant`` of all pairs together in at least ``least_together`` records.
 
     ``n`` counts the records with any item. ``lift`` is n12 * n / (n1 * n2), ``llr`` the log-likelihood ratio of the
-    two-by-two table.
+    two-by-two table. A pair is ``significant`` if it is together more often than by chance and its ratio reaches ``SIGNIFICANT``.
     """
     n = items.where(F.col(record).isNotNull() & F.col(item).isNotNull()).select(F.countDistinct(record)).scalar()
     flat = (
@@ -199,7 +207,8 @@ def significant_pairs(items: DataFrame, record: str, item: str, least_together:
         x_log_x(n12) + x_log_x(n1 - n12) + x_log_x(n2 - n12) + x_log_x(n - n1 - n2 + n12)
         - x_log_x(n1) - x_log_x(n - n1) - x_log_x(n2) - x_log_x(n - n2) + x_log_x(n)
     )
-    return flat.withColumn("lift", n12.cast("double") * n / n1 / n2).withColumn("llr", llr)
+    judged = flat.withColumn("lift", n12.cast("double") * n / n1 / n2).withColumn("llr", llr)
+    return judged.withColumn("significant", (F.col("lift") > 1) & (F.col("llr") >= SIGNIFICANT))
 
 
 def above_chance(pairs: DataFrame, factor: int) -> DataFrame:

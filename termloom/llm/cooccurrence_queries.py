@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.cooccurrence import above_chance, significant_pairs
+from termloom.llm.cooccurrence import SIGNIFICANT, above_chance, judged_pairs
 from termloom.sources.tables import table
 
 
@@ -17,15 +17,15 @@ def document_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = above_chance(significant_pairs(document_items(spark, folder), "doc", "serial", 5), 4)
+    found = above_chance(judged_pairs(document_items(spark, folder), "doc", "serial", 5), 4)
     return found.select(F.col("item1").alias("serial1"), F.col("item2").alias("serial2"))
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of items in at least two common documents, with how far they lie above chance."""
-    pairs = significant_pairs(document_items(spark, folder), "doc", "serial", 2)
+    """Every pair of items in any common document, with how far it lies above chance, and whether that is significant."""
+    pairs = judged_pairs(document_items(spark, folder), "doc", "serial", 1)
     return pairs.select(
-        F.col("item1").alias("serial1"), F.col("item2").alias("serial2"), "n12", "n1", "n2", "n", F.round("lift", 4).alias("lift"), F.round("llr", 4).alias("llr")
+        F.col("item1").alias("serial1"), F.col("item2").alias("serial2"), "n12", "n1", "n2", "n", F.round("lift", 4).alias("lift"), F.round("llr", 4).alias("llr"), "significant"
     )
 
 
@@ -51,6 +51,7 @@ _LLR = " + ".join(_X.format(x) for x in ("n12", "n1 - n12", "n2 - n12", "n - n1
 ORACLES = {
     "p2_found": _PAIRS + "SELECT serial1, serial2 FROM counted WHERE n12 >= 5 AND CAST(n12 AS HUGEINT) * n >= 4 * CAST(n1 AS HUGEINT) * n2",
     "p2_pairs": _PAIRS
-    + f"""SELECT serial1, serial2, n12, n1, n2, n, round(CAST(n12 AS DOUBLE) * n / n1 / n2, 4) AS lift, round(2 * ({_LLR}), 4) AS llr
-    FROM counted WHERE n12 >= 2""",
+    + f"""SELECT serial1, serial2, n12, n1, n2, n, round(CAST(n12 AS DOUBLE) * n / n1 / n2, 4) AS lift, round(2 * ({_LLR}), 4) AS llr,
+      CAST(n12 AS DOUBLE) * n / n1 / n2 > 1 AND 2 * ({_LLR}) >= {SIGNIFICANT} AS significant
+    FROM counted""",
 }

@@ -40,7 +40,7 @@ def words_of(text: Column) -> Column:
     return F.filter(trimmed, lambda w: w != "")
 
 
-def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int | None) -> pa.RecordBatch | None:
+def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int | None, most: int | None) -> pa.RecordBatch | None:
     record, suffix, count = (pa.concat_arrays([p[i] for p in parts]) for i in range(3))
     record = record.dictionary_encode().indices.to_numpy().astype(np.int64)
     count = count.to_numpy()
@@ -56,7 +56,7 @@ def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int | None) -> pa.
     prefix = np.concatenate([[0], same.sum(1)])  # words that a suffix shares with the one before
     words = flat.dictionary.to_pylist()
     grams, lengths, occurrences, records = [], [], [], []
-    for n in range(1, longest + 1):
+    for n in range(1, min(longest, most or longest) + 1):
         long_enough = ids[:, n - 1] >= 0
         if not long_enough.any():
             break
@@ -79,7 +79,7 @@ def _suffix_array(parts: list[tuple[pa.Array, ...]], longest: int | None) -> pa.
     )
 
 
-def _count_parts(longest: int | None):
+def _count_parts(longest: int | None, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (first word, record, suffix, count), sorted by the first two."""
         held: list[tuple[pa.Array, ...]] = []
@@ -99,19 +99,22 @@ def _count_parts(longest: int | None):
                 if len(differs):
                     cut = int(differs[-1]) + 1
                     held.append(tuple(batch.column(i).slice(0, cut) for i in (1, 2, 3)))
-                    if (out := _suffix_array(held, longest)) is not None:
+                    if (out := _suffix_array(held, longest, most)) is not None:
                         yield out
                     held, size = [], 0
             held.append(tuple(batch.column(i).slice(cut) for i in (1, 2, 3)))
             size += batch.num_rows - cut
-        if held and (out := _suffix_array(held, longest)) is not None:
+        if held and (out := _suffix_array(held, longest, most)) is not None:
             yield out
 
     return run
 
 
-def ngram_counts(df: DataFrame, record: str, words: Column, longest: int | None = None) -> DataFrame:
-    """``ngram, n, occurrences, records`` of all n-grams, up to ``longest`` words if given; the words of an n-gram are joined by a space."""
+def ngram_counts(df: DataFrame, record: str, words: Column, longest: int | None = None, most: int | None = None) -> DataFrame:
+    """``ngram, n, occurrences, records`` of all n-grams, up to ``longest`` words if given; the words of an n-gram are joined by a space.
+
+    ``longest`` cuts the suffixes, as long texts need it; ``most`` leaves them whole and gives out the intervals of up to so many words.
+    """
     kind = df.select(record).schema[0].dataType.simpleString()
     suffixes = (
         df.where(F.col(record).isNotNull())
@@ -125,7 +128,7 @@ def ngram_counts(df: DataFrame, record: str, words: Column, longest: int | None
     parts = (
         suffixes.repartition("first", "record")
         .sortWithinPartitions("first", "record")
-        .mapInArrow(_count_parts(longest), COUNTS)
+        .mapInArrow(_count_parts(longest, most), COUNTS)
     )
     return (
         parts.groupBy("ngram", "n")

@@ -10,30 +10,31 @@ from pyspark.sql import functions as F
 from termloom.llm.frequency import marked, ngram_counts, words_of
 from termloom.sources.tables import table
 
-#: The longest n-gram of names that the query counts: its SQL counts n from 1 to 3.
-LONGEST = 3
 
-
-def _fields(spark: SparkSession, folder: str, longest: int | None) -> dict[str, tuple[DataFrame, int | None]]:
-    """Per field, rows (serial, words) and the longest n-gram."""
+def _fields(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Per field, rows (serial, words)."""
     names = table(spark, folder, "names", "serial", "name").select("serial", words_of(F.col("name")).alias("words"))
     types = table(spark, folder, "test_entities", "serial", "type").where("type IS NOT NULL")
-    return {"name": (names, longest), "type": (types.select("serial", F.array(F.col("type").cast("string")).alias("words")), 1)}
-
+    return {"name": names, "type": types.select("serial", F.array(F.col("type").cast("string")).alias("words"))}
 
-def p5_terms(spark: SparkSession, folder: str, longest: int | None = LONGEST) -> DataFrame:
-    """``field, term, n, occurrences, records, mark`` of every n-gram up to ``longest`` words; None: of every length."""
 
-    def counted(field: str, rows: DataFrame, longest: int | None) -> DataFrame:
+def _terms(spark: SparkSession, folder: str, most: int | None) -> DataFrame:
+    def counted(field: str, rows: DataFrame) -> DataFrame:
         total = rows.where(F.size("words") > 0).select(F.countDistinct("serial")).scalar()
-        counts = ngram_counts(rows, "serial", F.col("words"), longest)
+        counts = ngram_counts(rows, "serial", F.col("words"), most=most)
         return marked(counts, total).select(F.lit(field).alias("field"), F.col("ngram").alias("term"), "n", "occurrences", "records", "mark")
 
-    return reduce(DataFrame.unionByName, (counted(k, *v) for k, v in _fields(spark, folder, longest).items()))
+    return reduce(DataFrame.unionByName, (counted(k, v) for k, v in _fields(spark, folder).items()))
+
+
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """``field, term, n, occurrences, records, mark`` of every n-gram of every length."""
+    return _terms(spark, folder, None)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_terms(spark, folder).where("n = 1 AND mark IS NOT NULL").select("field", "term", "mark")
+    """The intervals of one word of the same suffix arrays, marked ones only."""
+    return _terms(spark, folder, 1).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
 QUERIES = {"p5_found": p5_found, "p5_terms": p5_terms}
@@ -46,7 +47,7 @@ WITH split AS (
   FROM names WHERE serial IS NOT NULL AND name IS NOT NULL
 ), grams AS (
   SELECT 'name' AS field, serial, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS term
-  FROM split, (SELECT unnest([1, 2, 3]) AS n)
+  FROM (SELECT serial, w, unnest(range(1, len(w) + 1)) AS n FROM split)
   UNION ALL SELECT 'type', serial, 1, CAST(type AS VARCHAR) FROM test_entities WHERE type IS NOT NULL AND serial IS NOT NULL
 ), totals AS (SELECT field, count(DISTINCT serial) AS total FROM grams WHERE n = 1 GROUP BY field
 ), counted AS (

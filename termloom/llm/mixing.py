@@ -8,6 +8,10 @@ more than its subtree can take, shortages are settled among siblings before they
 
 The total is by default the largest at which every source present can have its target share in full.
 
+Budgets are shared without a window over all children of a node: children are summed by capacity per weight in ranges,
+running sums go over the ranges, and inside of a range over its distinct values, so that a language with all sites of a
+crawl is spread over the cluster.
+
 A leaf takes whole epochs, each document once in each, and of one more epoch, put in order by a seeded hash, the prefix
 of documents whose tokens fit into the rest of the budget. The prefix is found by sums over ranges of the hash, so that
 a leaf with a third of all rows is never sorted by one task: only the documents of the one range that the border
@@ -30,8 +34,10 @@ LEVELS = ("source", "lang", "site")
 POWERS = {"lang": 0.7, "site": 1.0}
 #: Ranges of the hash in which a leaf's tokens are summed, as a power of two.
 RANGE_BITS = 12
-#: Copies of the leaves that the documents are joined to, so that a hot leaf is spread.
-SALTS = 16
+#: A leaf with more than this share of all tokens is hot. There are at most 1 / HOT_SHARE of them, so they can be broadcast.
+HOT_SHARE = 0.001
+#: Ranges of capacity per weight for each doubling of it.
+STEPS = 16
 
 
 def _null_safe(level: str) -> Column:
@@ -48,24 +54,32 @@ def _share(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
     """Adds ``budget`` to nodes (weight, capacity, parent_budget): the parent's budget by weight, no node above its capacity.
 
     With the nodes in order of capacity per weight, a node is full exactly if raising all open nodes to its level
-    still fits the budget. The windows run over the children of a node, not over documents.
+    still fits the budget. So a parent has one highest level of full nodes, found on sums by level.
     """
-    w = Window.partitionBy(*parent)
-    by = w.orderBy(F.col("capacity") / F.col("weight"), *(F.col(x) for x in LEVELS if x in nodes.columns))
-    before = F.coalesce(F.sum("capacity").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    from_here = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    full = before + F.col("capacity") / F.col("weight") * from_here <= F.col("parent_budget")
+    keys = [*parent, "_top"]  # the top has no parent
+    nodes = nodes.withColumn("_top", F.lit(0)).withColumn("level", F.col("capacity") / F.col("weight"))
+    sums = F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"), F.first("parent_budget").alias("parent_budget")
+    # Levels and ranges are read twice: kept.
+    levels = checkpointed(nodes.groupBy(*keys, F.floor(F.log2("level") * STEPS).alias("range"), "level").agg(*sums))
+    ranges = levels.groupBy(*keys, "range").agg(*sums[:2])
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("range"), F.desc("range")))
+    bounds = ranges.select(*keys, "range", F.coalesce(F.sum("capacity").over(up), F.lit(0.0)).alias("before"), F.coalesce(F.sum("weight").over(down), F.lit(0.0)).alias("after"))
+    up, down = (Window.partitionBy(*keys, "range").orderBy(o) for o in (F.asc("level"), F.desc("level")))
+    before = F.col("before") + F.coalesce(F.sum("capacity").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    from_here = F.col("after") + F.sum("weight").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    # The budget is at most all capacity; sums in another order may be off by a rounding.
+    full = before + F.col("level") * from_here <= F.col("parent_budget") * (1 + 1e-12)
+    judged = levels.join(bounds, [*keys, "range"]).withColumn("full", full)
+    borders = judged.groupBy(*keys).agg(
+        F.max(F.when(F.col("full"), F.col("level"))).alias("upto"),
+        F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0.0)).alias("spent"),
+        F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).alias("open_weight"),
+    )
+    shared = F.least(F.col("capacity"), F.col("weight") * F.greatest(F.lit(0.0), F.col("parent_budget") - F.col("spent")) / F.col("open_weight"))
     return (
-        nodes.withColumn("full", full)
-        .withColumn("spent", F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0.0)).over(w))
-        .withColumn("open_weight", F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(w))
-        .withColumn(
-            "budget",
-            F.when(F.col("full"), F.col("capacity")).otherwise(
-                F.least(F.col("capacity"), F.col("weight") * (F.col("parent_budget") - F.col("spent")) / F.col("open_weight"))
-            ),
-        )
-        .drop("full", "spent", "open_weight")
+        nodes.join(borders, keys)
+        .withColumn("budget", F.when(F.col("upto").isNotNull() & (F.col("level") <= F.col("upto")), F.col("capacity")).otherwise(shared))
+        .drop("_top", "level", "upto", "spent", "open_weight")
     )
 
 
@@ -105,24 +119,36 @@ def budgets(documents: DataFrame, targets: DataFrame, total: float | None = None
     return checkpointed(full.select(*LEVELS, "tokens", "max_repeats", "capacity", "budget"))
 
 
+def _running(rows: DataFrame, keys: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows of ``keys`` up to this one in order of ``place, doc_id``.
+
+    Over ranges of the place first, at most 2 ** RANGE_BITS for each key, then over the rows of a range.
+    """
+    ranges = rows.groupBy(*keys, "range").agg(F.sum(value).alias("_in"))
+    w = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select(*keys, "range", F.coalesce(F.sum("_in").over(w), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "range").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, [*keys, "range"]).withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before")
+
+
 def _fill(borders: DataFrame) -> DataFrame:
     """Adds ``more`` to the documents that a leaf's budget ends inside of, one at most for each leaf.
 
     What the leaves lack together (``short``) is filled with whole documents among the leaves of a language, and what
-    is lacking then among all of the source, so that a source misses its budget by less than a document. The windows
-    run over leaves.
+    is lacking then among all of the source, so that a source misses its budget by less than a document.
     """
-    by = lambda w: w.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    borders = borders.withColumn("more", F.lit(0))
     for level in range(len(LEVELS) - 1, 0, -1):
-        w = Window.partitionBy(*LEVELS[:level])
-        open_ = F.col("more") == 0 if "more" in borders.columns else F.lit(True)
-        wanted = F.when(open_, F.col("n_tokens")).otherwise(0)
-        taken = open_ & (F.sum(wanted).over(by(w)) <= F.sum("short").over(w))
+        keys = LEVELS[:level]
+        borders = checkpointed(borders.withColumn("wanted", F.when(F.col("more") == 0, F.col("n_tokens")).otherwise(0)))  # read three times
+        lacks = borders.groupBy(*keys).agg(F.sum("short").alias("lack"))
+        summed = _running(borders, keys, "wanted", "upto_here").join(lacks, list(keys))
+        taken = (F.col("more") == 0) & (F.col("upto_here") <= F.col("lack"))
         borders = (
-            borders.withColumn("taken", taken)
-            .withColumn("more", F.when(F.col("taken"), 1).otherwise(F.col("more") if "more" in borders.columns else F.lit(0)))
+            summed.withColumn("taken", taken)
+            .withColumn("more", F.when(F.col("taken"), 1).otherwise(F.col("more")))
             .withColumn("short", F.col("short") - F.when(F.col("taken"), F.col("n_tokens")).otherwise(0))
-            .drop("taken")
+            .drop("taken", "wanted", "upto_here", "lack")
         )
     return borders
 
@@ -132,23 +158,19 @@ def select_documents(documents: DataFrame, leaves: DataFrame, seed: int = 7) ->
 
     ``times_used`` never exceeds ``max_repeats``.
     """
-    plan = leaves.select(
-        *LEVELS,
-        F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.col("max_repeats")).cast("int").alias("epochs"),
-        F.col("max_repeats"),
-        "budget",
-        "tokens",
-    ).select(
-        *LEVELS,
-        "epochs",
-        F.when(F.col("epochs") < F.col("max_repeats"), F.greatest(F.col("budget") - F.col("epochs") * F.col("tokens"), F.lit(0.0))).otherwise(0.0).alias("rest"),
-    )
-    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    epochs = F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.col("max_repeats")).cast("int")
+    plan = leaves.select(*LEVELS, epochs.alias("epochs"), "max_repeats", "budget", "tokens")
+    rest = F.when(F.col("epochs") < F.col("max_repeats"), F.greatest(F.col("budget") - F.col("epochs") * F.col("tokens"), F.lit(0.0))).otherwise(0.0)
+    plan = plan.select(*LEVELS, "epochs", "tokens", rest.alias("rest"))
+    most = plan.select(F.sum("tokens") * HOT_SHARE).scalar()
+    hot = F.broadcast(plan.where(F.col("tokens") > most))
+    usable = documents.where("n_tokens > 0 AND source IS NOT NULL")
+    # Documents of hot leaves stay where they are; only those of the others are shuffled by leaf.
+    cold = usable.join(hot.select(*LEVELS), list(LEVELS), "left_anti").join(plan.where(F.col("tokens") <= most), list(LEVELS))
     placed = (
-        documents.where("n_tokens > 0 AND source IS NOT NULL")
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        .join(salted, [*LEVELS, "salt"])
-        .drop("salt")
+        usable.join(hot, list(LEVELS))
+        .unionByName(cold)
+        .drop("tokens")
         .withColumn("place", F.xxhash64("doc_id", F.lit(seed), "epochs"))
         .withColumn("range", F.shiftrightunsigned("place", 64 - RANGE_BITS))
     )
@@ -168,7 +190,7 @@ def select_documents(documents: DataFrame, leaves: DataFrame, seed: int = 7) ->
     ordered = known.where(inside).withColumn("sum", F.col("before") + F.sum("n_tokens").over(border))
     split = (F.col("sum") > F.col("rest")) & (F.col("sum") - F.col("n_tokens") < F.col("rest"))
     plain = ordered.where(~split).withColumn("more", (F.col("sum") <= F.col("rest")).cast("int")).drop("sum")
-    filled = _fill(ordered.where(split).withColumn("short", F.col("rest") - (F.col("sum") - F.col("n_tokens")))).drop("sum", "short")
+    filled = _fill(ordered.where(split).withColumn("short", F.col("rest") - (F.col("sum") - F.col("n_tokens"))).drop("sum")).drop("short")
     chosen = known.where(~inside).withColumn("more", (F.col("upto") <= F.col("rest")).cast("int")).unionByName(plain).unionByName(filled)
     return (
         chosen.withColumn("times_used", F.col("epochs") + F.coalesce("more", F.lit(0)))

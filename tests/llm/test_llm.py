@@ -46,9 +46,9 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     one = Counter(s for x in by.values() for s in x)
     two = Counter(p for x in by.values() for p in combinations(sorted(x), 2))
     want = {(a, b): (k, one[a], one[b], len(by)) for (a, b), k in two.items() if k >= 3}
-    got = {(r.item1, r.item2): (r.n12, r.n1, r.n2, r.n) for r in cooccurrence.significant_pairs(df, "doc", "serial", 3).collect()}
+    got = {(r.item1, r.item2): (r.n12, r.n1, r.n2, r.n) for r in cooccurrence.judged_pairs(df, "doc", "serial", 3).collect()}
     assert got == want
-    assert cooccurrence.significant_pairs(df.limit(0), "doc", "serial", 3).count() == 0
+    assert cooccurrence.judged_pairs(df.limit(0), "doc", "serial", 3).count() == 0
 
 
 def test_stripes_of_hot_items_are_split_and_whole(spark, monkeypatch):
@@ -100,10 +100,12 @@ def test_ngrams_of_every_length(spark):
 def test_terms_of_every_length_of_the_names(spark, monkeypatch):
     from termloom.llm import frequency_queries
 
-    tables = {"names": spark.createDataFrame([(1, "a b c d e")], "serial bigint, name string"), "test_entities": spark.createDataFrame([(1, 9)], "serial bigint, type int")}
+    tables = {"names": spark.createDataFrame([(1, "a b c d e"), (2, "a a")], "serial bigint, name string"), "test_entities": spark.createDataFrame([(1, 9)], "serial bigint, type int")}
     monkeypatch.setattr(frequency_queries, "table", lambda s, f, name, *columns: tables[name].select(*columns))
-    got = [r.term for r in frequency_queries.p5_terms(spark, "", longest=None).where("field = 'name'").collect()]
-    assert sorted(got) == sorted(" ".join("abcde"[i:j]) for i in range(5) for j in range(i + 1, 6))
+    got = [r.term for r in frequency_queries.p5_terms(spark, "").where("field = 'name'").collect()]
+    assert sorted(got) == sorted([" ".join("abcde"[i:j]) for i in range(5) for j in range(i + 1, 6)] + ["a a"])
+    found = {(r.field, r.term, r.mark) for r in frequency_queries.p5_found(spark, "").collect()}
+    assert found == {("name", c, "rare") for c in "abcde"} | {("type", "9", "rare")}
 
 
 SENTENCES = [
@@ -239,6 +241,43 @@ def test_shortage_goes_to_siblings_first(spark):
     assert leaves["a", "de"] == pytest.approx(10) and leaves["a", "en"] == pytest.approx(590) and leaves["b", "en"] == pytest.approx(600)
 
 
+def water_filled(weights, capacities, budget):
+    """Budgets of siblings by raising all open ones together, one full one at a time."""
+    out, open_ = {}, set(weights)
+    while open_:
+        level = (budget - sum(out.values())) / sum(weights[k] for k in open_)
+        full = {k for k in open_ if capacities[k] <= level * weights[k] * (1 + 1e-12)}
+        if not full:
+            return out | {k: level * weights[k] for k in open_}
+        out |= {k: capacities[k] for k in full}
+        open_ -= full
+    return out
+
+
+def test_budgets_equal_brute_force(spark):
+    random.seed(11)
+    rows = [(k, random.choice("abc"), random.choice(["en", "de", "fr", None]), f"s{random.randint(0, 30)}", random.choice([1, 7, 50, 400])) for k in range(800)]
+    targets = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)]
+    powers = {"lang": 0.4, "site": 0.6}
+    leaves = mix(spark, rows, targets, total=30_000, powers=powers)[0].collect()
+    repeats = {s: m for s, _, m in targets}
+    size = defaultdict(int)
+    for _, source, lang, site, n in rows:
+        for key in ((source,), (source, lang or "und"), (source, lang or "und", site)):
+            size[key] += n
+    children = defaultdict(list)
+    for key in size:
+        children[key[:-1]].append(key)
+    budget = {(): 30_000}
+    for depth, power in ((0, None), (1, 0.4), (2, 0.6)):
+        for parent in [k for k in list(budget) if len(k) == depth]:
+            own = children[parent]
+            weights = {k: {s: w for s, w, _ in targets}[k[0]] if power is None else size[k] ** power for k in own}
+            budget |= water_filled(weights, {k: size[k] * repeats[k[0]] for k in own}, budget[parent])
+    for r in leaves:
+        assert r.budget == pytest.approx(budget[r.source, r.lang, r.site], rel=1e-6)
+
+
 def test_mixing_of_nothing(spark):
     assert mix(spark, [(1, None, "en", "x", 5)], [("a", 1.0, 1)])[1].count() == 0
 
