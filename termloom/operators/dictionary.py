@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.keys import canonical_key
+from termloom.functions.latin import leading_integer
 
 ENTITY = "struct<type:int,serial:bigint,identifier:string>"
 
@@ -107,16 +108,34 @@ def promoted_blocks(blocks: DataFrame, documents: int = 5) -> DataFrame:
 def edited(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(local stop list, global stop list) after the actions of a change log, in order.
 
-    ``log`` has ``at, action, name, doc_id``; AllowName and BlockName set a name of a document, the last one counts. A
-    name that was blocked in five documents is blocked everywhere.
+    ``log`` has ``at, action, name, doc_id``; AllowName and BlockName set a name of a document, the last one counts, or,
+    without a document, of all documents. A name that was blocked in five documents is blocked everywhere from then on.
     """
-    acts = log.where("action IN ('AllowName', 'BlockName') AND name IS NOT NULL")
-    w = Window.partitionBy("name", "doc_id").orderBy(F.desc("at"), F.desc("action"))
-    local = acts.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("name", "doc_id", (F.col("action") == "BlockName").alias("blocked"))
-    return local, promoted_blocks(acts.where("action = 'BlockName'"))
+    acts = log.where("action IN ('AllowName', 'BlockName') AND name IS NOT NULL").withColumn("doc_id", F.nullif("doc_id", F.lit("")))
+    last = F.max_by("action", F.struct("at", "action"))
+    local = acts.where("doc_id IS NOT NULL").groupBy("name", "doc_id").agg((last == "BlockName").alias("blocked"))
+    # The fifth document that blocks a name blocks it everywhere at that time; a later word on all documents counts more.
+    first = acts.where("action = 'BlockName' AND doc_id IS NOT NULL").groupBy("name", "doc_id").agg(F.min("at").alias("at"))
+    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("at", "doc_id")))
+    promoted = numbered.where("n = 5").select("at", F.lit("BlockName").alias("action"), "name")
+    everywhere = acts.where("doc_id IS NULL").select("at", "action", "name").unionByName(promoted)
+    return local, everywhere.groupBy("name").agg((last == "BlockName").alias("blocked"))
 
 
-#: Types whose names no conflict removes, and types besides the non-negative ones that conflict with others.
+def added_names(log: DataFrame) -> DataFrame:
+    """``name, type, serial, identifier`` of the AddName actions of a change log (``name, doc_id`` and ``identifier`` as the log's
+    fields stand: name, type, identifier). An identifier in digits is a serial too."""
+    adds = log.where("action = 'AddName' AND name IS NOT NULL")
+    kind = leading_integer(F.col("doc_id"), "int")
+    return adds.select("name", kind.alias("type"), F.col("identifier").try_cast("bigint").alias("serial"), "identifier").distinct()
+
+
+def replayed(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(dictionary rows, local stop list, global stop list) after a change log: names added, allowed and blocked."""
+    return (add_names(rows, added_names(log)), *edited(log))
+
+
+# Types whose names no conflict removes, types besides the non-negative ones that conflict with others, sizes of families.
 PROTECTED_TYPES = (-2, -3, -21, -22, -23, -25, -26, -27)
 CONFLICT_TYPES = (-2, -22, -25, -26, -27)
 LARGE_FAMILY, LOCAL_FAMILY = 1000, 20

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -18,18 +18,16 @@ TAG = re.compile(
     r"|</?[a-z0-9_]+(([ \t\r\n]+[a-z0-9_:-]+([ \t\r\n]*=[ \t\r\n]*(\".*?\"|'.*?'|[^\"'> \t\r\n]+))?)+[ \t\r\n]*|[ \t\r\n]*)/?>",
     re.IGNORECASE | re.DOTALL,
 )
-_DIV = r"|<div [^>]*?{}_.*?>.*?</div>\n?|</body>|</html>)"
+#: Fixed value: the marks of an earlier annotation, by the name in its handlers and blocks, which the caller gives.
+EARLIER = r"(<span [^>]*?start{name}PopupTimer.*?>(.*?)</span>|<div [^>]*?{name}_.*?>.*?</div>\n?|</body>|</html>)"
 
 
-def earlier_marks(product: str = "") -> re.Pattern:
-    """The marks of an earlier annotation: spans with a popup timer, blocks named after ``product``, and the ends of the page."""
-    return re.compile(r"(<span [^>]*?start\w*PopupTimer.*?>(.*?)</span>" + _DIV.format(re.escape(product.lower() or "annotation")), re.IGNORECASE | re.DOTALL)
+def earlier_marks(name: str) -> re.Pattern:
+    """The marks of an earlier annotation by ``name``: spans with a popup timer, blocks, and the ends of the page."""
+    return re.compile(EARLIER.format(name=re.escape(name)), re.IGNORECASE | re.DOTALL)
 
 
-EARLIER = earlier_marks()
-
-
-def masked_of(text: str, earlier: re.Pattern = EARLIER) -> tuple[str, list[tuple[int, int]]]:
+def masked_of(text: str, earlier: re.Pattern) -> tuple[str, list[tuple[int, int]]]:
     """A string with NUL in place of markup, and the spans of earlier annotations to remove (last byte inclusive)."""
     keep: list[str] = []
     removals: list[tuple[int, int]] = []
@@ -51,10 +49,13 @@ def masked_of(text: str, earlier: re.Pattern = EARLIER) -> tuple[str, list[tuple
     return "".join(keep), removals
 
 
-def masked(documents: DataFrame, product: str = "") -> DataFrame:
-    """``doc_id, text, removals``: documents with NUL bytes in place of markup, all positions kept, and the spans to remove."""
+def masked(documents: DataFrame, name: str) -> DataFrame:
+    """``doc_id, text, removals``: documents with NUL bytes in place of markup, all positions kept, and the spans to remove.
+
+    ``name``: that of earlier annotations, see ``earlier_marks``.
+    """
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    earlier = earlier_marks(product)
+    earlier = earlier_marks(name)
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,24 +70,46 @@ def masked(documents: DataFrame, product: str = "") -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, removals array<struct<start:int,stop:int>>")
 
 
+# The strings of an annotated page. ``name`` is that in its handlers, ``base`` that of its classes.
+_SPAN = '<span class="{classes}" style="{style}" {events}>'
+_EVENTS = 'onMouseOver="start{name}PopupTimer({quoted})" onMouseOut="stop{name}PopupTimer()" onclick="show{name}Popup({quoted})"'
+_ENTITIES = '<div class="{base}_entities" style="display: none;">\n{lists}</div>\n'
+_ENTITY = '  <span name="{md5}">{list}</span>\n'
+_TYPES = '<div style="display: none;" class="{base}_entity_types">\n{types}</div>\n'
+_TYPE = "  <span>{type}</span>\n"
+_END = '<div style="display: none;" id="{base}_div_doi">{doc}</div>\n<div name="{lower}_v2" style="display: none;"></div>\n{footer}</body>\n</html>\n'
+
+
+def _filled(template: str, **values: Column | str) -> Column:
+    """The template with columns or strings in place of the names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    cells = [values[p] if k % 2 else p for k, p in enumerate(parts)]
+    return F.concat(*(F.lit(c) if isinstance(c, str) else c for c in cells))
+
+
 def annotated(
-    documents: DataFrame, matches: DataFrame, removals: DataFrame | None = None, basename: str = "entity", styles: tuple[tuple[Column, str], ...] = (),
-    add_events: bool = False, extra_classes: bool = False, force_important: bool = False, footer: str = "", product: str = "",
+    documents: DataFrame, matches: DataFrame, removals: DataFrame | None = None, base: str = "tagger", styles: tuple[tuple[Callable[[Column], Column] | None, str], ...] = (),
+    add_events: bool = False, extra_classes: bool = False, force_important: bool = False, footer: str = "", name: str = "Annotation",
 ) -> DataFrame:
     """``doc_id, html``: documents with their mentions in spans, and the lists of entities and types at the end.
 
-    ``styles`` are (condition on the column ``type``, style) in order of priority; the first that any entity of a
-    mention meets is its style. ``product`` is the name in the handlers and blocks that a page's script looks for. ``removals`` has ``doc_id, removals`` as ``masked`` gives them.
+    ``styles`` are (rule, style) in order of priority: a rule is a function from a type's column to a condition, None is
+    met by all; the first that any entity of a mention meets is its style. ``name`` is that in the handlers and blocks
+    that a page's script looks for. ``removals`` has ``doc_id, removals`` as ``masked`` gives them. A page is joined from
+    its pieces at once, in time linear in its length.
     """
-    code = lambda e: F.concat(e["type"].cast("string"), F.lit("."), F.coalesce(e["identifier"], e["serial"].cast("string")))
-    rank = F.coalesce(*(F.when(F.exists("entities", lambda e, c=c: c(e["type"]) if callable(c) else F.lit(True)), F.lit(s)) for c, s in styles), F.lit("")) if styles else F.lit("")
-    style = F.array_join(F.split(rank, ";"), " !important;") if force_important else rank
+    own = lambda e: F.coalesce(e["identifier"], e["serial"].cast("string"))
+    code = lambda e: F.concat(e["type"].cast("string"), F.lit("."), own(e))
+    met = lambda rule: F.lit(True) if rule is None else F.exists("entities", lambda e: rule(e["type"]))
+    style = F.coalesce(*(F.when(met(rule), F.lit(css)) for rule, css in styles), F.lit(""))
+    style = F.replace(style, F.lit(";"), F.lit(" !important;")) if force_important else style
     marked = matches.withColumn("list", F.array_join(F.transform("entities", code), ";")).withColumn("md5", F.md5("list"))
-    classes = F.concat(F.lit(f"{basename}_match"), F.concat_ws("", F.transform("entities", lambda e: F.concat(F.lit(" "), F.coalesce(e["identifier"], e["serial"].cast("string"))))) if extra_classes else F.lit(""))
-    quoted = F.concat(F.lit("('"), F.col("md5"), F.lit("','"), F.col("text"), F.lit("')"))
-    events = F.concat(F.lit('onMouseOver="start' + product + "PopupTimer"), quoted, F.lit('" onMouseOut="stop' + product + 'PopupTimer()" onclick="show' + product + "Popup"), quoted, F.lit('"')) if add_events else F.lit("")
-    opening = F.concat(F.lit('<span class="'), classes, F.lit('" style="'), style, F.lit('" '), events, F.lit(">"))
-    pieces = marked.select("doc_id", F.struct("start", "stop", latin(F.concat(opening, F.col("text"), F.lit("</span>"))).alias("new"), "list", "md5", F.col("entities.type").alias("types")).alias("p"))
+    more = F.concat_ws("", F.transform("entities", lambda e: F.concat(F.lit(" "), own(e)))) if extra_classes else F.lit("")
+    quoted = _filled("'{md5}','{text}'", md5=F.col("md5"), text=F.col("text"))
+    events = _filled(_EVENTS, name=name, quoted=quoted) if add_events else F.lit("")
+    opening = _filled(_SPAN, classes=F.concat(F.lit(f"{base}_match"), more), style=style, events=events)
+    new = latin(F.concat(opening, F.col("text"), F.lit("</span>")))
+    pieces = marked.select("doc_id", F.struct("start", "stop", new.alias("new"), "list", "md5", F.col("entities.type").alias("types")).alias("p"))
     if removals is not None:
         nothing = F.lit(None).cast("string")
         gone = removals.select("doc_id", F.explode("removals").alias("r")).select(
@@ -94,22 +117,20 @@ def annotated(
         )
         pieces = pieces.unionByName(gone)
     per = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    joined = documents.select("doc_id", "text").join(per, "doc_id", "left").withColumn("b", latin(F.col("text")))
-    body = F.expr("""
-      aggregate(coalesce(p, array()), named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (s, x) -> named_struct('at', x.stop + 1, 'out', concat(s.out, array(substring(b, s.at + 1, greatest(0, x.start - s.at)), x.new))),
-        s -> concat(array_join(s.out, ''), substring(b, s.at + 1)))
+    # Bytes are cut from a binary column, where a cut costs its own length and not the way to it.
+    joined = documents.select("doc_id", F.encode("text", "UTF-8").alias("b")).join(per, "doc_id", "left").withColumn("p", F.coalesce("p", F.array()))
+    cut = lambda at, size: f"decode(substring(b, {at} + 1, {size}), 'ISO-8859-1')"
+    body = F.expr(f"""
+      concat(array_join(transform(p, (x, i) -> concat({cut("if(i = 0, 0, p[i - 1].stop + 1)", "greatest(0, x.start - if(i = 0, 0, p[i - 1].stop + 1))")}, x.new)), ''),
+        {cut("if(size(p) = 0, 0, p[size(p) - 1].stop + 1)", "length(b)")})
     """)
-    lists = F.expr("array_distinct(transform(filter(coalesce(p, array()), x -> x.list IS NOT NULL), x -> concat('  <span name=\"', x.md5, '\">', x.list, '</span>\n')))")
-    types = F.expr("transform(array_sort(array_distinct(flatten(transform(coalesce(p, array()), x -> x.types)))), t -> concat('  <span>', t, '</span>\n'))")
-    div = lambda attributes: F.lit(f"<div {attributes}>")
+    lists = F.array_distinct(F.transform(F.filter("p", lambda x: x["list"].isNotNull()), lambda x: _filled(_ENTITY, md5=x["md5"], list=x["list"])))
+    types = F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["types"])))), lambda t: _filled(_TYPE, type=t.cast("string")))
     return joined.select(
         "doc_id",
         F.concat(
-            from_latin(body), div(f'class="{basename}_entities" style="display: none;"'), F.lit("\n"), F.array_join(lists, ""), F.lit("</div>\n"),
-            div(f'style="display: none;" class="{basename}_entity_types"'), F.lit("\n"), F.array_join(types, ""), F.lit("</div>\n"),
-            div(f'style="display: none;" id="{basename}_div_doi"'), F.col("doc_id").cast("string"), F.lit(f'</div>\n<div name="{product.lower() or "annotation"}_v2" style="display: none;"></div>\n'),
-            F.lit(footer), F.lit("</body>\n</html>\n"),
+            from_latin(body), _filled(_ENTITIES, base=base, lists=F.array_join(lists, "")), _filled(_TYPES, base=base, types=F.array_join(types, "")),
+            _filled(_END, base=base, doc=F.col("doc_id").cast("string"), lower=name.lower(), footer=footer),
         ).alias("html"),
     )
 

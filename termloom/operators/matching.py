@@ -6,6 +6,9 @@ the longest terminal window wins; after a mention the search goes on behind it,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,25 +64,47 @@ def terminal(hits: DataFrame, types: Column) -> DataFrame:
     return kept.where(F.col("is_stub") | (~F.col("blocked") & (F.size("entities") > 0)))
 
 
-_MATCH = f"struct<start:int,stop:int,text:string,entities:array<{ENTITY}>>"
+MATCHES = f"doc_id {{id}}, ord int, start int, stop int, text string, entities array<{ENTITY}>"
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id, seg, i, j, is_stub, start, stop, text, entities``, sorted by document, run, first token and falling last token.
+
+    What is kept between rows is the place in the run and the last token taken, so a document of any number of windows is
+    one pass over its rows.
+    """
+    doc, seg, place, taken, ord_ = None, -1, -1, -1, 0
+    for batch in batches:
+        chosen, orders = [], []
+        for k, (d, g, i, j, stub) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+            if d != doc:
+                doc, seg, place, taken, ord_ = d, g, -1, -1, 0
+            elif g != seg:
+                seg, place, taken = g, -1, -1
+            if i <= place or i <= taken:
+                continue
+            place = i
+            if not stub:
+                taken = j
+                chosen.append(k)
+                orders.append(ord_)
+                ord_ += 1
+        if chosen:
+            rows = batch.take(pa.array(chosen, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pa.array(orders, pa.int32()), *(rows.column(c) for c in range(5, 9))], names=["doc_id", "ord", "start", "stop", "text", "entities"]
+            )
 
 
 def leftmost_longest(ends: DataFrame) -> DataFrame:
     """``doc_id, ord, start, stop, text, entities`` of the chosen windows of each document.
 
-    One shuffle of the terminal windows by document; the choice is a fold over them in order of run, first token and
-    falling last token. The fold carries the last search place and the last token taken.
-    """
-    window = F.struct("seg", "i", (-F.col("j")).alias("back"), "is_stub", "start", "stop", "text", "entities")
-    grouped = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(window)).alias("w"))
-    fold = f"""
-      aggregate(w, named_struct('seg', -1, 'place', -1, 'taken', -1, 'out', cast(array() as array<{_MATCH}>)),
-        (s, x) -> if(x.seg = s.seg AND (x.i <= s.place OR x.i <= s.taken), s,
-          named_struct('seg', x.seg, 'place', x.i, 'taken', if(x.is_stub, if(x.seg = s.seg, s.taken, -1), -x.back),
-            'out', if(x.is_stub, s.out, concat(s.out, array(cast(named_struct('start', x.start, 'stop', x.stop, 'text', x.text, 'entities', x.entities) as {_MATCH})))))),
-        s -> s.out)
+    One shuffle of the terminal windows by document and a pass over them in order.
     """
-    return grouped.select("doc_id", F.expr(f"posexplode({fold})").alias("ord", "m")).select("doc_id", "ord", "m.*")
+    kind = ends.schema["doc_id"].dataType.simpleString()
+    rows = ends.select("doc_id", "seg", "i", "j", "is_stub", "start", "stop", "text", "entities")
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seg", "i", F.desc("j"))
+    return ordered.mapInArrow(_choose, MATCHES.format(id=kind))
 
 
 def overlapping(ends: DataFrame) -> DataFrame:

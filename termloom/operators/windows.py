@@ -26,7 +26,8 @@ from termloom.functions.keys import LOWER, PUNCT, SPACE, key_of, skeleton
 SEPARATORS = "\t\n\r !'()+,./:;?[]_{|}"
 OWN_TOKENS = "*-"
 
-BITMAP_MOST_BITS = 28
+#: The largest bitmap has 128 MB. With a hundred million names a tenth of its bits are set; it then lets as many windows through in vain.
+BITMAP_MOST_BITS = 30
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -44,9 +45,13 @@ _KEEP = _table(SPACE + PUNCT + "\0") == 0
 _UPPER = np.arange(256, dtype=np.uint64)
 _UPPER[[ord(c) for c in LOWER]] -= np.uint64(32)
 
-# What may be taken off the ends of a match. A bracket goes with its partner.
-_DROP_LEFT, _DROP_RIGHT = frozenset("!\"'),.:;?]}"), frozenset("!\"'(,.:;?[{")
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
+# What goes at the begin and at the end of a match, and the brackets, which go without their partner or with it.
+_DROP_FIRST = _table("!\"'),.:;?]}") == 1
+_DROP_LAST = _table("!\"'(,.:;?[{") == 1
+BRACKETS = "()[]{}"
+_OPENERS = _table(BRACKETS[::2]) == 1
+_CLOSERS = _table(BRACKETS[1::2]) == 1
+_ENDS = _DROP_FIRST | _DROP_LAST | _OPENERS | _CLOSERS
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +95,11 @@ class Bitmap:
 
 
 def dictionary_bitmap(dictionary: DataFrame) -> Bitmap:
-    """The bitmap of the names of a dictionary (column ``name``), of 2 ** BITMAP_MOST_BITS bits at most."""
-    skeletons = dictionary.select(skeleton(F.col("name")).alias("s")).where(F.length("s") > 0).distinct()
-    n = skeletons.count()
+    """The bitmap of the names of a dictionary (column ``name``): some 24 bits a name, 2 ** BITMAP_MOST_BITS at most.
+
+    One pass over the names; a dictionary that is kept as a table is counted from its files' footers.
+    """
+    n = dictionary.count()
     bits = int(min(BITMAP_MOST_BITS, max(16, np.ceil(np.log2(max(1, n) * 24)))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +110,7 @@ def dictionary_bitmap(dictionary: DataFrame) -> Bitmap:
                 [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"]
             )
 
+    skeletons = dictionary.select(skeleton(F.col("name")).alias("s")).where(F.length("s") > 0)
     rows = skeletons.mapInArrow(place, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     if rows.num_rows:
@@ -110,13 +118,11 @@ def dictionary_bitmap(dictionary: DataFrame) -> Bitmap:
     return Bitmap(bits, words)
 
 
-def _three(n: int) -> re.Pattern:
-    word, more = r"([a-z])[a-z-]*", "".join(r"[ -]([a-z])[a-z-]*" for _ in range(n - 1))
-    short = "-?".join(rf"\{k}" for k in range(2, n + 2))
-    return re.compile(rf"({word}{more}) \(({short})\)", re.IGNORECASE | re.ASCII)
-
-
-_ACRONYMS = (_three(3), _three(4))
+# A long form of three or four words and its initials in brackets.
+_ACRONYMS = (
+    re.compile(r"(([a-z])[a-z-]*[ -]([a-z])[a-z-]*[ -]([a-z])[a-z-]*) \((\2-?\3-?\4)\)", re.IGNORECASE | re.ASCII),
+    re.compile(r"(([a-z])[a-z-]*[ -]([a-z])[a-z-]*[ -]([a-z])[a-z-]*[ -]([a-z])[a-z-]*) \((\2-?\3-?\4-?\5)\)", re.IGNORECASE | re.ASCII),
+)
 
 
 def acronyms_of(runs: list[str]) -> dict[str, tuple[str, str]]:
@@ -130,52 +136,57 @@ def acronyms_of(runs: list[str]) -> dict[str, tuple[str, str]]:
     return out
 
 
-def trim(text: str, start: int, stop: int) -> tuple[int, int]:
-    """The span without punctuation at its ends, and without brackets that close outside or enclose all of it."""
-
-    def partner(at: int, step: int, own: str, other: str) -> tuple[bool, bool]:
-        """Whether the partner of a bracket is missing or at the far end, and whether there is one."""
-        depth, i = 0, at
-        while start <= i <= stop:
-            depth += (text[i] == own) - (text[i] == other)
-            if not depth:
-                return (i >= stop if step > 0 else i <= start), True
-            i += step
-        return True, False
-
-    changed = True
-    while changed and start < stop:
-        changed = False
-        while start < stop:
-            c = text[start]
-            if c in _DROP_LEFT:
-                start += 1
-            elif c in _OPEN:
-                outer, paired = partner(start, 1, c, _OPEN[c])
-                if not outer:
-                    break
-                start += 1
-                stop -= paired
-            else:
-                break
-            changed = True
-        while start < stop:
-            c = text[stop]
-            if c in _DROP_RIGHT:
-                stop -= 1
-            elif c in _CLOSE:
-                outer, paired = partner(stop, -1, c, _CLOSE[c])
-                if not outer:
-                    break
-                stop -= 1
-                start += paired
-            else:
-                break
-            changed = True
+def bracket_partners(b: np.ndarray) -> np.ndarray:
+    """For each byte that is a bracket the place of its partner of the same kind, -1 for those without one and all other bytes."""
+    out = np.full(len(b), -1, np.int64)
+    for opener, closer in zip(BRACKETS[::2], BRACKETS[1::2]):
+        at = np.flatnonzero((b == ord(opener)) | (b == ord(closer)))
+        opens = b[at] == ord(opener)
+        depth = np.cumsum(np.where(opens, 1, -1))
+        # An opener and the next closer on the level that it opens belong together.
+        level = np.where(opens, depth, depth + 1)
+        order = np.argsort(level, kind="stable")
+        at, opens, level = at[order], opens[order], level[order]
+        pair = np.flatnonzero(opens[:-1] & ~opens[1:] & (level[:-1] == level[1:]))
+        out[at[pair]], out[at[pair + 1]] = at[pair + 1], at[pair]
+    return out
+
+
+def trim(b: np.ndarray, start: np.ndarray, stop: np.ndarray, partners: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of bytes without punctuation at their ends, and without brackets that close outside or enclose all of them.
+
+    All spans shrink together, a byte at the begin as long as one goes there, else one at the end, until none changes.
+    """
+    start, stop = start.copy(), stop.copy()
+    partners = bracket_partners(b) if partners is None else partners
+    open_ = np.flatnonzero((start < stop) & (_ENDS[b[start]] | _ENDS[b[stop]]))
+    while len(open_):
+        s, e = start[open_], stop[open_]
+        other = partners[s]
+        around = _OPENERS[b[s]] & (other == e)
+        first = _DROP_FIRST[b[s]] | around | (_OPENERS[b[s]] & ((other < 0) | (other > e)))
+        last = ~first & (_DROP_LAST[b[e]] | (_CLOSERS[b[e]] & (partners[e] < s)))
+        start[open_], stop[open_] = s + first, e - (last | around)
+        open_ = open_[(first | last) & (start[open_] < stop[open_])]
     return start, stop
 
 
-_ENDS = np.array([chr(i) in _DROP_LEFT | _DROP_RIGHT | set(_OPEN) | set(_CLOSE) for i in range(256)])
+def slices(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings of so many bytes from each start, gathered at once. They must begin and end on borders of characters."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    values = b[np.arange(total) + np.repeat(start - (ends - size), size)] if total else np.zeros(0, np.uint8)
+    strings = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(values))
+    return strings.cast(pa.string())
+
+
+def _decoded(b: np.ndarray, start: np.ndarray, size: np.ndarray, characters: bool) -> pa.Array:
+    """As ``slices``; tokens of single bytes may begin and end inside of characters, whose bytes then are replaced."""
+    if not characters:
+        return slices(b, start, size)
+    text = b.tobytes()
+    return pa.array([text[a : a + n].decode("utf-8", "replace") for a, n in zip(start.tolist(), size.tolist())], pa.string())
+
 
 CANDIDATES = "doc_id {id}, seg int, i int, j int, start int, stop int, text string, lookup string"
 
@@ -219,9 +230,8 @@ def tokens(documents: DataFrame, characters: bool = False) -> DataFrame:
             starts, stops, rows, segs = token_spans(b, offsets, characters)
             unit = _unit(rows, segs)
             i = np.arange(len(starts)) - np.searchsorted(unit, unit)
-            text = b.tobytes()
             place = -offsets[rows]
-            words = pa.array([text[a : z + 1].decode("utf-8", "replace") for a, z in zip(starts.tolist(), stops.tolist())], pa.string())
+            words = _decoded(b, starts, stops - starts + 1, characters)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), pa.array(segs, pa.int32()), pa.array(i, pa.int32()), pa.array(starts + place, pa.int32()), pa.array(stops + place, pa.int32()), words],
@@ -294,23 +304,22 @@ def _windows(batch: pa.RecordBatch, known: Bitmap, most: int, characters: bool,
     z = np.concatenate(z_hits) if z_hits else np.zeros(0, np.int64)
     start, stop, row = starts[a], stops[z], rows[a]
     base = np.searchsorted(unit, unit[a])
-    text = b.tobytes().decode("latin-1")
-    surface, lookup = [], []
-    for k, (s, e, r) in enumerate(zip(start.tolist(), stop.tolist(), row.tolist())):
-        name = text[s : e + 1]
-        if r in short and (found := short[r].get(key_of(name))):
-            name = found[1]
-        lookup.append(name.encode("latin-1").decode("utf-8", "replace"))
-        if s < e and (_ENDS[b[s]] or _ENDS[b[e]]):
-            s, e = trim(text, s, e)
-            start[k], stop[k] = s, e
-        surface.append(text[s : e + 1].encode("latin-1").decode("utf-8", "replace"))
+    lookup = _decoded(b, start, stop - start + 1, characters)
+    if short:
+        # Only documents that define acronyms need a look at their windows one by one.
+        text, given = b.tobytes().decode("latin-1"), lookup.to_pylist()
+        for k in np.flatnonzero(np.isin(row, list(short))).tolist():
+            if found := short[int(row[k])].get(key_of(text[start[k] : stop[k] + 1])):
+                given[k] = found[1].encode("latin-1").decode("utf-8", "replace")
+        lookup = pa.array(given, pa.string())
+    start, stop = trim(b, start, stop)
+    surface = _decoded(b, start, np.maximum(stop - start + 1, 0), characters)
     place = -offsets[row]
     take = pa.array(row, pa.int64())
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0).take(take), pa.array(segs[a], pa.int32()), pa.array(a - base, pa.int32()), pa.array(z - base, pa.int32()),
-            pa.array(start + place, pa.int32()), pa.array(stop + place, pa.int32()), pa.array(surface, pa.string()), pa.array(lookup, pa.string()),
+            pa.array(start + place, pa.int32()), pa.array(stop + place, pa.int32()), surface, lookup,
         ],
         names=["doc_id", "seg", "i", "j", "start", "stop", "text", "lookup"],
     )

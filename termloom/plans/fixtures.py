@@ -11,6 +11,9 @@ STOP_GLOBAL = (("roudysti", "t"), ("fouklapaet", "f"), ("skin grafts", "t"), ("G
 STOP_LOCAL = (("Wipr-36", "10000002", "t"), ("PASN30", "10000015", "t"), ("GROUVR90", "10000027", "f"))
 TYPE_PAIRS = ((990601, 990110), (-26, 990601), (-27, -26))
 GROUPS = tuple((s, 1900000 + s % 7) for s in range(1800000, 1800100)) + tuple((s, 1910000 + s % 3) for s in range(1800000, 1800100, 2))
+#: The taxa of organisms, by their serial modulo 4, and names that can be a long form of three or four words.
+TAXA = (990601, 990110, 990204, 990318)
+LONG_FORM = r"\A[A-Za-z]+([ -][A-Za-z]+){2,3}\z"
 BLOCKS = tuple((f"name{n}", f"{d}") for n in range(1, 9) for d in range(1, n + 1))
 STRINGS = (
     "P-53", '"p53"', "p 53.", "-p53", "p53-", "a, b", "a,b", "a b", "TIMP-1", "timp1", "(ATM) kinase", "ATM_kinase", "", " ", "...", "-", "x--y", "{x", "x}", "'quoted'", "é-É", "A.B.C", "\tx",

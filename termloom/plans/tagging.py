@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.keys import canonical_key, skeleton
-from termloom.functions.latin import leading_integer
+from termloom.functions.latin import character_spans, leading_integer
 from termloom.operators import dictionary as D
 from termloom.operators import render
 from termloom.operators.markup import annotated, masked
 from termloom.operators.matching import blocked_by_pattern, dictionary_hits, find_mentions, mention_rows, with_blocked
-from termloom.operators.pairs import pair_levels, pair_scores, pair_sums, typed_pairs
+from termloom.operators.pairs import pair_counts, pair_levels, pair_scores, pair_sums, typed_pairs
 from termloom.operators.resolution import disambiguated, grouped
 from termloom.operators.segments import inside_segments, segments
 from termloom.operators.windows import candidate_windows, tokens
@@ -26,13 +26,22 @@ from termloom.sources.tables import table
 MAX_TOKENS = 15
 
 
+#: The name in the handlers and blocks of earlier annotations, in the query over pages.
+MARKS = "Annotation"
+
+
 def first_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text``: the first loaded row of each document key, its title, a TAB and its text; rows without a key are left out."""
-    rows = table(spark, folder, "test_documents", "row_id", "identifier", "title", "text")
-    keyed = rows.withColumn("doc_id", leading_integer(F.regexp_extract("identifier", r"^[^:|\t]*:([^|\t]*)", 1), "int")).where("doc_id <> 0")
-    first = keyed.groupBy("doc_id").agg(F.min_by(F.struct("title", "text"), "row_id").alias("f"))
-    text = F.concat(F.coalesce("f.title", F.lit("")), F.lit("\t"), F.coalesce("f.text", F.lit("")))
-    return first.select("doc_id", text.alias("text"))
+    """``doc_id, text``: the first loaded row of each document key, its title, a TAB and its text; rows without a key are left out.
+
+    Which rows are repeated is found on the narrow columns; texts are neither sorted nor, as long as those are few, shuffled.
+    """
+    key = leading_integer(F.regexp_extract("identifier", r"^[^:|\t]*:([^|\t]*)", 1), "int")
+    keyed = table(spark, folder, "test_documents", "row_id", "identifier").select("row_id", key.alias("doc_id")).where("doc_id <> 0")
+    first = keyed.groupBy("doc_id").agg(F.min("row_id").alias("first"))
+    repeated = keyed.join(first, "doc_id").where("row_id <> first").select("row_id")
+    rows = table(spark, folder, "test_documents", "row_id", "identifier", "title", "text").withColumn("doc_id", key).where("doc_id <> 0")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\t"), F.coalesce("text", F.lit("")))
+    return rows.join(repeated, "row_id", "left_anti").select("doc_id", text.alias("text"))
 
 
 def name_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,15 +67,20 @@ def stop_local(spark: SparkSession) -> DataFrame:
     return D.stop_list(X.rows(spark, X.STOP_LOCAL, "name string, doc_id string, flag string"), local=True)
 
 
-def hits(spark: SparkSession, folder: str, documents: DataFrame | None = None, stops: bool = False) -> DataFrame:
+def words(spark: SparkSession, folder: str, stops: bool = False) -> DataFrame:
+    """The dictionary, kept: its bitmap and the join read it."""
     rows = name_rows(spark, folder)
-    words = D.dictionary(rows, X.rows(spark, X.STOP_GLOBAL, "name string, flag string") if stops else None)
-    windows = candidate_windows(documents or first_documents(spark, folder), words, MAX_TOKENS)
-    return with_blocked(dictionary_hits(windows, words), stop_global(spark) if stops else None, stop_local(spark) if stops else None)
+    return checkpointed(D.dictionary(rows, X.rows(spark, X.STOP_GLOBAL, "name string, flag string") if stops else None))
+
+
+def hits(spark: SparkSession, folder: str, documents: DataFrame | None = None, stops: bool = False) -> DataFrame:
+    known = words(spark, folder, stops)
+    windows = candidate_windows(first_documents(spark, folder) if documents is None else documents, known, MAX_TOKENS)
+    return with_blocked(dictionary_hits(windows, known), stop_global(spark) if stops else None, stop_local(spark) if stops else None)
 
 
-def matches(spark: SparkSession, folder: str) -> DataFrame:
-    return find_mentions(hits(spark, folder), requested(spark, folder))
+def matches(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
+    return find_mentions(hits(spark, folder, documents), requested(spark, folder))
 
 
 def _flat(found: DataFrame) -> DataFrame:
@@ -78,8 +92,11 @@ def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokenize_characters(spark: SparkSession, folder: str) -> DataFrame:
-    titles = table(spark, folder, "test_documents", "row_id", "journal").select(F.col("row_id").alias("doc_id"), F.col("journal").alias("text"))
-    return tokens(titles, characters=True).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.max("stop").alias("last"))
+    """Every byte of the titles as a token, by its place and as hexadecimal digits."""
+    titles = table(spark, folder, "test_documents", "row_id", "title").select(F.col("row_id").alias("doc_id"), F.col("title").alias("text"))
+    found = tokens(titles, characters=True).where("start = stop").select("doc_id", "i", "start", "stop")
+    bytes_ = titles.select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("hex"))
+    return found.join(bytes_, "doc_id").select("doc_id", "i", "start", "stop", F.substring("hex", F.col("start") * 2 + 1, F.lit(2)).alias("byte"))
 
 
 def _hex(key: Column) -> Column:
@@ -100,9 +117,8 @@ def stop_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dictionary_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities per key, of serials with one type."""
-    rows = name_rows(spark, folder)
-    return rows.groupBy(_hex(F.col("key")).alias("key")).agg(F.count("*").alias("n_entities"), F.min("serial").alias("least"), F.max("serial").alias("most"))
+    """Every name that is loaded, with its key and entity."""
+    return name_rows(spark, folder).select(_hex(F.col("key")).alias("key"), "name", "type", "serial", "identifier")
 
 
 def stub_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,23 +143,39 @@ def mentions_stop_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mentions_autodetect(spark: SparkSession, folder: str) -> DataFrame:
-    """Types found by organisms besides those requested; here entities of type -2 stand for organisms."""
+    """Types found by organisms besides those requested; here entities of type -2 stand for organisms, each for one
+    of four taxa by its serial, so that a document's organisms decide which types are found in it."""
     found = hits(spark, folder)
-    organisms = types_of(spark, folder).where("type = -2").select("serial", F.lit(990601).alias("taxon"))
+    organisms = types_of(spark, folder).where("type = -2").select("serial", F.element_at(F.array(*map(F.lit, X.TAXA)), (F.col("serial") % len(X.TAXA) + 1).cast("int")).alias("taxon"))
     as_trigger = found.withColumn("entities", F.transform("entities", lambda e: F.when(e["type"] == -2, e.withField("type", F.lit(-3))).otherwise(e)))
     return _flat(find_mentions(as_trigger, (-26,), auto_detect=True, organisms=organisms))
 
 
+def acronym_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of acronyms and their long forms. The names of three or four words with a hyphen or space between give the texts: each with its
+    initials in brackets, and the initials again, plain and hyphenated; documents are numbered by the name."""
+    names = table(spark, folder, "names", "name").where(F.col("name").rlike(X.LONG_FORM)).distinct()
+    initials = F.upper(F.regexp_replace("name", "(?i)([a-z])[a-z]*[ -]?", "$1"))
+    given = names.select(F.xxhash64("name").alias("doc_id"), "name", initials.alias("short"))
+    dashed = F.regexp_replace("short", "(?<=.)(?=.)", "-")
+    text = F.concat(F.lit("The "), F.col("name"), F.lit(" ("), F.col("short"), F.lit(") binds "), F.col("short"), F.lit(" and "), dashed, F.lit("."))
+    documents = checkpointed(given.select("doc_id", "name", text.alias("text")))
+    found = _flat(find_mentions(hits(spark, folder, documents.select("doc_id", "text"))))
+    return found.join(documents.select("doc_id", "name"), "doc_id").select(F.col("name").alias("document"), "start", "stop", "text", "type", "serial")
+
+
 def document_segments(spark: SparkSession, folder: str) -> DataFrame:
     return segments(first_documents(spark, folder)).select("doc_id", "paragraph", "sentence", "begin", "end")
 
 
-def _structured(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
-    return inside_segments(mention_rows(found), segments(first_documents(spark, folder)))
+def _structured(spark: SparkSession, folder: str) -> DataFrame:
+    """Disambiguated mentions in their sentences. The documents are read for windows and for segments: deduplicated once."""
+    documents = checkpointed(first_documents(spark, folder))
+    return inside_segments(mention_rows(disambiguated(matches(spark, folder, documents))), segments(documents))
 
 
 def mentions_structured(spark: SparkSession, folder: str) -> DataFrame:
-    return _structured(spark, folder, disambiguated(matches(spark, folder))).select("doc_id", "paragraph", "sentence", "start", "stop", "text", "type", "serial")
+    return _structured(spark, folder).select("doc_id", "paragraph", "sentence", "start", "stop", "text", "type", "serial")
 
 
 def mentions_disambiguated(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,8 +193,7 @@ def _given_mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pair_level_counts(spark: SparkSession, folder: str) -> DataFrame:
-    levels = pair_levels(_given_mentions(spark, folder))
-    return levels.groupBy("level", "serial1", "serial2").agg(F.count("*").alias("documents"))
+    return pair_levels(pair_counts(_given_mentions(spark, folder)))
 
 
 def _scores(typed: DataFrame) -> DataFrame:
@@ -171,7 +202,7 @@ def _scores(typed: DataFrame) -> DataFrame:
 
 def _sums(mentions: DataFrame) -> DataFrame:
     """Pair sums, kept: marginals, totals and the pairs themselves are read from them."""
-    return checkpointed(pair_sums(pair_levels(mentions)))
+    return checkpointed(pair_sums(pair_counts(mentions)))
 
 
 def pair_scores_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,18 +216,19 @@ def pair_scores_selective(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """From documents to scores: tagging, disambiguation, segments, levels, sums, scores."""
-    # Six sides of joins read the mentions: they are found once.
-    found = checkpointed(_structured(spark, folder, disambiguated(matches(spark, folder))))
-    return _scores(typed_pairs(_sums(found), types_of(spark, folder)))
+    return _scores(typed_pairs(_sums(_structured(spark, folder)), types_of(spark, folder)))
 
 
 def clean_dictionary_log(spark: SparkSession, folder: str) -> DataFrame:
-    return D.cleaning_log(name_rows(spark, folder)).select("reason", "type", "serial", "count", "masked_type", "masked_serial")
+    """Every removal, with the key, the name and what masks it."""
+    log = D.cleaning_log(name_rows(spark, folder))
+    return log.select("reason", _hex(F.col("key")).alias("key"), "name", "type", "serial", "count", "masked_type", "masked_serial")
 
 
 def clean_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the names table that stay; repeated rows stay repeated."""
     names = table(spark, folder, "names", "serial", "name").where("serial IS NOT NULL AND name IS NOT NULL")
-    return D.cleaned_names(names, D.cleaning_log(name_rows(spark, folder))).groupBy("serial").agg(F.count("*").alias("n_names"))
+    return D.cleaned_names(names, D.cleaning_log(name_rows(spark, folder))).select("serial", "name")
 
 
 def entities_distinct(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,7 +240,8 @@ def entity_lines_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entities_grouped(spark: SparkSession, folder: str) -> DataFrame:
-    return render.grouped_entities(matches(spark, folder)).select("doc_id", "text", "count", F.size("entities").alias("n_entities"))
+    """Mentions by their exact text, with each entity of the first one."""
+    return render.grouped_entities(matches(spark, folder)).select("doc_id", "text", "count", F.inline("entities"))
 
 
 def entities_xml(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,15 +249,23 @@ def entities_xml(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entities_jsonld(spark: SparkSession, folder: str) -> DataFrame:
-    return render.jsonld(first_documents(spark, folder), matches(spark, folder))
+    documents = checkpointed(first_documents(spark, folder))
+    return render.jsonld(documents, checkpointed(matches(spark, folder, documents)))
+
+
+def entity_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    """The annotations of the graph form, a row for each, with positions in code points."""
+    documents = checkpointed(first_documents(spark, folder))
+    return render.annotations(documents, checkpointed(matches(spark, folder, documents)))
 
 
 def entities_html(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pages, their markup masked, tagged and annotated."""
-    pages = first_documents(spark, folder).select("doc_id", F.concat(F.lit("<html><head><title>x</title></head><body><p class=\"a\">"), F.replace("text", F.lit("\t"), F.lit("</p><p>")), F.lit("</p></body></html>")).alias("text"))
-    hidden = masked(pages)
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><p class=\"a\">"), F.replace("text", F.lit("\t"), F.lit("</p><p>")), F.lit("</p></body></html>"))
+    pages = checkpointed(first_documents(spark, folder).select("doc_id", page.alias("text")))
+    hidden = checkpointed(masked(pages, MARKS))
     found = find_mentions(hits(spark, folder, hidden.select("doc_id", "text")), requested(spark, folder))
-    return annotated(pages, found, hidden)
+    return annotated(pages, found, hidden, name=MARKS)
 
 
 def entity_extract(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,11 +276,9 @@ def entity_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def character_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """The mentions table with positions in code points."""
-    from termloom.functions.latin import to_character
-
     rows = table(spark, folder, "mentions", "doc", "start", "stop").where("doc IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL").distinct()
-    at = rows.join(first_documents(spark, folder).withColumnRenamed("doc_id", "doc"), "doc")
-    return at.select("doc", "start", "stop", to_character(F.col("text"), F.col("start")).alias("begin"), to_character(F.col("text"), F.col("stop") + 1).alias("end"))
+    spans = character_spans(first_documents(spark, folder), rows.withColumnRenamed("doc", "doc_id"))
+    return spans.select(F.col("doc_id").alias("doc"), "start", "stop", "begin", "end")
 
 
 def resolve_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,7 +304,7 @@ def block_promotion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return first_documents(spark, folder).select("doc_id", F.octet_length("text").alias("bytes"))
+    return first_documents(spark, folder).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.octet_length("text").alias("bytes"))
 
 
 QUERIES = {
@@ -274,6 +313,6 @@ QUERIES = {
         mentions_longest, mentions_typed, mentions_overlap, mentions_stop_lists, mentions_autodetect, mentions_structured, mentions_disambiguated, mentions_grouped,
         tokenize_documents, tokenize_characters, canonical_keys, stop_filter, dictionary_load, stub_names, document_segments, pair_level_counts, pair_scores_all,
         pair_scores_selective, corpus_pairs, clean_dictionary_log, clean_dictionary, entities_distinct, entity_lines_csv, entities_grouped, entities_xml, entities_jsonld,
-        entities_html, entity_extract, character_offsets, resolve_names, entity_iris, environment_ids, block_promotion, dedup_documents,
+        entities_html, entity_annotations, acronym_mentions, entity_extract, character_offsets, resolve_names, entity_iris, environment_ids, block_promotion, dedup_documents,
     )
 }

@@ -1,19 +1,32 @@
-"""Results kept in the folder that all machines share."""
+"""Results kept in the folder that all machines share, as Parquet, so that later reads are pruned and survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the folder in ``spark.checkpoint.dir``, so that it survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary folder on a single machine; an error on a cluster."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        master = context.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+        folder = context.getCheckpointDir()
+    return folder
+
 
-    Where that setting is absent, as on one machine in tests, a temporary folder of that machine is used.
-    """
-    session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder. The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

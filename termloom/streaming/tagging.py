@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from termloom.operators.pairs import pair_levels, pair_scores, pair_sums, typed_pairs
+from termloom.operators.pairs import pair_counts, pair_scores, pair_sums, typed_pairs
 from termloom.sources.files import parse_documents
 
 
@@ -45,7 +45,7 @@ def tag_stream(
         try:
             rows.write.mode("overwrite").parquet(f"{mentions_path}/batch={number}")
             if sums_path:
-                pair_sums(pair_levels(rows)).write.mode("overwrite").parquet(f"{sums_path}/batch={number}")
+                pair_sums(pair_counts(rows)).write.mode("overwrite").parquet(f"{sums_path}/batch={number}")
             if segments_path and segments_of:
                 segments_of(batch).write.mode("overwrite").parquet(f"{segments_path}/batch={number}")
         finally:

@@ -1,5 +1,11 @@
 """Small cases with results worked out by hand."""
 
+import random
+import time
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +15,7 @@ from termloom.functions.keys import canonical_key, key_of
 from termloom.operators import dictionary as D
 from termloom.operators.markup import annotated, masked
 from termloom.operators.matching import blocked_by_pattern, dictionary_hits, find_mentions, mention_rows, with_blocked
-from termloom.operators.pairs import pair_levels, pair_scores, pair_sums, typed_pairs
+from termloom.operators.pairs import pair_counts, pair_levels, pair_scores, pair_sums, typed_pairs
 from termloom.operators.render import distinct_entities, entities_xml, entity_lines, jsonld
 from termloom.operators.resolution import disambiguated, grouped
 from termloom.operators.segments import inside_segments, segments, segments_of, whole_documents
@@ -52,7 +58,7 @@ def test_end_to_end(spark):
     got = rows.select("doc_id", "paragraph", "sentence", "start", "stop", "text", "type", "serial").orderBy("start").collect()
     assert [tuple(r) for r in got] == [(1, 1, 1, 0, 4, "TIMP1", 9606, 101), (1, 1, 1, 12, 15, "PLK1", 9606, 102), (1, 2, 1, 19, 28, "ATM-kinase", 9606, 103)]
     types = spark.createDataFrame(list(M1_TYPES.items()), "serial bigint, type int")
-    scores = pair_scores(typed_pairs(pair_sums(pair_levels(rows)), types)).orderBy("serial1", "serial2").collect()
+    scores = pair_scores(typed_pairs(pair_sums(pair_counts(rows)), types)).orderBy("serial1", "serial2").collect()
     assert [tuple(round(x, 6) for x in r) for r in scores] == [
         (101, 102, 1.963143, 0.943311, 5.2, 4.2, 4.2, 3.2),
         (101, 103, 0.825448, 0.619048, 5.2, 4.2, 2.0, 1.0),
@@ -135,7 +141,7 @@ def test_groups(spark):
 
 def test_pair_rule(spark):
     rows = [(1, 1, 1, 0, 1), (1, 1, 1, 0, 2), (1, 1, 1, 1, 1), (1, 1, 1, 2, 3)]
-    levels = pair_levels(spark.createDataFrame(rows, "doc_id int, paragraph int, sentence int, ord int, serial bigint"))
+    levels = pair_levels(pair_counts(spark.createDataFrame(rows, "doc_id int, paragraph int, sentence int, ord int, serial bigint")))
     assert {(r.serial1, r.serial2) for r in levels.collect()} == {(1, 3), (2, 3)}
 
 
@@ -160,8 +166,43 @@ def test_tokens(spark):
     assert len(one("a b", characters=True)) == 3
 
 
-def test_trim():
-    assert trim('foo."', 0, 4) == (0, 2) and trim('"(foo', 0, 4) == (2, 4) and trim("(a)", 0, 2) == (1, 1) and trim("a (b)", 0, 4) == (0, 4)
+def shrunk(text, start, stop):
+    """The rule step by step on one span: the partner of a bracket is where its kind is balanced again."""
+
+    def partner(at, step):
+        kind, depth = next(k for k in ("()", "[]", "{}") if text[at] in k), 0
+        while start <= at <= stop:
+            depth += {kind[0]: 1, kind[1]: -1}.get(text[at], 0) * step
+            if depth == 0:
+                return at
+            at += step
+
+    while start < stop:
+        if text[start] in "([{" and partner(start, 1) == stop:
+            start, stop = start + 1, stop - 1
+        elif text[start] in "!\"'),.:;?]}" or text[start] in "([{" and partner(start, 1) is None:
+            start += 1
+        elif text[stop] in "!\"'(,.:;?[{" or text[stop] in ")]}" and partner(stop, -1) is None:
+            stop -= 1
+        else:
+            break
+    return start, stop
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab()[]{}.\"!", min_size=1, max_size=9), min_size=1, max_size=8))
+def test_trim(spans):
+    text = "".join(spans)
+    stop = np.cumsum([len(x) for x in spans]) - 1
+    start = np.concatenate([[0], stop[:-1] + 1])
+    got = trim(np.frombuffer(text.encode(), np.uint8), start, stop)
+    assert list(zip(*(x.tolist() for x in got))) == [shrunk(text, a, z) for a, z in zip(start.tolist(), stop.tolist())]
+
+
+def test_trim_by_hand():
+    for text, want in (('foo."', (0, 2)), ('"(foo', (2, 4)), ("(a)", (1, 1)), ("a (b)", (0, 4))):
+        got = trim(np.frombuffer(text.encode(), np.uint8), np.array([0]), np.array([len(text) - 1]))
+        assert tuple(int(x[0]) for x in got) == want
 
 
 def test_cleaning(spark):
@@ -179,12 +220,12 @@ def test_cleaning(spark):
 def test_markup(spark):
     text = '<html><head><title>abcd</title></head><p class="abcd">abcd</p> <b>ab</b>cd abcd</html>'
     documents = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    hidden = masked(documents)
+    hidden = masked(documents, "Annotation")
     known = words(spark, [(1, "abcd"), (2, "abcd efgh")], {1: 5, 2: 5})
     found = find_mentions(with_blocked(dictionary_hits(candidate_windows(hidden.select("doc_id", "text"), known), known)))
     assert [text[a : b + 1] for a, b, _ in spans(found)] == ["abcd", "abcd"]
     html = annotated(documents, found, hidden).collect()[0].html
-    assert html.count('<span class="entity_match"') == 2 and html.count("</html>") == 1 and "<b>ab</b>cd" in html
+    assert html.count('<span class="tagger_match"') == 2 and html.count("</html>") == 1 and "<b>ab</b>cd" in html
 
 
 def test_forms(spark):
