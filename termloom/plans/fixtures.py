@@ -20,6 +20,7 @@ STRINGS = (
     "P53", "p53", "the cell", "cell of", "10 mg", "10mg", "5 days", "C-3", "C-123", "is", "a-b", "or 12", "state of", "fish are red", "12A", "1234A", "&amp", "the", "that", "RAN", "ran", "TGF", "TIMP1",
     "PLK1", "ATM-kinase", "fish and chips", "tissue growth factor",
 )
+TYPE_NAMES = ((-26, "disease"), (-25, "tissue"), (-27, "environment"), (-1, "chemical"))
 IRIS = ((9606, "ENSP1"), (0, "x"), (-1, "CID1"), (-2, "9606"), (-25, "BTO:0000142"), (-26, "DOID:1"), (-27, "local"), (-11, "q"))
 
 

@@ -270,7 +270,7 @@ def entities_html(spark: SparkSession, folder: str) -> DataFrame:
 
 def entity_extract(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "names", "serial", "name").where("serial IS NOT NULL AND name IS NOT NULL").groupBy("serial").agg(F.min("name").alias("name"))
-    labels = X.rows(spark, ((-26, "disease"), (-25, "tissue"), (-27, "environment"), (-1, "chemical")), "type int, type_name string")
+    labels = X.rows(spark, X.TYPE_NAMES, "type int, type_name string")
     return render.extract_table(mention_rows(matches(spark, folder)), labels, names)
 
 

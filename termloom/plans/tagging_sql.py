@@ -16,6 +16,7 @@ def key_of(s: str) -> str:
     return f"(regexp_extract({c}, '^([{_S}]*)', 1) || chr(1) || translate({middle}, '{_AZ}', '{_UP}') || chr(1) || {tail})"
 
 
+# Fixed value: the pattern of names that are no names, as in ``matching``; the fixtures' list of names shows what it blocks.
 _Z = r"[\n\r\f]*\z"
 _STOP = (
     r"(?s)\A&|\A(.{0,2}|.[ \t\r\n-]+.|[^A-Za-z]*([ \t\r\n]|" + _Z + r")|[ACDEFGHIKLMNPQRSTVWY]-?[0-9]{1,4}|[Oo][Rr][ -]*[0-9]+|[CJnsXx][ -]*[0-9.-]+"
@@ -62,43 +63,163 @@ pieces AS (
 )"""
 
 
-def _windows(extra: str = "") -> str:
-    """Hits (doc_id, i, j, start, stop, text, key), with quotation marks off the ends of the surface."""
+def _hits(docs: str = _DOCS, names: str = _NAME_ROWS, key: str = key_of("raw.span"), known: str = "SELECT DISTINCT key FROM name_rows") -> str:
+    """Hits (doc_id, i, j, start, stop, text, key, place), with quotation marks off the ends of the surface; ``key`` is that of a window in ``raw``."""
     return f"""
-{_DOCS}, {_NAME_ROWS}, {_PIECES},
+{docs}, {names}, {_PIECES},
 raw AS (
-  SELECT a.doc_id, a.i, b.i AS j, a.start, b.stop, substr(d.text, a.place + 1, b.place + length(b.token) - a.place) AS span
+  SELECT a.doc_id, a.i, b.i AS j, a.start, b.stop, a.place, substr(d.text, a.place + 1, b.place + length(b.token) - a.place) AS span
   FROM token a JOIN token b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 14 JOIN docs d ON d.doc_id = a.doc_id
+), keyed AS (SELECT raw.*, {key} AS own FROM raw
 ), hit AS (
-  SELECT raw.*, strlen(span) - strlen(regexp_replace(span, '^[!"''),.:;?\\]}}]+', '')) AS cut_left,
-    strlen(span) - strlen(regexp_replace(span, '[!"''(,.:;?\\[{{]+\\z', '')) AS cut_right, key
-  FROM raw JOIN (SELECT DISTINCT key FROM name_rows) k ON k.key = {key_of("raw.span")}
+  SELECT keyed.*, strlen(span) - strlen(regexp_replace(span, '^[!"''),.:;?\\]}}]+', '')) AS cut_left,
+    strlen(span) - strlen(regexp_replace(span, '[!"''(,.:;?\\[{{]+\\z', '')) AS cut_right, k.key
+  FROM keyed JOIN ({known}) k ON k.key = keyed.own
 ), trimmed AS (
-  SELECT doc_id, i, j, CAST(start + cut_left AS INTEGER) AS start, CAST(stop - cut_right AS INTEGER) AS stop, key,
+  SELECT doc_id, i, j, CAST(start + cut_left AS INTEGER) AS start, CAST(stop - cut_right AS INTEGER) AS stop, key, place + cut_left AS place,
     substr(span, 1 + cut_left, length(span) - cut_left - cut_right) AS text
   FROM hit
-), ends AS (
-  SELECT * FROM trimmed t WHERE NOT {blocked("text")} AND EXISTS (SELECT 1 FROM name_rows n WHERE n.key = t.key {extra})
-), longest AS (
-  SELECT doc_id, i, max(j) AS j, arg_max(start, j) AS start, arg_max(stop, j) AS stop, arg_max(text, j) AS text, arg_max(key, j) AS key FROM ends GROUP BY doc_id, i
-), linked AS (
-  SELECT l.*, (SELECT min(m.i) FROM longest m WHERE m.doc_id = l.doc_id AND m.i > l.j) AS following FROM longest l
-), chosen AS (
-  SELECT l.* FROM linked l WHERE NOT EXISTS (SELECT 1 FROM linked m WHERE m.doc_id = l.doc_id AND m.i < l.i)
+)"""
+
+
+def _chain(ends: str, tag: str = "") -> str:
+    """The windows that are taken from left to right, the longest at each token: ``chosen``. ``ends`` has a column ``stub``: a stub is passed over by a token."""
+    return f"""
+longest{tag} AS (
+  SELECT doc_id, i, max(j) AS j, arg_max(struct_pack(start := start, stop := stop, text := text, key := key, stub := stub, place := place), j) AS w FROM {ends} GROUP BY doc_id, i
+), linked{tag} AS (
+  SELECT l.*, (SELECT min(m.i) FROM longest{tag} m WHERE m.doc_id = l.doc_id AND m.i > CASE WHEN l.w.stub THEN l.i ELSE l.j END) AS following FROM longest{tag} l
+), walked{tag} AS (
+  SELECT l.* FROM linked{tag} l WHERE NOT EXISTS (SELECT 1 FROM linked{tag} m WHERE m.doc_id = l.doc_id AND m.i < l.i)
+  UNION ALL
+  SELECT l.* FROM walked{tag} c JOIN linked{tag} l ON l.doc_id = c.doc_id AND l.i = c.following
+), chosen{tag} AS (SELECT doc_id, i, j, unnest(w) FROM walked{tag} WHERE NOT w.stub
+)"""
+
+
+_REQUESTED = "n.type IN (SELECT type FROM test_types)"
+
+
+def _mentions(wanted: str = "true", hits: str | None = None) -> str:
+    """Up to ``mention``: the leftmost longest mentions with their entities of the ``wanted`` types."""
+    return f"""WITH RECURSIVE {hits or _hits()}, ends AS (
+  SELECT *, false AS stub FROM trimmed t WHERE NOT {blocked("text")} AND EXISTS (SELECT 1 FROM name_rows n WHERE n.key = t.key AND {wanted})
+), {_chain("ends")}, mention AS (
+  SELECT doc_id, start, stop, text, place, n.type, n.serial, n.identifier FROM chosen JOIN name_rows n USING (key) WHERE {wanted}
+)"""
+
+
+_ANY, _TYPED = _mentions(), _mentions(_REQUESTED)
+_FLAT = " SELECT doc_id, start, stop, text, type, serial FROM "
+
+#: Stop lists: of the document, else of all, else the pattern; a listed name that the dictionary lacks is a stub.
+_STOPPED = f"""WITH RECURSIVE {_hits(known=f"SELECT DISTINCT key FROM name_rows UNION SELECT {key_of('name')} FROM {X.values(X.STOP_GLOBAL, 'name', 'flag')}")}, listed AS (
+  SELECT t.*, NOT EXISTS (SELECT 1 FROM name_rows n WHERE n.key = t.key) AS stub,
+    coalesce(l.flag[1] IN ('1', 't', 'y'), g.flag[1] IN ('1', 't', 'y'), {blocked("t.text")}) AS is_blocked
+  FROM trimmed t LEFT JOIN {X.values(X.STOP_LOCAL, 'name', 'doc_id', 'flag')} l ON l.name = t.text AND l.doc_id = CAST(t.doc_id AS VARCHAR)
+    LEFT JOIN {X.values(X.STOP_GLOBAL, 'name', 'flag')} g ON g.name = t.text
+), ends AS (SELECT * FROM listed WHERE stub OR NOT is_blocked
+), {_chain("ends")}"""
+
+_DETECTED_NAMES = _NAME_ROWS.replace("known.type, k.serial", "CASE WHEN known.type = -2 THEN -3 ELSE known.type END AS type, k.serial")
+_DETECTED = f"""WITH RECURSIVE {_hits(names=_DETECTED_NAMES)}, free AS (
+  SELECT *, false AS stub FROM trimmed WHERE NOT {blocked("text")}
+), triggers AS (SELECT * FROM free t WHERE EXISTS (SELECT 1 FROM name_rows n WHERE n.key = t.key AND n.type = -3)
+), {_chain("triggers", "_first")}, doc_types AS (
+  SELECT DISTINCT doc_id, [{", ".join(map(str, X.TAXA))}][serial % {len(X.TAXA)} + 1] AS type FROM chosen_first JOIN name_rows USING (key) WHERE type = -3
+), allowed AS (
+  SELECT t.*, n.type, n.serial FROM free t JOIN name_rows n USING (key)
+  WHERE n.type = -26 OR (t.doc_id, n.type) IN (SELECT doc_id, type FROM doc_types)
+), {_chain("allowed")}
+SELECT DISTINCT c.doc_id, c.start, c.stop, c.text, a.type, a.serial FROM chosen c JOIN allowed a ON a.doc_id = c.doc_id AND a.i = c.i AND a.j = c.j"""
+
+#: Mentions numbered in a document with the list of their entities, and what disambiguation leaves of it: the entities named so far.
+_CLEAR = """, matches AS (
+  SELECT doc_id, start, stop, text, list(struct_pack(type := type, serial := serial)) AS entities, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS ord
+  FROM mention GROUP BY doc_id, start, stop, text
+), single AS (SELECT doc_id, list(entities[1].serial) AS seen FROM matches WHERE len(entities) = 1 GROUP BY doc_id
+), told AS (
+  SELECT m.doc_id, 0::BIGINT AS ord, coalesce(s.seen, []) AS seen, NULL::STRUCT("type" INTEGER, serial BIGINT)[] AS left_
+  FROM (SELECT DISTINCT doc_id FROM matches) m LEFT JOIN single s USING (doc_id)
+  UNION ALL
+  SELECT m.doc_id, m.ord,
+    CASE WHEN len(list_filter(m.entities, lambda e: list_contains(t.seen, e.serial))) = 0 THEN list_concat(t.seen, list_transform(m.entities, lambda e: e.serial)) ELSE t.seen END,
+    CASE WHEN len(list_filter(m.entities, lambda e: list_contains(t.seen, e.serial))) = 0 THEN m.entities ELSE list_filter(m.entities, lambda e: list_contains(t.seen, e.serial)) END
+  FROM told t JOIN matches m ON m.doc_id = t.doc_id AND m.ord = t.ord + 1
+), clear AS (
+  SELECT m.doc_id, m.ord, start, stop, text, unnest(left_).type AS type, unnest(left_).serial AS serial FROM matches m JOIN told t ON t.doc_id = m.doc_id AND t.ord = m.ord
+)"""
+
+#: Of each mention the entities of the types more frequent in the document than the least threshold at which they share a group or one is left.
+_GROUPED = f""", counts AS (SELECT doc_id, type, count(*) AS n FROM clear GROUP BY ALL
+), entity AS (SELECT c.*, n FROM clear c JOIN counts USING (doc_id, type)
+), threshold AS (SELECT DISTINCT doc_id, ord, n AS t FROM entity UNION SELECT DISTINCT doc_id, ord, 0 FROM entity
+), remaining AS (SELECT e.*, t FROM entity e JOIN threshold h ON h.doc_id = e.doc_id AND h.ord = e.ord AND e.n > t
+), sizes AS (SELECT h.doc_id, h.ord, h.t, count(r.serial) AS size FROM threshold h LEFT JOIN remaining r USING (doc_id, ord, t) GROUP BY ALL
+), parents AS (
+  SELECT doc_id, ord, t, parent, count(*) AS n FROM remaining r JOIN {X.values(X.GROUPS, 'child', 'parent')} g ON g.child = r.serial GROUP BY ALL
+), shared AS (SELECT doc_id, ord, t, parent FROM parents JOIN sizes USING (doc_id, ord, t) WHERE n = size
+), pick AS (
+  SELECT doc_id, ord, min(t) AS t FROM sizes s WHERE size <= 1 OR EXISTS (SELECT 1 FROM shared x WHERE x.doc_id = s.doc_id AND x.ord = s.ord AND x.t = s.t) GROUP BY ALL
+), spots AS (SELECT DISTINCT doc_id, ord, start, stop, text FROM clear
+), kinds AS (SELECT serial, max(type) AS type FROM test_entities WHERE serial IS NOT NULL AND type IS NOT NULL GROUP BY serial)
+SELECT doc_id, start, stop, text, type, serial FROM remaining JOIN pick USING (doc_id, ord, t)
+UNION ALL SELECT doc_id, start, stop, text, coalesce(k.type, 0), parent FROM shared JOIN pick USING (doc_id, ord, t) JOIN spots USING (doc_id, ord) LEFT JOIN kinds k ON k.serial = parent"""
+
+#: Paragraphs (characters from ``opens`` to ``ends``), the places in them that may end a sentence, and the sentences from one accepted place to the next.
+_SEGMENTS = r"""
+paragraphs AS (
+  SELECT doc_id, 0 AS number, -1 AS opens, 0 AS ends FROM docs WHERE text <> ''
+  UNION ALL
+  SELECT p.doc_id, p.number + 1, p.ends + strlen(lead), p.ends + strlen(lead) + length(regexp_extract(substr(d.text, p.ends + strlen(lead) + 1), '^[^\t]*'))
+  FROM paragraphs p JOIN (SELECT doc_id, text FROM docs) d USING (doc_id), LATERAL (SELECT regexp_extract(substr(d.text, p.ends + 1), '^[\t\n\r ]*') AS lead) WHERE p.ends < length(d.text)
+), paragraph AS (
+  SELECT p.doc_id, number, opens, ends, substr(text, opens + 1, ends - opens) AS body, strlen(substr(text, 1, opens)) AS byte, text FROM paragraphs p JOIN docs USING (doc_id) WHERE number > 0
+), place AS (
+  SELECT *, unnest(range(1, length(body) + 1)) AS pos FROM paragraph
+), candidate AS (
+  SELECT doc_id, number, opens, pos - 1 AS mark, strlen(substr(body, 1, pos - 1)) AS mark_byte, substr(body, pos, 1) AS sign, substr(text, greatest(1, opens + pos - 6), least(6, opens + pos - 1)) AS before,
+    length(regexp_extract(substr(body, pos), '^([.!?]+["'')]*)[ \n\r]', 1)) AS closed, length(regexp_extract(substr(body, pos), '^([.!?]+["'')]*[ \n\r]+["''(]*[ \n\r]*-?)[0-9A-Z]', 1)) AS behind, body
+  FROM place WHERE substr(body, pos, 1) IN ('.', '!', '?') AND (pos = 1 OR substr(body, pos - 1, 1) NOT IN ('.', '!', '?'))
+), border AS (
+  SELECT doc_id, number, mark, mark_byte, strlen(substr(body, 1, mark + closed)) AS end_byte, strlen(substr(body, 1, mark + behind)) AS next_byte,
+    CASE WHEN sign <> '.' THEN 4 WHEN regexp_matches(before, '( [iI]\.e| [eE]\.g)\z') THEN 1000000000 WHEN regexp_matches(before, ' et al\z') THEN -6 ELSE 4 END AS least
+  FROM candidate WHERE behind > 0
+), begin AS (
+  SELECT doc_id, number, 0 AS begin_byte FROM paragraph UNION SELECT doc_id, number, next_byte FROM border
+), step AS (
+  SELECT doc_id, number, begin_byte, min(mark_byte) AS mark_byte FROM begin b JOIN border x USING (doc_id, number)
+  WHERE x.mark_byte - begin_byte >= 4 AND x.mark_byte >= begin_byte AND NOT (least = -6 AND x.mark_byte - begin_byte >= 6) AND least < 1000000000 GROUP BY ALL
+), walk AS (
+  SELECT doc_id, number, 0::BIGINT AS begin_byte, 1 AS sentence FROM paragraph
   UNION ALL
-  SELECT l.* FROM chosen c JOIN linked l ON l.doc_id = c.doc_id AND l.i = c.following
-), mention AS (
-  SELECT doc_id, start, stop, text, n.type, n.serial, n.identifier FROM chosen JOIN name_rows n USING (key) WHERE true {extra}
+  SELECT w.doc_id, w.number, x.next_byte, w.sentence + 1 FROM walk w JOIN step s USING (doc_id, number, begin_byte) JOIN border x ON x.doc_id = s.doc_id AND x.number = s.number AND x.mark_byte = s.mark_byte
+), finish AS (
+  SELECT *, strlen(body) - strlen(regexp_extract(body, '(?:^|[^.!?])[.!?]+["'')]*([ \n\r]+["''(]*)\z', 1)) AS stop FROM paragraph
+), segment AS (
+  SELECT w.doc_id, w.number AS paragraph, w.sentence, byte + w.begin_byte AS begin, byte + coalesce(x.end_byte, t.stop) AS "end"
+  FROM walk w JOIN finish t USING (doc_id, number) LEFT JOIN step s USING (doc_id, number, begin_byte) LEFT JOIN border x ON x.doc_id = s.doc_id AND x.number = s.number AND x.mark_byte = s.mark_byte
+)"""
+_PLACED = f"""{_CLEAR}, {_SEGMENTS}, structured AS (
+  SELECT c.doc_id, g.paragraph, g.sentence, c.start, c.stop, c.text, c.type, c.serial FROM clear c JOIN segment g ON g.doc_id = c.doc_id AND c.start >= g.begin AND c.stop < g."end"
 )"""
 
+#: Texts that define acronyms of names, and windows that are looked up by the long form.
+_SHORT = "upper(regexp_replace(name, '(?i)([a-z])[a-z]*[ -]?', '\\1', 'g'))"
+_ACRONYM_DOCS = f"""
+docs AS (
+  SELECT name AS doc_id, {_SHORT} AS short, 'The ' || name || ' (' || {_SHORT} || ') binds ' || {_SHORT} || ' and ' || array_to_string(string_split({_SHORT}, ''), '-') || '.' AS text
+  FROM (SELECT DISTINCT name FROM names WHERE regexp_matches(name, '{X.LONG_FORM}'))
+)"""
+_ACRONYM_KEY = f"""(SELECT CASE WHEN {key_of("raw.span")} = {key_of("d.short")} THEN {key_of("d.doc_id")} ELSE {key_of("raw.span")} END FROM docs d WHERE d.doc_id = raw.doc_id)"""
+_SAID = _mentions(hits=_hits(docs=_ACRONYM_DOCS, key=_ACRONYM_KEY))
 
-_ANY = "WITH RECURSIVE " + _windows()
-_TYPED = "WITH RECURSIVE " + _windows("AND n.type IN (SELECT type FROM test_types)")
+_IRI = """CASE WHEN type >= 0 THEN 'stringdb:' || type || '.' || id WHEN type = -1 THEN 'stitchdb:' || id WHEN type = -2 THEN 'taxonomy:' || id WHEN contains(id, ':') THEN id ELSE '_:' || id END"""
 
+_GIVEN = "m AS (SELECT DISTINCT doc, paragraph, sentence, start, serial FROM mentions WHERE doc IS NOT NULL AND serial IS NOT NULL)"
 _PAIR_ITEMS = """
-m AS (SELECT DISTINCT doc, paragraph, sentence, start, serial FROM mentions WHERE doc IS NOT NULL AND serial IS NOT NULL
-), first AS (
-  SELECT 'document' AS level, doc, NULL AS paragraph, NULL AS sentence, serial, min(start) AS f FROM m GROUP BY doc, serial
+first AS (
+  SELECT 'document' AS level, doc, NULL::INTEGER AS paragraph, NULL::INTEGER AS sentence, serial, min(start) AS f FROM m GROUP BY doc, serial
   UNION ALL SELECT 'paragraph', doc, paragraph, NULL, serial, min(start) FROM m GROUP BY doc, paragraph, serial
   UNION ALL SELECT 'sentence', doc, paragraph, sentence, serial, min(start) FROM m GROUP BY doc, paragraph, sentence, serial
 ), level_pairs AS (
@@ -110,16 +231,16 @@ m AS (SELECT DISTINCT doc, paragraph, sentence, start, serial FROM mentions WHER
 _KINDS = """kinds AS (SELECT serial, max(type) AS type FROM test_entities WHERE serial IS NOT NULL AND type IS NOT NULL GROUP BY serial)"""
 
 
-def _scores(allowed: str) -> str:
+def _scores(allowed: str, mentions: str = f"WITH {_GIVEN}") -> str:
     return f"""
-WITH {_PAIR_ITEMS}, {_KINDS}, sums AS (
+{mentions}, {_PAIR_ITEMS}, {_KINDS}, sums AS (
   SELECT serial1, serial2, sum(CASE level WHEN 'document' THEN 1.0::DOUBLE WHEN 'paragraph' THEN 2.0::DOUBLE ELSE 0.2::FLOAT::DOUBLE END) AS s_ij
   FROM level_pairs GROUP BY ALL
 ), typed AS (
   SELECT sums.*, coalesce(x.type, 0) AS type1, coalesce(y.type, 0) AS type2 FROM sums LEFT JOIN kinds x ON x.serial = serial1 LEFT JOIN kinds y ON y.serial = serial2
 ), kept AS (SELECT * FROM typed WHERE {allowed}
-), ends AS (SELECT serial1 AS serial, type2 AS other, s_ij FROM kept UNION ALL SELECT serial2, type1, s_ij FROM kept
-), part AS (SELECT serial, other, sum(s_ij) AS v FROM ends GROUP BY ALL
+), sides AS (SELECT serial1 AS serial, type2 AS other, s_ij FROM kept UNION ALL SELECT serial2, type1, s_ij FROM kept
+), part AS (SELECT serial, other, sum(s_ij) AS v FROM sides GROUP BY ALL
 ), total AS (SELECT least(type1, type2) AS lo, greatest(type1, type2) AS hi, sum(s_ij) AS s FROM kept GROUP BY ALL
 ), full_rows AS (
   SELECT k.serial1, k.serial2, s, i.v AS s_i, j.v AS s_j, s_ij, s_ij * s / (i.v * j.v) AS ratio FROM kept k
@@ -138,35 +259,59 @@ WITH {_NAME_ROWS}, counted AS (
 ), family AS (
   SELECT *, max(CASE WHEN type >= 0 THEN count END) OVER (PARTITION BY key) AS largest FROM counted
 ), log AS (
-  SELECT 'CONFLICT' AS reason, f.key, f.type, f.serial, f.count, m.type AS masked_type, m.serial AS masked_serial FROM family f JOIN name_rows m ON m.key = f.key
+  SELECT 'CONFLICT' AS reason, f.key, f.name, f.type, f.serial, f.count, m.type AS masked_type, m.serial AS masked_serial FROM family f JOIN name_rows m ON m.key = f.key
   WHERE f.type NOT IN (-2, -3, -21, -22, -23, -25, -26, -27) AND (m.type >= 0 OR m.type IN (-2, -22, -25, -26, -27)) AND f.type <> m.type AND (f.type < 0 OR m.type < 0)
-  UNION ALL SELECT CASE WHEN largest >= 1000 THEN 'FAMILY-GLOBAL' ELSE 'FAMILY-LOCAL' END, key, type, serial, count, NULL, NULL FROM family WHERE largest >= 1000 OR count > 20
-  UNION ALL SELECT 'SHORT-NAME', key, type, serial, count, NULL, NULL FROM family WHERE strlen(name) < 2
-  UNION ALL SELECT 'SHORT-WIKI', key, type, serial, count, NULL, NULL FROM family WHERE type = -11 AND strlen(name) <= 3
+  UNION ALL SELECT CASE WHEN largest >= 1000 THEN 'FAMILY-GLOBAL' ELSE 'FAMILY-LOCAL' END, key, name, type, serial, count, NULL, NULL FROM family WHERE largest >= 1000 OR count > 20
+  UNION ALL SELECT 'SHORT-NAME', key, name, type, serial, count, NULL, NULL FROM family WHERE strlen(name) < 2
+  UNION ALL SELECT 'SHORT-WIKI', key, name, type, serial, count, NULL, NULL FROM family WHERE type = -11 AND strlen(name) <= 3
 )"""
 
 ORACLES = {
     "canonical_keys": f"SELECT name, hex({key_of('name')}) AS key, hex({_SKELETON}) AS skeleton FROM ({_STRINGS})",
     "stop_filter": f"SELECT name, {blocked('name')} AS blocked FROM ({_STRINGS})",
-    "dictionary_load": f"WITH {_NAME_ROWS} SELECT hex(key) AS key, count(*) AS n_entities, min(serial) AS least, max(serial) AS most FROM name_rows GROUP BY key",
+    "dictionary_load": f"WITH {_NAME_ROWS} SELECT hex(key) AS key, name, type, serial, identifier FROM name_rows",
     "stub_names": f"WITH {_NAME_ROWS} SELECT name, 0 AS type FROM {X.values(X.STOP_GLOBAL, 'name', 'flag')} s WHERE {key_of('s.name')} NOT IN (SELECT key FROM name_rows)",
     "tokenize_documents": f"WITH {_DOCS}, {_PIECES} SELECT doc_id, i, start, stop, token FROM token",
-    "tokenize_characters": "SELECT row_id AS doc_id, CAST(strlen(journal) AS BIGINT) AS n_tokens, CAST(strlen(journal) - 1 AS INTEGER) AS last FROM test_documents WHERE journal <> ''",
-    "mentions_longest": _ANY + " SELECT doc_id, start, stop, text, type, serial FROM mention",
-    "mentions_typed": _TYPED + " SELECT doc_id, start, stop, text, type, serial FROM mention",
+    "tokenize_characters": """SELECT row_id AS doc_id, CAST(n AS INTEGER) AS i, CAST(n AS INTEGER) AS start, CAST(n AS INTEGER) AS stop, substr(hex(title), 2 * n + 1, 2) AS byte
+    FROM (SELECT row_id, title, unnest(range(strlen(title))) AS n FROM test_documents)""",
+    "mentions_longest": _ANY + _FLAT + "mention",
+    "mentions_typed": _TYPED + _FLAT + "mention",
     "mentions_overlap": _ANY + " SELECT doc_id, start, stop, text, n.type, n.serial FROM ends JOIN name_rows n USING (key)",
+    "mentions_stop_lists": _STOPPED + " SELECT doc_id, start, stop, text, n.type, n.serial FROM chosen JOIN name_rows n USING (key)",
+    "mentions_autodetect": _DETECTED,
+    "mentions_disambiguated": _ANY + _CLEAR + _FLAT + "clear",
+    "mentions_grouped": _TYPED + _CLEAR + _GROUPED,
+    "document_segments": f"""WITH RECURSIVE {_DOCS}, {_SEGMENTS}
+    SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, CAST(begin AS INTEGER) AS begin, CAST("end" AS INTEGER) AS "end" FROM segment""",
+    "mentions_structured": _TYPED + _PLACED
+    + """ SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, start, stop, text, type, serial FROM structured""",
+    "corpus_pairs": _scores("true", _TYPED + _PLACED + ", m AS (SELECT DISTINCT doc_id AS doc, paragraph, sentence, start, serial FROM structured)"),
+    "acronym_mentions": _SAID + " SELECT doc_id AS document, start, stop, text, type, serial FROM mention",
     "entities_distinct": _TYPED + " SELECT DISTINCT doc_id, text, type, coalesce(identifier, CAST(serial AS VARCHAR)) AS identifier FROM mention",
+    "entity_lines_csv": _TYPED
+    + """ SELECT DISTINCT doc_id, CASE WHEN contains(text, ',') THEN '"' || text || '"' ELSE text END || ',' || type || ',' || CASE WHEN contains(id, ',') THEN '"' || id || '"' ELSE id END AS line
+    FROM (SELECT doc_id, text, type, coalesce(identifier, CAST(serial AS VARCHAR)) AS id FROM mention)""",
     "entities_grouped": _TYPED
-    + """, spans AS (SELECT doc_id, text, start, count(*) AS e FROM mention GROUP BY ALL)
-    SELECT doc_id, text, count(*) AS count, CAST(arg_min(e, start) AS INTEGER) AS n_entities FROM spans GROUP BY doc_id, text""",
-    "pair_level_counts": f"WITH {_PAIR_ITEMS} SELECT level, serial1, serial2, count(*) AS documents FROM level_pairs GROUP BY ALL",
+    + """, spans AS (SELECT doc_id, text, start, list(struct_pack(type := type, serial := serial, identifier := identifier)) AS e FROM mention GROUP BY ALL)
+    SELECT doc_id, text, count(*) AS count, unnest(arg_min(e, start), recursive := true) FROM spans GROUP BY doc_id, text""",
+    "entity_annotations": _TYPED
+    + f""", spans AS (
+      SELECT doc_id, start, place, text, list(json_object('@id', {_IRI}) ORDER BY type, serial, identifier) AS bodies
+      FROM (SELECT *, coalesce(identifier, CAST(serial AS VARCHAR)) AS id FROM mention) WHERE strlen(right(text, 1)) = 1 GROUP BY doc_id, start, place, text)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS n, CAST(place AS INTEGER) AS begin, CAST(place + length(text) AS INTEGER) AS "end",
+      CASE WHEN len(bodies) = 1 THEN CAST(bodies[1] AS VARCHAR) ELSE '[' || array_to_string(bodies, ',') || ']' END AS body FROM spans""",
+    "entity_extract": _TYPED
+    + """ SELECT doc_id, type_name, p.name, type, coalesce(identifier, CAST(m.serial AS VARCHAR)) AS identifier, array_to_string(list_sort(list_distinct(list(text))), ';') AS texts
+    FROM mention m LEFT JOIN (SELECT serial, min(name) AS name FROM names WHERE serial IS NOT NULL AND name IS NOT NULL GROUP BY serial) p ON p.serial = m.serial
+    LEFT JOIN """ + X.values(X.TYPE_NAMES, "kind", "type_name") + """ k ON k.kind = type GROUP BY ALL""",
+    "pair_level_counts": f"WITH {_GIVEN}, {_PAIR_ITEMS} SELECT level, serial1, serial2, count(*) AS documents FROM level_pairs GROUP BY ALL",
     "pair_scores_all": _scores("true"),
     "pair_scores_selective": _scores(
         "(type1, type2) IN (" + ", ".join(f"({a}, {b}), ({b}, {a})" for a, b in X.TYPE_PAIRS) + ")"
     ),
-    "clean_dictionary_log": _LOG + " SELECT reason, type, serial, CAST(count AS INTEGER) AS count, masked_type, masked_serial FROM log",
+    "clean_dictionary_log": _LOG + " SELECT reason, hex(key) AS key, name, type, serial, CAST(count AS INTEGER) AS count, masked_type, masked_serial FROM log",
     "clean_dictionary": _LOG
-    + f" SELECT serial, count(*) AS n_names FROM names n WHERE serial IS NOT NULL AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM log WHERE log.serial = n.serial AND log.key = {key_of('n.name')}) GROUP BY serial",
+    + f" SELECT serial, name FROM names n WHERE serial IS NOT NULL AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM log WHERE log.serial = n.serial AND log.key = {key_of('n.name')})",
     "character_offsets": f"""WITH {_DOCS}, spans AS (SELECT DISTINCT doc, start, stop FROM mentions WHERE doc IS NOT NULL AND start IS NOT NULL AND stop IS NOT NULL)
     , letters AS (
       SELECT doc_id, n - 1 AS place, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY n) - strlen(c) AS byte
@@ -182,5 +327,5 @@ ORACLES = {
     "environment_ids": f"""SELECT serial, 'ENVO:' || lpad(CAST(serial AS VARCHAR), CASE WHEN serial >= 10000 AND serial < 10200 THEN 7 ELSE 8 END, '0') AS envo
     FROM (SELECT DISTINCT serial FROM test_entities WHERE serial IS NOT NULL UNION ALL SELECT * FROM {X.values(((9999,), (10000,), (10199,), (10200,)), 'serial')})""",
     "block_promotion": f"SELECT name, true AS blocked FROM {X.values(X.BLOCKS, 'name', 'doc_id')} GROUP BY name HAVING count(DISTINCT doc_id) >= 5",
-    "dedup_documents": f"WITH {_DOCS} SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes FROM docs",
+    "dedup_documents": f"WITH {_DOCS} SELECT doc_id, md5(text) AS text_md5, CAST(strlen(text) AS INTEGER) AS bytes FROM docs",
 }
