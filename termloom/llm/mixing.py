@@ -59,8 +59,7 @@ def _share(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
     keys = [*parent, "_top"]  # the top has no parent
     nodes = nodes.withColumn("_top", F.lit(0)).withColumn("level", F.col("capacity") / F.col("weight"))
     sums = F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"), F.first("parent_budget").alias("parent_budget")
-    # Levels and ranges are read twice: kept.
-    levels = checkpointed(nodes.groupBy(*keys, F.floor(F.log2("level") * STEPS).alias("range"), "level").agg(*sums))
+    levels = nodes.groupBy(*keys, F.floor(F.log2("level") * STEPS).alias("range"), "level").agg(*sums)
     ranges = levels.groupBy(*keys, "range").agg(*sums[:2])
     up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("range"), F.desc("range")))
     bounds = ranges.select(*keys, "range", F.coalesce(F.sum("capacity").over(up), F.lit(0.0)).alias("before"), F.coalesce(F.sum("weight").over(down), F.lit(0.0)).alias("after"))
@@ -137,10 +136,10 @@ def _fill(borders: DataFrame) -> DataFrame:
     What the leaves lack together (``short``) is filled with whole documents among the leaves of a language, and what
     is lacking then among all of the source, so that a source misses its budget by less than a document.
     """
-    borders = borders.withColumn("more", F.lit(0))
+    borders = checkpointed(borders.withColumn("more", F.lit(0)))  # a row for each leaf, read several times
     for level in range(len(LEVELS) - 1, 0, -1):
         keys = LEVELS[:level]
-        borders = checkpointed(borders.withColumn("wanted", F.when(F.col("more") == 0, F.col("n_tokens")).otherwise(0)))  # read three times
+        borders = borders.withColumn("wanted", F.when(F.col("more") == 0, F.col("n_tokens")).otherwise(0))
         lacks = borders.groupBy(*keys).agg(F.sum("short").alias("lack"))
         summed = _running(borders, keys, "wanted", "upto_here").join(lacks, list(keys))
         taken = (F.col("more") == 0) & (F.col("upto_here") <= F.col("lack"))
