@@ -50,14 +50,44 @@ def sized(documents: DataFrame, tokens: str = "n_tokens") -> DataFrame:
     return documents.select("doc_id", "source", lang, _null_safe("site"), F.col(tokens).alias("n_tokens"))
 
 
-def _share(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
+def _budget(full: Column) -> Column:
+    """Full nodes take their capacity, the open ones what is left (parent_budget - spent) by their weights."""
+    left = F.greatest(F.lit(0.0), F.col("parent_budget") - F.col("spent"))
+    return F.when(full, F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("weight") * left / F.col("open_weight")))
+
+
+def _is_full(before: Column, from_here: Column) -> Column:
+    """With the nodes in order of capacity per weight (``level``), a node is full exactly if raising all open nodes to its level still fits the budget.
+
+    The budget is at most all capacity; sums in another order may be off by a rounding.
+    """
+    return before + F.col("level") * from_here <= F.col("parent_budget") * (1 + 1e-12)
+
+
+def _share_few(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
     """Adds ``budget`` to nodes (weight, capacity, parent_budget): the parent's budget by weight, no node above its capacity.
 
-    With the nodes in order of capacity per weight, a node is full exactly if raising all open nodes to its level
-    still fits the budget. So a parent has one highest level of full nodes, found on sums by level.
+    For children that are sources or languages: a window holds as many rows as there are of these.
     """
-    keys = [*parent, "_top"]  # the top has no parent
-    nodes = nodes.withColumn("_top", F.lit(0)).withColumn("level", F.col("capacity") / F.col("weight"))
+    nodes = nodes.withColumn("level", F.col("capacity") / F.col("weight"))
+    w = Window.partitionBy(*(parent or (F.lit(1),)))
+    ties = [x for x in LEVELS if x in nodes.columns]
+    up = w.orderBy(F.asc("level"), *map(F.asc, ties)).rowsBetween(Window.unboundedPreceding, -1)
+    down = w.orderBy(F.desc("level"), *map(F.desc, ties)).rowsBetween(Window.unboundedPreceding, 0)
+    full = _is_full(F.coalesce(F.sum("capacity").over(up), F.lit(0.0)), F.sum("weight").over(down))
+    return (
+        nodes.withColumn("full", full)
+        .withColumn("spent", F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0.0)).over(w))
+        .withColumn("open_weight", F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(w))
+        .withColumn("budget", _budget(F.col("full")))
+        .drop("level", "full", "spent", "open_weight")
+    )
+
+
+def _share_many(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
+    """The same for any number of children: a parent has one highest level of full nodes, found on sums by ranges of the level and by its distinct values in a range."""
+    keys = list(parent)
+    nodes = nodes.withColumn("level", F.col("capacity") / F.col("weight"))
     sums = F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"), F.first("parent_budget").alias("parent_budget")
     levels = nodes.groupBy(*keys, F.floor(F.log2("level") * STEPS).alias("range"), "level").agg(*sums)
     ranges = levels.groupBy(*keys, "range").agg(*sums[:2])
@@ -66,20 +96,15 @@ def _share(nodes: DataFrame, parent: tuple[str, ...]) -> DataFrame:
     up, down = (Window.partitionBy(*keys, "range").orderBy(o) for o in (F.asc("level"), F.desc("level")))
     before = F.col("before") + F.coalesce(F.sum("capacity").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     from_here = F.col("after") + F.sum("weight").over(down.rowsBetween(Window.unboundedPreceding, 0))
-    # The budget is at most all capacity; sums in another order may be off by a rounding.
-    full = before + F.col("level") * from_here <= F.col("parent_budget") * (1 + 1e-12)
-    judged = levels.join(bounds, [*keys, "range"]).withColumn("full", full)
-    borders = judged.groupBy(*keys).agg(
+    judged = levels.join(bounds, [*keys, "range"]).withColumn("full", _is_full(before, from_here))
+    # A row for each parent, kept.
+    borders = checkpointed(judged.groupBy(*keys).agg(
         F.max(F.when(F.col("full"), F.col("level"))).alias("upto"),
         F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0.0)).alias("spent"),
         F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).alias("open_weight"),
-    )
-    shared = F.least(F.col("capacity"), F.col("weight") * F.greatest(F.lit(0.0), F.col("parent_budget") - F.col("spent")) / F.col("open_weight"))
-    return (
-        nodes.join(borders, keys)
-        .withColumn("budget", F.when(F.col("upto").isNotNull() & (F.col("level") <= F.col("upto")), F.col("capacity")).otherwise(shared))
-        .drop("_top", "level", "upto", "spent", "open_weight")
-    )
+    ))
+    shared = nodes.join(borders, keys).withColumn("budget", _budget(F.col("upto").isNotNull() & (F.col("level") <= F.col("upto"))))
+    return shared.drop("level", "upto", "spent", "open_weight")
 
 
 def budgets(documents: DataFrame, targets: DataFrame, total: float | None = None, powers: dict[str, float] = POWERS) -> DataFrame:
@@ -104,7 +129,7 @@ def budgets(documents: DataFrame, targets: DataFrame, total: float | None = None
     nodes = nodes.withColumn("weight", F.col("weight") / F.sum("weight").over(everything))
     most = F.min(F.col("capacity") / F.col("weight")).over(everything)
     nodes = nodes.withColumn("parent_budget", most if total is None else F.least(F.lit(float(total)), F.sum("capacity").over(everything)))
-    nodes = _share(nodes, ()).select("source", F.col("budget").alias("parent_budget"))
+    nodes = _share_few(nodes, ()).select("source", F.col("budget").alias("parent_budget"))
     for depth in range(1, len(LEVELS)):
         keys, parent = LEVELS[: depth + 1], LEVELS[:depth]
         own = (
@@ -113,7 +138,7 @@ def budgets(documents: DataFrame, targets: DataFrame, total: float | None = None
             .withColumn("weight", F.pow("tokens", F.lit(powers[LEVELS[depth]])))
             .join(nodes, list(parent))
         )
-        nodes = _share(own, parent).select(*keys, F.col("budget").alias("parent_budget"))
+        nodes = (_share_few if depth == 1 else _share_many)(own, parent).select(*keys, F.col("budget").alias("parent_budget"))
     full = leaves.join(nodes.withColumnRenamed("parent_budget", "budget"), list(LEVELS))
     return checkpointed(full.select(*LEVELS, "tokens", "max_repeats", "capacity", "budget"))
 
@@ -136,10 +161,11 @@ def _fill(borders: DataFrame) -> DataFrame:
     What the leaves lack together (``short``) is filled with whole documents among the leaves of a language, and what
     is lacking then among all of the source, so that a source misses its budget by less than a document.
     """
-    borders = checkpointed(borders.withColumn("more", F.lit(0)))  # a row for each leaf, read several times
+    borders = borders.withColumn("more", F.lit(0))
     for level in range(len(LEVELS) - 1, 0, -1):
         keys = LEVELS[:level]
-        borders = borders.withColumn("wanted", F.when(F.col("more") == 0, F.col("n_tokens")).otherwise(0))
+        # At most a row for each leaf, read three times: kept.
+        borders = checkpointed(borders.withColumn("wanted", F.when(F.col("more") == 0, F.col("n_tokens")).otherwise(0)))
         lacks = borders.groupBy(*keys).agg(F.sum("short").alias("lack"))
         summed = _running(borders, keys, "wanted", "upto_here").join(lacks, list(keys))
         taken = (F.col("more") == 0) & (F.col("upto_here") <= F.col("lack"))

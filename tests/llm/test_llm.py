@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 from pathlib import Path
@@ -278,6 +279,18 @@ def test_budgets_equal_brute_force(spark):
         assert r.budget == pytest.approx(budget[r.source, r.lang, r.site], rel=1e-6)
 
 
+def test_a_language_of_very_many_sites(spark):
+    # The sites of a language are spread over ranges; no window has all of them.
+    leaves = spark.range(300_000).select(
+        F.lit("a").alias("source"), F.lit("en").alias("lang"), F.col("id").cast("string").alias("site"), (F.col("id") % 97 + 1).alias("n_tokens"), F.col("id").alias("doc_id")
+    )
+    goals = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    began = time.perf_counter()
+    got = mixing.budgets(mixing.sized(leaves), goals, total=20_000_000.0, powers={"lang": 1.0, "site": 0.5}).agg(F.sum("budget"), F.max(F.col("budget") - F.col("capacity"))).first()
+    assert got[0] == pytest.approx(20_000_000) and got[1] <= 1e-9
+    assert time.perf_counter() - began < 60
+
+
 def test_mixing_of_nothing(spark):
     assert mix(spark, [(1, None, "en", "x", 5)], [("a", 1.0, 1)])[1].count() == 0
 
