@@ -119,10 +119,12 @@ def annotated(
     per = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     # Bytes are cut from a binary column, where a cut costs its own length and not the way to it.
     joined = documents.select("doc_id", F.encode("text", "UTF-8").alias("b")).join(per, "doc_id", "left").withColumn("p", F.coalesce("p", F.array()))
-    cut = lambda at, size: f"decode(substring(b, {at} + 1, {size}), 'ISO-8859-1')"
+    cut = lambda at, size: f"decode(substring(t, {at} + 1, {size}), 'ISO-8859-1')"
+    begin = "coalesce(get(p, i - 1).stop + 1, 0)"
+    # The text is the one element of an array, so that it is bound to ``t`` once and not copied out of its row for every piece.
     body = F.expr(f"""
-      concat(array_join(transform(p, (x, i) -> concat({cut("if(i = 0, 0, p[i - 1].stop + 1)", "greatest(0, x.start - if(i = 0, 0, p[i - 1].stop + 1))")}, x.new)), ''),
-        {cut("if(size(p) = 0, 0, p[size(p) - 1].stop + 1)", "length(b)")})
+      transform(array(b), t -> concat(array_join(transform(p, (x, i) -> concat({cut(begin, f"greatest(0, x.start - {begin})")}, x.new)), ''),
+        {cut("coalesce(get(p, size(p) - 1).stop + 1, 0)", "length(t)")}))[0]
     """)
     lists = F.array_distinct(F.transform(F.filter("p", lambda x: x["list"].isNotNull()), lambda x: _filled(_ENTITY, md5=x["md5"], list=x["list"])))
     types = F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["types"])))), lambda t: _filled(_TYPE, type=t.cast("string")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import feeds, tagging, tagging_sql
+from termloom.plans import feeds, programs, tagging, tagging_sql
 
-QUERIES = {**tagging.QUERIES, **feeds.QUERIES}
+QUERIES = {**tagging.QUERIES, **programs.QUERIES, **feeds.QUERIES}
 ORACLES = {**tagging_sql.ORACLES, **feeds.ORACLES}
 
 

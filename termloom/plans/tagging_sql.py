@@ -204,6 +204,11 @@ _PLACED = f"""{_CLEAR}, {_SEGMENTS}, structured AS (
   SELECT c.doc_id, g.paragraph, g.sentence, c.start, c.stop, c.text, c.type, c.serial FROM clear c JOIN segment g ON g.doc_id = c.doc_id AND c.start >= g.begin AND c.stop < g."end"
 )"""
 
+#: Documents and names as lines of files: without line breaks.
+_FILE_DOCS = _DOCS.replace("|| coalesce(f.text, '') AS text", "|| coalesce(f.text, '') AS raw_text").replace("SELECT doc_id, coalesce(f.title", "SELECT doc_id, regexp_replace(raw_text, '[\\r\\n]', ' ', 'g') AS text FROM (SELECT doc_id, coalesce(f.title") + ")"
+_FILE_NAMES = _NAME_ROWS.replace("FROM names WHERE", "FROM (SELECT serial, regexp_replace(name, '[\\t\\r\\n]', ' ', 'g') AS name FROM names) WHERE")
+_FROM_FILES = _mentions(_REQUESTED, _hits(docs=_FILE_DOCS, names=_FILE_NAMES))
+
 #: Texts that define acronyms of names, and windows that are looked up by the long form.
 _SHORT = "upper(regexp_replace(name, '(?i)([a-z])[a-z]*[ -]?', '\\1', 'g'))"
 _ACRONYM_DOCS = f"""
@@ -285,6 +290,8 @@ ORACLES = {
     SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, CAST(begin AS INTEGER) AS begin, CAST("end" AS INTEGER) AS "end" FROM segment""",
     "mentions_structured": _TYPED + _PLACED
     + """ SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, start, stop, text, type, serial FROM structured""",
+    "mentions_from_files": _FROM_FILES + _PLACED
+    + """ SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(sentence AS INTEGER) AS sentence, start, stop, text, type, serial FROM structured""",
     "corpus_pairs": _scores("true", _TYPED + _PLACED + ", m AS (SELECT DISTINCT doc_id AS doc, paragraph, sentence, start, serial FROM structured)"),
     "acronym_mentions": _SAID + " SELECT doc_id AS document, start, stop, text, type, serial FROM mention",
     "entities_distinct": _TYPED + " SELECT DISTINCT doc_id, text, type, coalesce(identifier, CAST(serial AS VARCHAR)) AS identifier FROM mention",

@@ -1,5 +1,7 @@
 """Files in and out, and the stream, on small folders."""
 
+import pytest
+
 from termloom.operators import dictionary as D
 from termloom.operators.matching import dictionary_hits, find_mentions, mention_rows, with_blocked
 from termloom.operators.segments import inside_segments, segments
@@ -84,3 +86,63 @@ def test_outputs_and_stream(spark, tmp_path):
     assert "12\t1\t1\t0\t17" in {r.value for r in spark.read.text(str(tmp_path / "s.tsv")).collect()}
     sinks.write_pairs(scores, str(tmp_path / "p.tsv"))
     assert "101\t102\t1.963143\t0.943311\t5.200000\t4.200000\t4.200000\t3.200000" in {r.value for r in spark.read.text(str(tmp_path / "p.tsv")).collect()}
+
+
+def test_programs_over_folders(spark, tmp_path):
+    from termloom.plans.programs import tag_folder
+
+    texts = tmp_path / "texts"
+    texts.mkdir()
+    put(texts / "a.txt", "Deep sea mud and alpine lake.")
+    names = put(tmp_path / "names", "11\tdeep sea", "12\talpine lake", "13\tmud")
+    groups = put(tmp_path / "groups", "11\t90", "13\t91")
+    stops = put(tmp_path / "stops", "mud\tt")
+    rows = tag_folder(spark, str(texts), names, -27, groups, stops).collect()
+    assert sorted((r.name, r.text, r.type, r.serial) for r in rows) == [("a.txt", "Deep sea", -27, 11), ("a.txt", "Deep sea", -27, 90), ("a.txt", "alpine lake", -27, 12)]
+    sinks.write_directory_mentions(tag_folder(spark, str(texts), names, -27), str(tmp_path / "out"), environments=True)
+    assert "a.txt\t0\t7\tDeep sea\tENVO:00000011" in {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
+
+
+def test_corpus_of_files(spark, tmp_path):
+    from termloom.plans.programs import Corpus, Options, tag_corpus, write_tagged
+
+    corpus = Corpus(
+        put(tmp_path / "c.tsv", *LINES), put(tmp_path / "e", "101\t9606\tA", "102\t9606\tB", "103\t9606\tC"), put(tmp_path / "n", "101\tTIMP-1", "102\tPLK1", "103\tATM kinase"),
+        put(tmp_path / "t", "9606"), put(tmp_path / "s", "the\tt"), put(tmp_path / "l", "PLK1\t12\tt"), type_pairs=put(tmp_path / "p", "9606\t9606"),
+    )
+    tagged = tag_corpus(spark, corpus, Options(sentence_weight=0.0))
+    out = [str(tmp_path / f"out_{k}") for k in "mps"]
+    write_tagged(tagged, *out)
+    assert tagged.progress.get["documents"] == 2
+    lines = [sorted(r.value for r in spark.read.text(o).collect()) for o in out]
+    assert lines[0] == ["12\t1\t1\t0\t4\tTIMP1\t9606\t101", "12\t2\t1\t19\t28\tATM-kinase\t9606\t103"]
+    assert [x.split("\t")[:2] + x.split("\t")[-1:] for x in lines[1]] == [["101", "103", "1.000000"]] and len(lines[2]) == 5
+
+
+def test_settings(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from termloom.sources.settings import head_script, read_settings, type_rule
+
+    head = put(tmp_path / "head.js", "<script>x</script>")
+    file = put(tmp_path / "s.ini", "[GLOBAL]", f"java_scripts = {head}", "names_file = n.tsv", "[STYLES]", "2 = color: red", "1 = color: blue", "9 = color: grey", "[TYPES]", "1 = x > 0 and x != 5", "2 = x in (-25, -26) or not x < 0")
+    settings = read_settings(spark, file)
+    assert settings.script == "<script>x</script>" and settings.files["names_file"] == "n.tsv" and [css for _, css in settings.styles] == ["color: blue", "color: red", "color: grey"]
+    df = spark.createDataFrame([(t,) for t in (7, 5, -26, -1)], "t int")
+    got = df.select(*(F.lit(True) if rule is None else rule(F.col("t")) for rule, _ in settings.styles)).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, True, True), (False, True, True), (False, False, True)]
+    assert head_script(spark, "https://x.example/a.js") == '<script src="https://x.example/a.js" type="text/javascript"></script>\n'
+    for bad in ("__import__('os')", "x.y", "x ** 2 > 1", "y > 1"):
+        with pytest.raises(ValueError):
+            type_rule(bad)
+
+
+def test_staged_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from termloom.sources.staging import checkpointed, shared_folder
+
+    assert checkpointed(spark.range(5).where("id > 1")).count() == 3
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)

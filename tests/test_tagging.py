@@ -12,11 +12,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from termloom.functions.keys import canonical_key, key_of
+from termloom.functions.latin import character_spans
 from termloom.operators import dictionary as D
+from termloom.operators.handlers import DocumentHandler, handled
 from termloom.operators.markup import annotated, masked
-from termloom.operators.matching import blocked_by_pattern, dictionary_hits, find_mentions, mention_rows, with_blocked
+from termloom.operators.matching import blocked_by_pattern, dictionary_hits, find_mentions, leftmost_longest, mention_rows, with_blocked
 from termloom.operators.pairs import pair_counts, pair_levels, pair_scores, pair_sums, typed_pairs
-from termloom.operators.render import distinct_entities, entities_xml, entity_lines, jsonld
+from termloom.operators.render import distinct_entities, entities_xml, entity_lines, jsonld, match_tuples, popup_addresses, resolved_lines, resolved_xml
 from termloom.operators.resolution import disambiguated, grouped
 from termloom.operators.segments import inside_segments, segments, segments_of, whole_documents
 from termloom.operators.windows import candidate_windows, tokens, trim
@@ -260,3 +262,128 @@ def test_promotion_and_log(spark):
     local, everywhere = D.edited(spark.createDataFrame(rows, "at int, action string, name string, doc_id string"))
     assert {(r.name, r.doc_id, r.blocked) for r in local.collect() if r.doc_id == "1"} == {("x", "1", False), ("y", "1", True)}
     assert [r.name for r in everywhere.collect()] == ["x"]
+
+
+def test_long_documents_are_linear(spark):
+    # 100,000 mentions in a document: selection, disambiguation and the annotated page each are one pass.
+    n = 100_000
+    windows = spark.range(n).select(
+        F.lit(1).alias("doc_id"), F.lit(0).alias("seg"), F.col("id").cast("int").alias("i"), (F.col("id") + F.col("id") % 2).cast("int").alias("j"), F.lit(False).alias("is_stub"),
+        (F.col("id") * 5).cast("int").alias("start"), (F.col("id") * 5 + 3 + 5 * (F.col("id") % 2)).cast("int").alias("stop"), F.lit("abcd").alias("text"),
+        F.expr("array(named_struct('type', 1, 'serial', id, 'identifier', 'x'), named_struct('type', 1, 'serial', id + 1, 'identifier', 'y'))").alias("entities"),
+    )
+    leftmost_longest(windows.limit(10)).count()  # workers start
+    began = time.perf_counter()
+    assert leftmost_longest(windows).count() == n // 2 + 1
+    matches = windows.select("doc_id", F.col("i").alias("ord"), "start", (F.col("start") + 3).alias("stop"), "text", "entities")
+    assert disambiguated(matches).select(F.sum(F.size("entities"))).first()[0] == 3 * n // 2
+    text = spark.createDataFrame([(1, "abcd " * n)], "doc_id int, text string")
+    assert annotated(text, matches).select(F.length("html")).first()[0] > 40 * n
+    assert time.perf_counter() - began < 30
+
+
+def pairs_by_hand(rows):
+    """Per document the first mentions in each scope, pair by pair."""
+    out = {k: Counter() for k in ("document", "paragraph", "sentence")}
+    for doc in {r[0] for r in rows if r[0] is not None}:
+        for level, size in (("document", 1), ("paragraph", 2), ("sentence", 3)):
+            first = {}
+            for r in rows:
+                if r[0] == doc and r[4] is not None and None not in r[1:size]:
+                    scope = first.setdefault(r[1:size], {})
+                    scope[r[4]] = min(r[3], scope.get(r[4], 10**9))
+            out[level].update({(a, b) for scope in first.values() for a, b in combinations(sorted(scope), 2) if scope[a] != scope[b]})
+    return {(level, *p, k) for level, c in out.items() for p, k in c.items()}
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_pairs_equal_brute_force(spark, monkeypatch, block):
+    from termloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", block)  # 4: most documents are cut into blocks
+    monkeypatch.setattr(pairs, "AT_ONCE", 50)
+    rng = random.Random(block)
+    rows = [(d, rng.choice([1, 2, None]), rng.choice([1, 2, 3]), rng.randint(0, 12), rng.randint(1, 15)) for d in range(12) for _ in range(rng.choice([1, 8, 30]))]
+    rows += [(None, 1, 1, 0, 5), (3, 1, 1, 0, None), *rows[:5]]
+    counts = pair_counts(spark.createDataFrame(rows, "doc_id int, paragraph int, sentence int, ord int, serial bigint"))
+    assert {tuple(r) for r in pair_levels(counts).select("level", "serial1", "serial2", "documents").collect()} == pairs_by_hand(rows)
+    sums = {(r.serial1, r.serial2): r.s_ij for r in pair_sums(counts, 0.0, 0.0, 3.0).collect()}
+    assert sums == {(a, b): 3.0 * k for level, a, b, k in pairs_by_hand(rows) if level == "sentence"}
+
+
+def test_pairs_of_nothing(spark):
+    assert pair_counts(spark.createDataFrame([], "doc_id int, paragraph int, sentence int, ord int, serial bigint")).count() == 0
+
+
+def test_positions_in_characters(spark):
+    documents = spark.createDataFrame([(1, "aé中b"), (2, None)], "doc_id int, text string")
+    spans = spark.createDataFrame([(1, 0, 0), (1, 0, 2), (1, 3, 6), (1, 6, 6), (1, 5, 99), (2, 0, 0), (3, 0, 0)], "doc_id int, start int, stop int")
+    got = {(r.start, r.stop): (r.begin, r.end, r.aligned) for r in character_spans(documents, spans).collect()}
+    assert got == {(0, 0): (0, 1, True), (0, 2): (0, 2, False), (3, 6): (2, 4, True), (6, 6): (3, 4, True)}
+
+
+def test_replay_of_a_change_log(spark):
+    rows = D.names_with_entities(spark.createDataFrame([(1, "abcd")], "serial bigint, name string"), spark.createDataFrame([(1, 5, "A")], "serial bigint, type int, identifier string"))
+    acts = [(1, "AddName", "efgh", "7", "12"), (2, "AddName", "efgh", "7", "12"), (3, "BlockName", "abcd", None, None), (4, "AllowName", "abcd", None, None), (5, "BlockName", "efgh", "", None)]
+    more, local, everywhere = D.replayed(rows, spark.createDataFrame(acts, "at int, action string, name string, doc_id string, identifier string"))
+    assert sorted((r.name, r.type, r.serial) for r in more.collect()) == [("abcd", 5, 1), ("efgh", 7, 12)]
+    assert local.count() == 0 and {(r.name, r.blocked) for r in everywhere.collect()} == {("abcd", False), ("efgh", True)}
+
+
+def test_service_forms(spark):
+    known = words(spark, [(1, "abcd"), (2, "abcd"), (3, "abcd")], {1: 9606, 2: -26, 3: 10090})
+    asked = spark.createDataFrame([("ABCD",), ("none",), (None,)], "name string")
+    found = D.resolve_names(asked, known)
+    assert sorted(r.line for r in resolved_lines(found).collect()) == ["ABCD\t-26\t2", "ABCD\t10090\t3", "ABCD\t9606\t1"]
+    items = {r.name: r.item for r in resolved_xml(asked, found).collect()}
+    assert items["ABCD"].count("<entity>") == 3 and items["none"].endswith("<entities></entities></item>") and len(items) == 2
+    assert {r.name: r.address for r in popup_addresses(asked, found, "https://x.example/p").collect()} == {"ABCD": "https://x.example/p?9606.1+10090.3+-26.2", "none": None}
+    rows = match_tuples(given_matches(spark, [[(1, 5), (2, 6)], [(3, 7)]])).collect()
+    assert rows[0].matches == [(0, 0, [(5, 1), (6, 2)]), (1, 1, [(7, 3)])]
+
+
+def test_single_annotations(spark):
+    documents = spark.createDataFrame([(1, "abcd efgé")], "doc_id int, text string")
+    known = words(spark, [(1, "abcd"), (2, "efgé")], {1: 9606, 2: -26})
+    found = find_mentions(with_blocked(dictionary_hits(candidate_windows(documents, known), known)))
+    # The second mention ends inside of a character's bytes and isn't counted.
+    assert jsonld(documents, found, 0, named=False).collect()[0].json.endswith('"@id":"_:annotations/0","body":{"@id":"stringdb:9606.1"},"target":"_:#char=0,4"}')
+    assert jsonld(documents, found, 1).collect()[0].json.endswith('"@id":"_:annotations/1"}')
+
+
+def recorder():
+    class Recorder(DocumentHandler):
+        def __init__(self):
+            self.n = 0
+
+        def say(self, what):
+            self.n += 1
+            return [(self.n, what)]
+
+        def on_document_begin(self, doc_id, text):
+            return self.say(f"document {doc_id}")
+
+        def on_document_end(self, doc_id):
+            return self.say("end")
+
+        def on_paragraph_begin(self):
+            return self.say("paragraph")
+
+        def on_sentence_begin(self):
+            return self.say("sentence")
+
+        def on_match(self, doc_id, start, stop, text, entities):
+            return self.say(f"{text} {entities[0][1]}")
+
+    return Recorder
+
+
+def test_handlers(spark):
+    documents = spark.createDataFrame([(1, M1_TEXT), (2, "Nothing here.")], "doc_id int, text string").coalesce(1)
+    matches = tag(spark, M1_TEXT, M1_NAMES, M1_TYPES)
+    rows = handled(documents, matches, recorder(), "n int, what string", segments(documents)).collect()
+    said = [r.what for r in sorted((r for r in rows), key=lambda r: r.n)] if len({r.n for r in rows}) == len(rows) else [r.what for r in rows]
+    text = " | ".join(said)
+    assert "document 1 | paragraph | sentence | TIMP1 101 | PLK1 102 | paragraph | sentence | ATM-kinase 103 | end" in text
+    assert "document 2 | paragraph | sentence | end" in text
+    assert [r.what for r in handled(documents, matches, recorder(), "n int, what string").collect() if "10" in r.what] == ["TIMP1 101", "PLK1 102", "ATM-kinase 103"]
