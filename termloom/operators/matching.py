@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.keys import canonical_key
 from termloom.functions.latin import latin
 from termloom.operators.dictionary import ENTITY
 
@@ -34,8 +33,7 @@ def blocked_by_pattern(name: Column, pattern: str = STOP_PATTERN) -> Column:
 
 def dictionary_hits(windows: DataFrame, words: DataFrame) -> DataFrame:
     """Windows joined with their dictionary entry: adds ``is_stub, entities``. The join's strategy is Spark's, by size."""
-    keyed = windows.withColumn("key", canonical_key(F.col("lookup")))
-    return keyed.join(words.select("key", "is_stub", "entities"), "key").drop("key", "lookup")
+    return windows.join(words.select("key", "is_stub", "entities"), "key").drop("key")
 
 
 def with_blocked(hits: DataFrame, stop_global: DataFrame | None = None, stop_local: DataFrame | None = None, pattern: str = STOP_PATTERN) -> DataFrame:

@@ -125,14 +125,26 @@ _ACRONYMS = (
 )
 
 
+_SHORT = re.compile(r" \(([a-z](?:-?[a-z]){2,3})\)", re.IGNORECASE | re.ASCII)
+
+
 def acronyms_of(runs: list[str]) -> dict[str, tuple[str, str]]:
-    """key -> (acronym, long form) of a document's text runs; the first one wins, by run, then three before four letters."""
+    """key -> (acronym, long form) of a document's text runs; the first one wins, by run, then three before four letters.
+
+    Only the words right before initials in brackets are searched for a long form.
+    """
     out: dict[str, tuple[str, str]] = {}
     for run in runs:
-        if "(" in run:
-            for pattern in _ACRONYMS:
-                for m in pattern.finditer(run):
-                    out.setdefault(key_of(m[m.lastindex]), (m[m.lastindex], m[1]))
+        found: tuple[list, list] = ([], [])
+        for m in _SHORT.finditer(run):
+            letters = len(m[1]) - m[1].count("-")
+            begin = m.start()
+            for _ in range(letters):
+                begin = run.rfind(" ", 0, max(begin, 0))
+            if long := _ACRONYMS[letters - 3].search(run, begin + 1, m.end()):
+                found[letters - 3].append((long[long.lastindex], long[1]))
+        for short, name in (*found[0], *found[1]):
+            out.setdefault(key_of(short), (short, name))
     return out
 
 
@@ -171,24 +183,23 @@ def trim(b: np.ndarray, start: np.ndarray, stop: np.ndarray, partners: np.ndarra
     return start, stop
 
 
-def slices(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The strings of so many bytes from each start, gathered at once. They must begin and end on borders of characters."""
+def slices(b: np.ndarray, start: np.ndarray, size: np.ndarray, kind: pa.DataType = pa.large_string()) -> pa.Array:
+    """The strings of so many bytes from each start, gathered at once. Unless binary, they must begin and end on borders of characters."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
     values = b[np.arange(total) + np.repeat(start - (ends - size), size)] if total else np.zeros(0, np.uint8)
-    strings = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(values))
-    return strings.cast(pa.string())
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(values)])
 
 
 def _decoded(b: np.ndarray, start: np.ndarray, size: np.ndarray, characters: bool) -> pa.Array:
     """As ``slices``; tokens of single bytes may begin and end inside of characters, whose bytes then are replaced."""
     if not characters:
-        return slices(b, start, size)
+        return slices(b, start, size).cast(pa.string())
     text = b.tobytes()
     return pa.array([text[a : a + n].decode("utf-8", "replace") for a, n in zip(start.tolist(), size.tolist())], pa.string())
 
 
-CANDIDATES = "doc_id {id}, seg int, i int, j int, start int, stop int, text string, lookup string"
+CANDIDATES = "doc_id {id}, seg int, i int, j int, start int, stop int, text string, key string"
 
 
 def token_spans(b: np.ndarray, offsets: np.ndarray, characters: bool = False) -> tuple[np.ndarray, ...]:
@@ -249,7 +260,7 @@ def candidate_windows(
     """Windows of up to ``max_tokens`` tokens that the dictionary's bitmap lets through.
 
     ``doc_id, seg, i, j`` (token numbers in the run), ``start, stop`` (bytes in the document, ends trimmed), ``text``
-    (the trimmed surface), ``lookup`` (the string to look up: the window, or the long form of the acronym it is).
+    (the trimmed surface), ``key`` (the canonical key of the window, or of the long form of the acronym it is).
     ``documents`` has ``doc_id, text``; NUL bytes stand for masked markup. A map over the rows: no shuffle.
     """
     session = documents.sparkSession
@@ -304,14 +315,16 @@ def _windows(batch: pa.RecordBatch, known: Bitmap, most: int, characters: bool,
     z = np.concatenate(z_hits) if z_hits else np.zeros(0, np.int64)
     start, stop, row = starts[a], stops[z], rows[a]
     base = np.searchsorted(unit, unit[a])
-    lookup = _decoded(b, start, stop - start + 1, characters)
+    # A key for each distinct window, of its bytes.
+    spans = slices(b, start, stop - start + 1, pa.large_binary()).dictionary_encode()
+    keys = pa.array([key_of(x.decode("latin-1")) for x in spans.dictionary.to_pylist()], pa.string()).take(spans.indices)
     if short:
         # Only documents that define acronyms need a look at their windows one by one.
-        text, given = b.tobytes().decode("latin-1"), lookup.to_pylist()
+        given = keys.to_pylist()
         for k in np.flatnonzero(np.isin(row, list(short))).tolist():
-            if found := short[int(row[k])].get(key_of(text[start[k] : stop[k] + 1])):
-                given[k] = found[1].encode("latin-1").decode("utf-8", "replace")
-        lookup = pa.array(given, pa.string())
+            if found := short[int(row[k])].get(given[k]):
+                given[k] = key_of(found[1])
+        keys = pa.array(given, pa.string())
     start, stop = trim(b, start, stop)
     surface = _decoded(b, start, np.maximum(stop - start + 1, 0), characters)
     place = -offsets[row]
@@ -319,7 +332,7 @@ def _windows(batch: pa.RecordBatch, known: Bitmap, most: int, characters: bool,
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0).take(take), pa.array(segs[a], pa.int32()), pa.array(a - base, pa.int32()), pa.array(z - base, pa.int32()),
-            pa.array(start + place, pa.int32()), pa.array(stop + place, pa.int32()), surface, lookup,
+            pa.array(start + place, pa.int32()), pa.array(stop + place, pa.int32()), surface, keys,
         ],
-        names=["doc_id", "seg", "i", "j", "start", "stop", "text", "lookup"],
+        names=["doc_id", "seg", "i", "j", "start", "stop", "text", "key"],
     )

@@ -21,7 +21,7 @@ from termloom.operators.segments import inside_segments, segments
 from termloom.operators.windows import candidate_windows, tokens
 from termloom.plans import fixtures as X
 from termloom.sources.staging import checkpointed
-from termloom.sources.tables import table
+from termloom.sources.tables import spread, table
 
 MAX_TOKENS = 15
 
@@ -39,7 +39,7 @@ def first_documents(spark: SparkSession, folder: str) -> DataFrame:
     keyed = table(spark, folder, "test_documents", "row_id", "identifier").select("row_id", key.alias("doc_id")).where("doc_id <> 0")
     first = keyed.groupBy("doc_id").agg(F.min("row_id").alias("first"))
     repeated = keyed.join(first, "doc_id").where("row_id <> first").select("row_id")
-    rows = table(spark, folder, "test_documents", "row_id", "identifier", "title", "text").withColumn("doc_id", key).where("doc_id <> 0")
+    rows = spread(table(spark, folder, "test_documents", "row_id", "identifier", "title", "text")).withColumn("doc_id", key).where("doc_id <> 0")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\t"), F.coalesce("text", F.lit("")))
     return rows.join(repeated, "row_id", "left_anti").select("doc_id", text.alias("text"))
 
