@@ -63,14 +63,14 @@ pieces AS (
 )"""
 
 
-def _hits(docs: str = _DOCS, names: str = _NAME_ROWS, key: str = key_of("raw.span"), known: str = "SELECT DISTINCT key FROM name_rows") -> str:
-    """Hits (doc_id, i, j, start, stop, text, key, place), with quotation marks off the ends of the surface; ``key`` is that of a window in ``raw``."""
+def _hits(docs: str = _DOCS, names: str = _NAME_ROWS, key: str = key_of("raw.span"), known: str = "SELECT DISTINCT key FROM name_rows", within: str = "true") -> str:
+    """Hits (doc_id, i, j, start, stop, text, key, place), with quotation marks off the ends of the surface; ``key`` is that of a window in ``raw``, ``within`` a condition on it."""
     return f"""
 {docs}, {names}, {_PIECES},
 raw AS (
   SELECT a.doc_id, a.i, b.i AS j, a.start, b.stop, a.place, substr(d.text, a.place + 1, b.place + length(b.token) - a.place) AS span
   FROM token a JOIN token b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 14 JOIN docs d ON d.doc_id = a.doc_id
-), keyed AS (SELECT raw.*, {key} AS own FROM raw
+), keyed AS (SELECT raw.*, {key} AS own FROM raw WHERE {within}
 ), hit AS (
   SELECT keyed.*, strlen(span) - strlen(regexp_replace(span, '^[!"''),.:;?\\]}}]+', '')) AS cut_left,
     strlen(span) - strlen(regexp_replace(span, '[!"''(,.:;?\\[{{]+\\z', '')) AS cut_right, k.key
@@ -221,6 +221,34 @@ _SAID = _mentions(hits=_hits(docs=_ACRONYM_DOCS, key=_ACRONYM_KEY))
 
 _IRI = """CASE WHEN type >= 0 THEN 'stringdb:' || type || '.' || id WHEN type = -1 THEN 'stitchdb:' || id WHEN type = -2 THEN 'taxonomy:' || id WHEN contains(id, ':') THEN id ELSE '_:' || id END"""
 
+#: Mentions in characters, numbered in their document; those that end inside of a character are left out.
+_ANNOTATED = f""", bodies AS (
+  SELECT doc_id, start, place, text, list(json_object('@id', {_IRI}) ORDER BY type, serial, identifier) AS bodies
+  FROM (SELECT *, coalesce(identifier, CAST(serial AS VARCHAR)) AS id FROM mention) WHERE strlen(right(text, 1)) = 1 GROUP BY doc_id, start, place, text
+), annotated AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS n, CAST(place AS INTEGER) AS begin, CAST(place + length(text) AS INTEGER) AS "end",
+    CASE WHEN len(bodies) = 1 THEN CAST(bodies[1] AS VARCHAR) ELSE '[' || array_to_string(bodies, ',') || ']' END AS body FROM bodies
+)"""
+
+#: Pages made of the documents: no mention crosses the tags that stand for a TAB; earlier ends of the page go.
+_PAGES = _mentions(_REQUESTED, _hits(within="NOT contains(raw.span, chr(9))")) + """, spans AS (
+  SELECT doc_id, place, text, string_agg(type || '.' || coalesce(identifier, CAST(serial AS VARCHAR)), ';' ORDER BY type, serial, identifier) AS list FROM mention GROUP BY doc_id, start, place, text
+), cuts AS (
+  SELECT *, place + length(text) AS ends, lag(place + length(text), 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS at_ FROM spans
+), bodies AS (
+  SELECT doc_id, string_agg(substr(d.text, at_ + 1, place - at_) || '<span class="tagger_match" style="" >' || p.text || '</span>', '' ORDER BY place) AS body, max(ends) AS ends
+  FROM cuts p JOIN docs d USING (doc_id) GROUP BY doc_id
+), lists AS (
+  SELECT doc_id, string_agg('  <span name="' || md5(list) || '">' || list || '</span>' || chr(10), '' ORDER BY first) AS lists FROM (SELECT doc_id, list, min(place) AS first FROM spans GROUP BY doc_id, list) GROUP BY doc_id
+), types AS (
+  SELECT doc_id, string_agg('  <span>' || type || '</span>' || chr(10), '' ORDER BY type) AS types FROM (SELECT DISTINCT doc_id, type FROM mention) GROUP BY doc_id
+)
+SELECT doc_id, '<html><head><title>x</title></head><body><p class="a">' || replace(coalesce(body, '') || substr(d.text, coalesce(ends, 0) + 1), chr(9), '</p><p>')
+  || '</p><div class="tagger_entities" style="display: none;">' || chr(10) || coalesce(lists, '') || '</div>' || chr(10)
+  || '<div style="display: none;" class="tagger_entity_types">' || chr(10) || coalesce(types, '') || '</div>' || chr(10)
+  || '<div style="display: none;" id="tagger_div_doi">' || doc_id || '</div>' || chr(10) || '<div name="annotation_v2" style="display: none;"></div>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html
+FROM docs d LEFT JOIN bodies USING (doc_id) LEFT JOIN lists USING (doc_id) LEFT JOIN types USING (doc_id)"""
+
 _GIVEN = "m AS (SELECT DISTINCT doc, paragraph, sentence, start, serial FROM mentions WHERE doc IS NOT NULL AND serial IS NOT NULL)"
 _PAIR_ITEMS = """
 first AS (
@@ -301,12 +329,23 @@ ORACLES = {
     "entities_grouped": _TYPED
     + """, spans AS (SELECT doc_id, text, start, list(struct_pack(type := type, serial := serial, identifier := identifier)) AS e FROM mention GROUP BY ALL)
     SELECT doc_id, text, count(*) AS count, unnest(arg_min(e, start), recursive := true) FROM spans GROUP BY doc_id, text""",
-    "entity_annotations": _TYPED
-    + f""", spans AS (
-      SELECT doc_id, start, place, text, list(json_object('@id', {_IRI}) ORDER BY type, serial, identifier) AS bodies
-      FROM (SELECT *, coalesce(identifier, CAST(serial AS VARCHAR)) AS id FROM mention) WHERE strlen(right(text, 1)) = 1 GROUP BY doc_id, start, place, text)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS n, CAST(place AS INTEGER) AS begin, CAST(place + length(text) AS INTEGER) AS "end",
-      CASE WHEN len(bodies) = 1 THEN CAST(bodies[1] AS VARCHAR) ELSE '[' || array_to_string(bodies, ',') || ']' END AS body FROM spans""",
+    "entity_annotations": _TYPED + _ANNOTATED + " SELECT doc_id, n, begin, \"end\", body FROM annotated",
+    "entities_jsonld": _TYPED + _ANNOTATED
+    + """, graph AS (
+      SELECT doc_id, string_agg('{"@id":"_:annotations/' || n || '","body":' || body || ',"target":"' || doc_id || '#char=' || begin || ',' || "end" || '"}', ',' ORDER BY n) AS g FROM annotated GROUP BY doc_id)
+    SELECT doc_id, '{"@context":["http://nlplab.org/ns/restoa-context-20150307.json","http://nlplab.org/ns/bio-20151118.jsonld"],"@graph":[' || coalesce(g, '') || '],"@id":"_:annotations"}' AS json
+    FROM docs LEFT JOIN graph USING (doc_id)""",
+    "entities_html": _PAGES,
+    "entities_xml": _TYPED
+    + """, spans AS (
+      SELECT doc_id, text, start, string_agg('<entity><type xsi:type="xsd:int">' || type || '</type><identifier xsi:type="xsd:string">' || coalesce(identifier, CAST(serial AS VARCHAR)) || '</identifier></entity>', ''
+        ORDER BY type, serial, identifier) AS e FROM mention GROUP BY doc_id, text, start
+    ), items AS (
+      SELECT doc_id, min(start) AS first, '<item><name xsi:type="xsd:string">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name><count xsi:type="xsd:int">' || count(*)
+        || '</count><entities>' || arg_min(e, start) || '</entities></item>' AS item FROM spans GROUP BY doc_id, text
+    )
+    SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?><GetEntitiesResponse xmlns="" xmlns:xsd="http://www.w3.org/2001/XMLSchema" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><items>'
+      || string_agg(item, '' ORDER BY first) || '</items></GetEntitiesResponse>' AS xml FROM items GROUP BY doc_id""",
     "entity_extract": _TYPED
     + """ SELECT doc_id, type_name, p.name, type, coalesce(identifier, CAST(m.serial AS VARCHAR)) AS identifier, array_to_string(list_sort(list_distinct(list(text))), ';') AS texts
     FROM mention m LEFT JOIN (SELECT serial, min(name) AS name FROM names WHERE serial IS NOT NULL AND name IS NOT NULL GROUP BY serial) p ON p.serial = m.serial
