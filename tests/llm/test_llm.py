@@ -52,6 +52,20 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     assert cooccurrence.judged_pairs(df.limit(0), "doc", "serial", 3).count() == 0
 
 
+def test_pairs_are_judged_by_their_likelihood_ratio(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "HOT_SHARE", 0.1)  # item 1 is hot
+    rows = [(d, 1) for d in range(100)] + [(d, s) for d in range(30) for s in (2, 3)] + [(d, 4) for d in range(25, 75)] + [(d, 5) for d in range(0, 100, 2)]
+    got = {(r.item1, r.item2): r for r in cooccurrence.judged_pairs(spark.createDataFrame(rows, "doc int, serial bigint"), "doc", "serial", 1).collect()}
+    assert len(got) == 10  # every pair that meets
+    n, n1, n2, n12 = 100, 30, 30, 30
+    table = [(n12, n1, n2), (n1 - n12, n1, n - n2), (n2 - n12, n - n1, n2), (n - n1 - n2 + n12, n - n1, n - n2)]
+    llr = 2 * sum(k * math.log(k * n / a / b) for k, a, b in table if k)
+    assert got[2, 3].llr == pytest.approx(llr) and got[2, 3].significant and got[2, 3].lift == pytest.approx(100 / 30)
+    assert not got[1, 2].significant  # with every record, no more than chance
+    assert got[2, 4].llr > cooccurrence.SIGNIFICANT and not got[2, 4].significant  # less than chance
+    assert not got[2, 5].significant
+
+
 def test_stripes_of_hot_items_are_split_and_whole(spark, monkeypatch):
     monkeypatch.setattr(cooccurrence, "RECORDS_PER_PART", 10)
     monkeypatch.setattr(cooccurrence, "ROW_ENTRIES", 3)
