@@ -149,12 +149,17 @@ def _merge(least: int):
     return run
 
 
-def stripes(items: DataFrame, record: str, item: str, least_records: int = 1, least_together: int = 1) -> DataFrame:
-    """``item, part, n1, neighbours, n2, counts``: merged stripes; a neighbour's id is above its item's.
+def record_items(items: DataFrame, record: str, item: str) -> DataFrame:
+    """``record, item``: the items of each record once, kept: read for the numbers of records, and by hot and other items."""
+    pairs = items.select(F.col(record).alias("record"), F.col(item).cast("bigint").alias("item")).where("record IS NOT NULL AND item IS NOT NULL")
+    return checkpointed(pairs.distinct())
+
+
+def stripes(pairs: DataFrame, least_records: int = 1, least_together: int = 1) -> DataFrame:
+    """``item, part, n1, neighbours, n2, counts``: merged stripes of ``record_items``; a neighbour's id is above its item's.
 
     ``n1`` and ``n2`` are the numbers of records of the item and of each neighbour.
     """
-    pairs = items.select(F.col(record).alias("record"), F.col(item).cast("bigint").alias("item")).where("record IS NOT NULL AND item IS NOT NULL").distinct()
     known = pairs.groupBy("item").agg(F.count("*").alias("n1"))
     most = known.select(F.sum("n1") * HOT_SHARE).scalar()
     # The rows of hot items meet a broadcast table where they are; only those of the others are shuffled by item.
@@ -195,9 +200,10 @@ def judged_pairs(items: DataFrame, record: str, item: str, least_together: int =
     ``n`` counts the records with any item. ``lift`` is n12 * n / (n1 * n2), ``llr`` the log-likelihood ratio of the
     two-by-two table. A pair is ``significant`` if it is together more often than by chance and its ratio reaches ``SIGNIFICANT``.
     """
-    n = items.where(F.col(record).isNotNull() & F.col(item).isNotNull()).select(F.countDistinct(record)).scalar()
+    pairs = record_items(items, record, item)
+    n = pairs.select(F.countDistinct("record")).scalar()
     flat = (
-        stripes(items, record, item, least_together, least_together)
+        stripes(pairs, least_together, least_together)
         .select("item", "n1", F.inline(F.arrays_zip("neighbours", "n2", "counts")))
         .select(F.col("item").alias("item1"), F.col("neighbours").alias("item2"), F.col("counts").alias("n12"), "n1", "n2", n.alias("n"))
     )

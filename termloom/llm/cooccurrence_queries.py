@@ -10,8 +10,8 @@ from termloom.sources.tables import table
 
 
 def document_items(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc, serial`` of the mentions whose entity has a requested type."""
-    mentions = table(spark, folder, "mentions", "doc", "serial").distinct()
+    """``doc, serial`` of the mentions whose entity has a requested type, a row for each mention."""
+    mentions = table(spark, folder, "mentions", "doc", "serial")
     wanted = table(spark, folder, "test_entities", "serial", "type").join(table(spark, folder, "test_types"), "type", "left_semi")
     return mentions.join(wanted.select("serial"), "serial", "left_semi").select("doc", "serial")
 

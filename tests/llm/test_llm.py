@@ -71,7 +71,7 @@ def test_stripes_of_hot_items_are_split_and_whole(spark, monkeypatch):
     monkeypatch.setattr(cooccurrence, "ROW_ENTRIES", 3)
     rows = [(d, s) for d in range(50) for s in (0, d % 20 + 1, d % 7 + 30)]
     assert len(set(cooccurrence._part_of(cooccurrence.np.full(40, 50), cooccurrence.np.arange(40)))) > 2
-    pairs = cooccurrence.stripes(spark.createDataFrame(rows, "doc int, serial bigint"), "doc", "serial")
+    pairs = cooccurrence.stripes(cooccurrence.record_items(spark.createDataFrame(rows, "doc int, serial bigint"), "doc", "serial"))
     got = Counter()
     for r in pairs.collect():
         for b, k in zip(r.neighbours, r.counts):
