@@ -119,9 +119,8 @@ def ngram_counts(df: DataFrame, record: str, words: Column, longest: int | None
     suffixes = (
         df.where(F.col(record).isNotNull())
         .select(F.col(record).alias("record"), words.alias("words"))
-        .select("record", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))).alias("at"))
-        .where(F.size("words") > 0)
-        .select(F.element_at("words", F.col("at")).alias("first"), "record", F.array_join(F.slice("words", F.col("at"), longest or F.size("words")), GLUE).alias("suffix"))
+        .select("record", "words", F.posexplode("words").alias("at", "first"))
+        .select("first", "record", F.array_join(F.slice("words", F.col("at") + 1, longest or F.size("words")), GLUE).alias("suffix"))
         .groupBy("first", "record", "suffix")
         .agg(F.count("*").alias("count"))
     )

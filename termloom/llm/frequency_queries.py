@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +9,27 @@ from termloom.llm.frequency import marked, ngram_counts, words_of
 from termloom.sources.tables import table
 
 
-def _fields(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Per field, rows (serial, words)."""
+#: The letter before each word that tells its field, so that both fields are counted in one pass.
+FIELDS = {"name": "n", "type": "t"}
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``serial, words`` of both fields, each word behind the letter of its field."""
     names = table(spark, folder, "names", "serial", "name").select("serial", words_of(F.col("name")).alias("words"))
-    types = table(spark, folder, "test_entities", "serial", "type").where("type IS NOT NULL")
-    return {"name": names, "type": types.select("serial", F.array(F.col("type").cast("string")).alias("words"))}
+    types = table(spark, folder, "test_entities", "serial", "type").where("type IS NOT NULL").select("serial", F.array(F.col("type").cast("string")).alias("words"))
+    marked_words = lambda field: F.transform("words", lambda w: F.concat(F.lit(FIELDS[field]), w)).alias("words")
+    return names.select("serial", marked_words("name")).unionByName(types.select("serial", marked_words("type")))
 
 
 def _terms(spark: SparkSession, folder: str, most: int | None) -> DataFrame:
-    def counted(field: str, rows: DataFrame) -> DataFrame:
-        total = rows.where(F.size("words") > 0).select(F.countDistinct("serial")).scalar()
-        counts = ngram_counts(rows, "serial", F.col("words"), most=most)
-        return marked(counts, total).select(F.lit(field).alias("field"), F.col("ngram").alias("term"), "n", "occurrences", "records", "mark")
-
-    return reduce(DataFrame.unionByName, (counted(k, v) for k, v in _fields(spark, folder).items()))
+    rows = _rows(spark, folder)
+    letter = F.substring("ngram", 1, 1)
+    # As many rows as fields.
+    totals = rows.where(F.size("words") > 0).groupBy(F.substring(F.col("words")[0], 1, 1).alias("letter")).agg(F.countDistinct("serial").alias("total"))
+    counts = ngram_counts(rows, "serial", F.col("words"), most=most).withColumn("letter", letter).join(F.broadcast(totals), "letter")
+    term = F.array_join(F.transform(F.split("ngram", " "), lambda w: F.substring(w, 2, 1 << 30)), " ")
+    field = F.when(F.col("letter") == FIELDS["name"], "name").otherwise("type")
+    return marked(counts, F.col("total")).select(field.alias("field"), term.alias("term"), "n", "occurrences", "records", "mark")
 
 
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
