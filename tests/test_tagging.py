@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,7 +22,7 @@ from termloom.operators.pairs import pair_counts, pair_levels, pair_scores, pair
 from termloom.operators.render import distinct_entities, entities_xml, entity_lines, jsonld, match_tuples, popup_addresses, resolved_lines, resolved_xml
 from termloom.operators.resolution import disambiguated, grouped
 from termloom.operators.segments import inside_segments, segments, segments_of, whole_documents
-from termloom.operators.windows import candidate_windows, tokens, trim
+from termloom.operators.windows import byte_tokens, candidate_windows, dictionary_bitmap, hash_strings, tokens, trim
 
 ENTITY = "array<struct<type:int,serial:bigint,identifier:string>>"
 
@@ -387,3 +388,19 @@ def test_handlers(spark):
     assert "document 1 | paragraph | sentence | TIMP1 101 | PLK1 102 | paragraph | sentence | ATM-kinase 103 | end" in text
     assert "document 2 | paragraph | sentence | end" in text
     assert [r.what for r in handled(documents, matches, recorder(), "n int, what string").collect() if "10" in r.what] == ["TIMP1 101", "PLK1 102", "ATM-kinase 103"]
+
+
+def test_bitmap_lets_few_strange_hashes_through(spark):
+    names = spark.createDataFrame([(f"name {n} x",) for n in range(5000)], "name string")
+    bitmap = dictionary_bitmap(names)
+    own, strange = (hash_strings(pa.array([f"{word}{n}X" for n in range(20000)], pa.large_string())) for word in ("NAME", "OTHER"))
+    assert bitmap.has(own[:5000]).all()
+    assert bitmap.has(strange).mean() < 0.005  # a single bit a name: 0.02 to 0.04
+
+
+def test_bytes_as_tokens(spark):
+    rows = [(1, "aé"), (1, "b"), (2, None), (3, ""), (4, "x\0y")]
+    found = byte_tokens(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert "Join" not in found._jdf.queryExecution().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert got == [(1, 0, 0, 0, "61"), (1, 0, 0, 0, "62"), (1, 1, 1, 1, "C3"), (1, 2, 2, 2, "A9"), (4, 0, 0, 0, "78"), (4, 1, 1, 1, "00"), (4, 2, 2, 2, "79")]
