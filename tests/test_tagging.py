@@ -17,9 +17,11 @@ from termloom.functions.latin import character_spans
 from termloom.operators import dictionary as D
 from termloom.operators.handlers import DocumentHandler, handled
 from termloom.operators.markup import annotated, masked
-from termloom.operators.matching import blocked_by_pattern, dictionary_hits, find_mentions, leftmost_longest, mention_rows, with_blocked
+from termloom.operators.matching import (
+    blocked_by_pattern, dictionary_hits, find_mentions, found_keys, heads_hit, keyed_rows, leftmost_longest, mention_rows, overlapping_keys, wanted, with_blocked, with_entities,
+)
 from termloom.operators.pairs import pair_counts, pair_levels, pair_scores, pair_sums, typed_pairs
-from termloom.operators.render import distinct_entities, entities_xml, entity_lines, jsonld, match_tuples, popup_addresses, resolved_lines, resolved_xml
+from termloom.operators.render import distinct_entities, distinct_keyed, entities_xml, entity_lines, jsonld, match_tuples, popup_addresses, resolved_lines, resolved_xml
 from termloom.operators.resolution import disambiguated, grouped
 from termloom.operators.segments import inside_segments, segments, segments_of, whole_documents
 from termloom.operators.windows import byte_tokens, candidate_windows, dictionary_bitmap, hash_strings, tokens, trim
@@ -404,3 +406,37 @@ def test_bytes_as_tokens(spark):
     assert "Join" not in found._jdf.queryExecution().toString()
     got = sorted(map(tuple, found.collect()))
     assert got == [(1, 0, 0, 0, "61"), (1, 0, 0, 0, "62"), (1, 1, 1, 1, "C3"), (1, 2, 2, 2, "A9"), (4, 0, 0, 0, "78"), (4, 1, 1, 1, "00"), (4, 2, 2, 2, "79")]
+
+
+AMBIGUOUS_NAMES = [(1, "ABC"), (2, "abc"), (3, "A-BC"), (4, "ABC kinase"), (5, "kinase"), (6, "kinase"), (7, "of ABC"), (8, "retina"), (9, "PLK1"), (1, "PLK1")]
+AMBIGUOUS_TYPES = {1: 9606, 2: -26, 3: 9606, 4: -26, 5: -26, 6: -1, 7: -1, 8: -26, 9: 10090}
+AMBIGUOUS_STOPS = [("retina", "0"), ("kinase x", "t"), ("PLK1", "t"), ("abc", "t")]
+AMBIGUOUS_TEXTS = [(1, "ABC kinase and (ABC) or abc, A-BC. ABC; PLK1 retina kinase"), (2, "kinase x of ABC kinase"), (3, ""), (4, "ABC ABC kinase kinase PLK1 of ABC")]
+
+
+def ambiguous(spark, stops):
+    """Mentions by the entities of each window, and windows with keys and rows of the dictionary, of the same texts."""
+    documents = spark.createDataFrame(AMBIGUOUS_TEXTS, "doc_id int, text string")
+    entities = spark.createDataFrame([(s, t, f"id{s % 8}") for s, t in AMBIGUOUS_TYPES.items()], "serial bigint, type int, identifier string")
+    rows = D.names_with_entities(spark.createDataFrame(AMBIGUOUS_NAMES, "serial bigint, name string"), entities)
+    given = spark.createDataFrame(AMBIGUOUS_STOPS, "name string, flag string") if stops else None
+    words, heads = D.dictionary(rows, given), D.heads(rows, given)
+    windows, listed = candidate_windows(documents, words), D.stop_list(given) if stops else None
+    assert sorted(map(tuple, heads.select("key", "name", "is_stub").collect())) == sorted(map(tuple, words.select("key", "name", "is_stub").collect()))
+    return with_blocked(dictionary_hits(windows, words), listed), with_blocked(heads_hit(windows, heads), listed), rows
+
+
+@pytest.mark.parametrize("stops", [False, True])
+@pytest.mark.parametrize("types", [(), (0, -26)])
+def test_mentions_by_key(spark, stops, types):
+    hits, keyed, rows = ambiguous(spark, stops)
+    columns = ("doc_id", "start", "stop", "text", "type", "serial", "identifier")
+    sets = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    found = found_keys(keyed, types)
+    assert "entities" not in found._jdf.queryExecution().toString()
+    assert sets(keyed_rows(found, rows, types)) == sets(mention_rows(find_mentions(hits, types))) != []
+    overlap = mention_rows(find_mentions(hits, types, allow_overlap=True))
+    assert sets(keyed_rows(overlapping_keys(keyed, types), rows, types)) == sets(overlap)
+    wanted_rows = rows.where(wanted(F.col("type"), F.array(*map(F.lit, types)).cast("array<int>")))
+    assert sorted(map(tuple, distinct_keyed(found, wanted_rows).collect())) == sorted(map(tuple, distinct_entities(mention_rows(find_mentions(hits, types))).collect()))
+    assert sets(mention_rows(with_entities(found, wanted_rows))) == sets(mention_rows(find_mentions(hits, types)))
