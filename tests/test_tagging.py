@@ -440,3 +440,13 @@ def test_mentions_by_key(spark, stops, types):
     wanted_rows = rows.where(wanted(F.col("type"), F.array(*map(F.lit, types)).cast("array<int>")))
     assert sorted(map(tuple, distinct_keyed(found, wanted_rows).collect())) == sorted(map(tuple, distinct_entities(mention_rows(find_mentions(hits, types))).collect()))
     assert sets(mention_rows(with_entities(found, wanted_rows))) == sets(mention_rows(find_mentions(hits, types)))
+
+
+def test_groups_meet_only_entities_that_have_some(spark):
+    matches = spark.createDataFrame([(1, 0, 0, 2, "ABC", [(-26, 1, None), (-26, 2, None)]), (1, 1, 4, 6, "DEF", [(-26, 3, None)]), (2, 0, 0, 2, "ABC", [(-26, 2, None)])], f"doc_id int, ord int, start int, stop int, text string, entities {ENTITY}")
+    groups = spark.createDataFrame([(1, 10), (2, 10), (2, 11)], "child bigint, parent bigint")
+    found = grouped(matches, groups)
+    got = {(r.doc_id, r.ord): [e.serial for e in r.entities] for r in found.collect()}
+    assert got == {(1, 0): [1, 2, 10], (1, 1): [3], (2, 0): [2, 10, 11]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(text" not in plan  # texts were copied for each entity, and put together again
